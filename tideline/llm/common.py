@@ -124,7 +124,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(terms, heads)), counts, starts
 
 
-def slices(batches, rows: int = 0, bytes_: int = 8 << 20):
+def slices(batches, rows: int = 0, bytes_: int = 3 << 20):
     """Re-cuts Arrow batches so that one slice holds about bytes_ of text at most (a longer single text stays whole)."""
     for batch in batches:
         col = batch.column("text")

@@ -27,7 +27,7 @@ WORDS, SIMILAR = 5, 80  # words in a shingle; links at SIMILAR / 100
 #: Part of the shingle space over which rarity is counted.
 SPACE = 0.3
 #: Elements of one task's share in the rarity count, and of shingles in one region that a task joins at once.
-SHARE, REGION = 6_000_000, 3_000_000
+SHARE, REGION = 2_000_000, 2_000_000
 PIVOTS = 16
 TIGHT = 0.8  # a cell with more of its region's rows than this is not split further
 
@@ -206,7 +206,7 @@ def rare_keys(docs: DataFrame, buckets: int) -> DataFrame:
     shift = np.uint64(max(0, int(width).bit_length() - 32))
 
     def elements(batches):
-        for b in slices(batches, bytes_=16 << 20):
+        for b in slices(batches):
             sets = list({vertex(s): s for s in shingle_sets(*buffer_of(b.column("text"))) if len(s)}.items())
             if not sets:
                 continue

@@ -170,7 +170,7 @@ def identify(docs: DataFrame, parser: Parser, text: str = "text", doc_id: str =
         from tideline.llm.common import slices
 
         p = shared.value
-        for batch in slices(batches, bytes_=4 << 20):
+        for batch in slices(batches, bytes_=2 << 20):
             texts = [codes(t or "") for t in batch.column("text").to_pylist()]
             counts = p.phrases(texts)
             pred, score = [], []
