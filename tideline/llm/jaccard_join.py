@@ -8,7 +8,7 @@
    document of a cell lies, by the triangle inequality, within twice the radius of the cell's border
    and within the radius of the cell's reach, so only such boundary documents are replicated.
    Documents that are far from every pivot make a cell of their own. Cells are joined in the same way until they are
-   small. Regions too large for a task are split by the same rule across tasks.
+   small or pivots don't split them; then each set meets those with which it shares one of its rarest shingles. Regions too large for a task are split by the same rule across tasks.
 3. Documents that are already connected are not compared again: what is returned is classes, not pairs.
 
 Equal sets are one vertex. Null and empty texts have no shingles and no links.
@@ -30,6 +30,7 @@ SPACE = 0.3
 SHARE, REGION = 2_000_000, 2_000_000
 PIVOTS = 16
 TIGHT = 0.8  # a cell with more of its region's rows than this is not split further
+SPREAD = 1.5  # nor is a region whose cells, windows included, hold so many times its rows
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
@@ -57,8 +58,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> l
 
 
 def vertex(s: np.ndarray) -> int:
-    """The id of a set: the same for equal sets."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) + np.add.reduce(s) * np.uint64(3)], np.uint64)).view(np.int64)[0]) if len(s) else 0
+    """The id of a set: the same for equal sets; 0 if it is empty."""
+    if not len(s):
+        return 0
+    x = np.array([int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))), int(np.add.reduce(s))], np.uint64)
+    return int(mix(x * np.uint64(3) + x[::-1])[:1].view(np.int64)[0])
 
 
 def need(n: np.ndarray | int):
@@ -108,8 +112,9 @@ class Region:
             return self.one_by_one(own)
         flat, heads = self.gather(own)
         n = self.n[own]
-        step = max(1, m // PIVOTS)
-        pivots = own[np.argsort(n, kind="stable")][step // 2 :: step][:PIVOTS]
+        many = max(PIVOTS, int(m**0.5))
+        step = max(1, m // many)
+        pivots = own[np.argsort(n, kind="stable")][step // 2 :: step][:many]
         d = np.empty((m, len(pivots)))
         for k, p in enumerate(pivots.tolist()):
             c = self.common(self.of(p), own, flat, heads)
@@ -117,31 +122,56 @@ class Region:
             for i in own[linked(c, n, self.n[p])].tolist():
                 self.forest.union(p, i)
         near = d.min(1)
-        for cell in cells(d, near):
+        parts = cells(d, near)
+        if sum(int(c.sum()) for c in parts) > SPREAD * m:
+            return self.one_by_one(own)
+        for cell in parts:
             if cell.mean() > TIGHT:
                 self.one_by_one(own[cell])
             else:
                 self.join(own[cell], depth + 1)
 
     def one_by_one(self, own: np.ndarray) -> None:
-        """Compares every set outside the largest class with all of other classes; then nothing can be missing."""
+        """Compares every set outside the largest class with sets of other classes; then nothing can be missing.
+
+        Few such sets are held against all; of many, each meets those with which it shares one of its shingles
+        that are rarest in the cell, need(n) of them.
+        """
         roots = np.array([self.forest.find(i) for i in own.tolist()])
         ids, size = np.unique(roots, return_counts=True)
         if len(ids) == 1:
             return
+        rest = np.flatnonzero(roots != ids[size.argmax()])
         flat, heads = self.gather(own)
         n = self.n[own]
-        for i in own[roots != ids[size.argmax()]].tolist():
-            if len(own) > 400:
+        if len(rest) <= 48 and len(own) > 48:
+            for i in own[rest].tolist():
                 c = self.common(self.of(i), own, flat, heads)
                 for j in own[linked(c, n, self.n[i])].tolist():
                     self.forest.union(i, j)
-                continue
-            s, k = self.of(i), self.n[i]
-            for j in own[(100 * np.minimum(n, k) >= SIMILAR * np.maximum(n, k))].tolist():
+            return
+        doc = np.repeat(np.arange(len(own)), n)
+        _, at, df = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, df[at], doc))
+        first = np.arange(len(flat)) - np.repeat(heads, n) < np.repeat(need(n), n)
+        keys, docs = at[order][first], doc[order][first]
+        order = np.argsort(keys, kind="stable")
+        keys, docs = keys[order], docs[order]
+        cut = np.searchsorted(keys, np.arange(len(df) + 1))
+        prefix = np.argsort(docs, kind="stable")
+        begin = np.searchsorted(docs[prefix], np.arange(len(own) + 1))
+        for x in rest.tolist():
+            mine = keys[prefix[begin[x] : begin[x + 1]]]
+            near = np.unique(np.concatenate([docs[cut[k] : cut[k + 1]] for k in mine.tolist()]))
+            near = near[100 * np.minimum(n[near], n[x]) >= SIMILAR * np.maximum(n[near], n[x])]
+            i, k = int(own[x]), int(n[x])
+            s = None
+            for j, m in zip(own[near].tolist(), n[near].tolist(), strict=True):
                 if self.forest.find(i) != self.forest.find(j):
-                    c = self.n[j] + k - len(np.union1d(s, self.of(j)))
-                    if 100 * c >= SIMILAR * (self.n[j] + k - c):
+                    s = self.of(i) if s is None else s
+                    t = self.of(j)
+                    c = int((s[np.minimum(np.searchsorted(s, t), k - 1)] == t).sum())
+                    if 100 * c >= SIMILAR * (m + k - c):
                         self.forest.union(i, j)
 
 
