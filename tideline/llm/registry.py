@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import exact_dedup, jaccard_join, langid, packing, pii, toxicity
+from tideline.llm import exact_dedup, jaccard_join, langid, packing, pii, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language": langid.op4_language,
         "op6_packing": packing.op6_packing,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op9_pii": pii.op9_pii,
     }
 
