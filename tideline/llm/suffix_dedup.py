@@ -25,7 +25,7 @@ MATCH, M, RUN = 50, 20, 32
 WINDOW = MATCH - M + 1
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text in one part of the documents; anchors and bytes of pieces in one bucket.
-PART, ANCHORS, PIECES = 12 << 20, 1_500_000, 12 << 20
+PART, ANCHORS, PIECES = 12 << 20, 1_500_000, 4 << 20
 
 
 def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -73,69 +73,64 @@ def collection_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     rank[used] = np.arange(1, len(used) + 1)
     cols = np.where(np.arange(longest + 1)[None, :] < size[:, None], rank[cols], 0).astype(np.uint8)
     with tempfile.TemporaryDirectory() as scratch:
-        names = {k: f"{scratch}/{k}" for k in ("bwt", "lcp", "suffix")}
-
-        def put(**arrays):
-            for k, a in arrays.items():
-                a.tofile(names[k])
-
+        files = f"{scratch}/bwt", f"{scratch}/lcp"
         # round 0: the empty suffix of every piece
-        put(bwt=cols[:, 0].copy(), lcp=np.zeros(r, np.uint8), suffix=np.arange(r, dtype=np.int32) << 8)
-        at = np.arange(r)  # where each active piece's last suffix stands
-        active = np.flatnonzero(size >= 1)
+        cols[:, 0].tofile(files[0])
+        np.zeros(r, np.uint8).tofile(files[1])
+        who, p = np.arange(r), np.arange(r)  # pieces that go on, by the place of their last suffix
         for j in range(1, longest + 1):
-            active = active[size[active] >= j]
-            if not len(active):
-                break
-            bwt, lcp, suffix = np.fromfile(names["bwt"], np.uint8), np.fromfile(names["lcp"], np.uint8), np.fromfile(names["suffix"], np.int32)
-            n = len(bwt)
-            # The new suffixes are c + last suffix: their order is that of (c, place of the last suffix).
-            order = np.argsort(bwt, kind="stable")
-            place = np.empty(n, np.int64)  # place of each transform entry among those with a symbol
-            place[order] = np.arange(n)
-            ends_ = int((bwt == 0).sum())
-            p = at[active]
-            new = np.zeros(n, bool)
+            on = size[who] >= j
+            who, p = who[on], p[on]
+            bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
+            # A new suffix is c + the last one: the order is that of (c, place of the last one), after the r empty
+            # suffixes. All entries with a symbol stand in it already, but for those of the last round.
+            here = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]
+            new = np.zeros(len(bwt), bool)
             new[p] = True
-            # Entries whose c + suffix is in the order already stand, with the r empty suffixes before them, where sorting put them.
-            here = order[ends_:]  # entries in the order of c + suffix
-            fresh = new[here]
-            k = np.flatnonzero(fresh)
-            target = r + k  # final places of the new suffixes
+            k = np.flatnonzero(new[here])
+            who = who[np.searchsorted(p, here[k])]
+            p = r + k
             total = r + len(here)
             keep = np.ones(total, bool)
-            keep[target] = False
+            keep[p] = False
             # common prefixes where something was inserted: of each new one with the one before, and of the one after it with it
-            touched = np.unique(np.concatenate([k, k[k + 1 < len(here)] + 1]))
-            lc = np.zeros(len(touched), np.uint8)
+            flag = np.zeros(len(here) + 1, bool)
+            flag[k] = True
+            flag[k + 1] = True
+            touched = np.flatnonzero(flag[:-1])
             inner = touched[touched > 0]
-            a, b = here[inner - 1], here[inner]
-            same = bwt[a] == bwt[b]
+            x, y = here[inner - 1], here[inner]
+            same = bwt[x] == bwt[y]
+            value = np.zeros(len(touched), np.uint8)
             if same.any():
-                lo, hi = a[same] + 1, b[same] + 1
-                pairs = np.empty(2 * len(lo), np.int64)
+                lo, hi = x[same] + 1, y[same] + 1
                 by = np.argsort(lo, kind="stable")
-                pairs[0::2], pairs[1::2] = lo[by], np.minimum(hi[by], n)
-                closed = np.append(lcp, np.uint8(0))
-                low = np.empty(len(lo), np.uint8)
-                low[by] = np.minimum.reduceat(closed, pairs)[0::2]
+                pairs = np.empty(2 * len(lo), np.int64)
+                pairs[0::2], pairs[1::2] = lo[by], hi[by]
+                least = np.empty(len(lo), np.uint8)
+                least[by] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), pairs)[0::2]
                 v = np.zeros(len(inner), np.uint8)
-                v[same] = np.minimum(low, 253) + 1
-                lc[touched > 0] = v
-            nb, nl, ns = np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.int32)
-            nb[keep], nl[keep], ns[keep] = bwt, lcp, suffix
-            who = suffix[here[k]] >> 8
-            nb[target] = cols[who, j]
-            ns[target] = (who << 8) + j
-            nl[r + touched] = lc
-            at[who] = target
-            put(bwt=nb, lcp=nl, suffix=ns)
-            if total < n + len(k):
-                raise AssertionError("the order lost a suffix")
-        lcp, suffix = np.fromfile(names["lcp"], np.uint8), np.fromfile(names["suffix"], np.int32)
-    lcp, suffix = lcp[r:], suffix[r:]
-    piece, length = suffix >> 8, suffix & 255
-    return piece.astype(np.int64), size[piece] - length, np.minimum(lcp, length)
+                v[same] = np.minimum(least, 253) + 1
+                value[len(touched) - len(inner) :] = v
+            nb, nl = np.empty(total, np.uint8), np.empty(total, np.uint8)
+            nb[keep], nl[keep] = bwt, lcp
+            nb[p] = cols[who, j]
+            nl[r + touched] = value
+            nb.tofile(files[0])
+            nl.tofile(files[1])
+        bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
+    # Walking back from each piece's end gives the suffix at every place.
+    ended = len(bwt) - np.count_nonzero(bwt)
+    step = np.empty(len(bwt), np.int32)
+    step[np.argsort(bwt, kind="stable")] = np.arange(-ended, len(bwt) - ended, dtype=np.int32) + r
+    piece, length = np.zeros(len(bwt), np.int32), np.zeros(len(bwt), np.uint8)
+    who = p = np.arange(r)
+    for j in range(1, longest + 1):
+        on = size[who] >= j
+        who, p = who[on], step[p[on]]
+        piece[p], length[p] = who, j
+    piece, length = piece[r:].astype(np.int64), length[r:]
+    return piece, size[piece] - length, np.minimum(lcp[r:], length)
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
