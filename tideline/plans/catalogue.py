@@ -2,10 +2,385 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tideline.functions import scalars as sc
+from tideline.operators import adapters, asof, blocks, book, curves, engine, execution, fit, pilot, regimes
+from tideline.plans import oracles
+from tideline.sources import feeds, tape, window_codec
+from tideline.sources.views import view
 
-def oracle_sql():
-    return {}
+T0, HOURS, REPS, LENGTH = 1704067200000000, 720, 20, 3
+BINS = len(curves.EVENT_PROBS) + 1
+
+
+def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Doubles rounded, so that the order of summation does not show."""
+    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def _blocks(s, d):
+    return blocks.event_blocks(view(s, d, "trades"))
+
+
+def _bars(s, d):
+    return blocks.minute_response(blocks.minute_bars(view(s, d, "trades")))
+
+
+def _cube(s, d):
+    return curves.cube(_blocks(s, d), T0)
+
+
+def _curve(s, d):
+    b = _blocks(s, d)
+    return curves.interior(curves.curve(curves.cube(b, T0)), b)
+
+
+def _reps(s, d):
+    return curves.bootstrap(_cube(s, d), curves.hash_picks(s, REPS, -(-HOURS // LENGTH), HOURS), HOURS, LENGTH)
+
+
+def _with_mid(s, d):
+    b = _blocks(s, d)
+    q = view(s, d, "quotes").withColumn("mid", (F.col("bid_ticks") + F.col("ask_ticks")) / 2)
+    return asof.asof_backward(b, q, ["symbol"], "t", "ts_us", ["mid"], "id")
+
+
+def _proxy(s, d):
+    w = Window.partitionBy("symbol").orderBy("day", "bi")
+    return _with_mid(s, d).withColumn("r_mid", F.lead(F.ln("mid")).over(w) - F.ln("mid")).where("r_mid is not null")
+
+
+def _hour_edges(s, d):
+    t = view(s, d, "trades")
+    return pilot.bin_edges(t, blocks.HOUR), t
+
+
+def _snapshots(s, d):
+    b = view(s, d, "bands").withColumn("ts", F.expr("unix_micros(cast(hour_ts as timestamp))"))
+    hours = b.select("ts").distinct().withColumn("symbol", F.lit("AAA"))
+    mid = asof.asof_backward(hours, view(s, d, "trades"), ["symbol"], "ts", "ts_us", ["price_ticks"], "id").where("price_ticks is not null")
+    return b.join(mid.select("ts", F.col("price_ticks").cast("double").alias("mid")), "ts").select("ts", "mid", "band", "pct_tenths", F.col("depth_lots").alias("depth"))
+
+
+def _every10(s, d):
+    return view(s, d, "l2").where("batch % 10 = 0").select("symbol", "batch").distinct()
+
+
+def _books(s, d):
+    return book.top_levels(book.book_at(view(s, d, "l2"), _every10(s, d)), 5)
+
+
+def _published(s, d):
+    """The relational book with known changes, so that every class of difference occurs."""
+    b = _books(s, d)
+    deepest = F.max("rank").over(Window.partitionBy("symbol", "batch", "side"))
+    b = b.withColumn("size", F.when((F.col("rank") == 3) & (F.col("batch") % 50 == 0), F.col("size") + 1).otherwise(F.col("size")))
+    b = b.withColumn("price", F.when((F.col("rank") == 1) & (F.col("side") == 0) & (F.col("batch") % 60 == 0), F.col("price") - 1).otherwise(F.col("price")))
+    b = b.withColumn("deepest", deepest).where(~((F.col("side") == 1) & (F.col("rank") == F.col("deepest")) & (F.col("batch") % 70 == 0))).drop("deepest")
+    extra = b.where((F.col("batch") % 110 == 0) & (F.col("side") == 1) & (F.col("rank") == 0)).select("symbol", "batch", "side", F.lit(1).alias("price"), F.lit(1).alias("size"), F.lit(5).alias("rank"))
+    return b.select("symbol", "batch", "side", "price", "size", "rank").unionByName(extra)
+
+
+def _compared(s, d):
+    return book.compare(_books(s, d), _published(s, d), 6)
+
+
+def _l2_text(s, d):
+    x = view(s, d, "l2")
+    side = F.when(F.col("side") == 0, "bid").otherwise("ask")
+    amount = F.concat(F.expr("cast(amount div 10 as string)"), F.lit("."), (F.col("amount") % 10).cast("string"))
+    line = F.concat_ws(",", F.lit("x"), "symbol", F.col("ts_us").cast("string"), F.col("local_ts_us").cast("string"), F.when(F.col("seq") % 41 == 0, "maybe").otherwise(F.col("is_snapshot").cast("string")), F.when(F.col("seq") % 31 == 0, "middle").otherwise(side), F.concat(F.col("price").cast("string"), F.when(F.col("seq") % 29 == 0, ".05").otherwise(".5")), amount)
+    return x.select(F.when(F.col("seq") % 37 == 0, F.concat(line, F.lit(",9"))).otherwise(line).alias("line"))
+
+
+def _regime_labels(s, d):
+    return regimes.terciles(regimes.daily_variance(_blocks(s, d)).withColumn("rv", F.round("rv", 12)), "rv")
+
+
+def _did(s, d, hours):
+    bars = _bars(s, d)
+    picks = curves.hash_picks(s, REPS, 30, 30).groupBy("rep", F.col("start").alias("i")).agg(F.count(F.lit(1)).alias("w"))
+    return regimes.window_difference(regimes.funding_replicates(regimes.funding_windows(bars, hours, 20, 40), regimes.day_index(bars), picks))
+
+
+def d15_day_volume(s, d):
+    return view(s, d, "trades").groupBy("symbol", "day").agg(F.sum(F.abs(blocks.signed_qty())).alias("volume"))
+
+
+def d16_summary(s, d):
+    t = F.col("type")
+    return view(s, d, "order_feed").groupBy("symbol").agg(*[F.count_if(t == k).alias(f"n{k}") for k in range(5)], F.count_if(F.col("side") == 0).alias("bids"), F.avg("size").alias("mean_size"), F.avg("price").alias("mean_price"))
+
+
+def d14_fill_stats(s, d):
+    return regimes.window_stats(regimes.funding_windows(_bars(s, d), minutes=20, offset=40))
+
+
+def j14_regime_curves(s, d):
+    lab = _regime_labels(s, d).select("symbol", "day", "tercile")
+    c = curves.cube(_blocks(s, d), T0).withColumn("day", F.expr("date_add(date'2024-01-01', cast(h div 24 as int))")).join(lab, ["symbol", "day"])
+    return curves.curve(c, ["tercile"])
+
+
+def j13_activity_curves(s, d):
+    lab = regimes.terciles(regimes.hour_counts(blocks.minute_bars(view(s, d, "trades"))), "trades").select("symbol", "hour", "tercile")
+    c = curves.cube(_blocks(s, d), T0).withColumn("hour", F.expr("h % 24")).join(lab, ["symbol", "hour"])
+    return curves.curve(c, ["tercile"])
+
+
+def j16_contrast(s, d):
+    c = j14_regime_curves(s, d).withColumn("inside", F.col("n") >= 2)
+    sl = curves.central_slope(c, ("symbol", "tercile"))
+    at = lambda k: F.max(F.when(F.col("tercile") == k, F.col("slope")))
+    return sl.groupBy("symbol").agg((at(2) - at(0)).alias("high_less_low"))
+
+
+def j15_did(s, d):
+    a, b = _did(s, d, regimes.FUNDING_HOURS), _did(s, d, regimes.OTHER_HOURS)
+    cols = ("d_mean_abs_ofi", "d_mean_abs_r", "d_slope")
+    return a.join(b.select("symbol", "rep", *[F.col(c).alias(f"o_{c}") for c in cols]), ["symbol", "rep"]).select("symbol", "rep", *cols, *[(F.col(c) - F.col(f"o_{c}")).alias(f"di{c}") for c in cols])
+
+
+def j11_placebo_corr(s, d):
+    b = _blocks(s, d)
+    real = curves.curve(curves.cube(b, T0))
+    return curves.placebo_verdict(curves.placebo(b, 5), real, b, curves.ci_bands(_reps(s, d))).select("symbol", F.round("max_z", 5).alias("max_z"), F.round("mean_corr", 5).alias("mean_corr"), "passed")
+
+
+def j17_proxy_curve(s, d):
+    p = _proxy(s, d)
+    diff = p.withColumn("r", F.col("r") - F.col("r_mid"))
+    c = curves.curve(curves.cube(diff, T0))
+    return c.select("symbol", "bin", "n", F.col("mean_r").alias("mean_diff"))
+
+
+def d17_proxy_headline(s, d):
+    a = curves.curve(curves.cube(_proxy(s, d), T0)).select("symbol", "bin", F.col("mean_r").alias("a"))
+    b = curves.curve(curves.cube(_proxy(s, d).withColumn("r", F.col("r_mid")), T0)).select("symbol", "bin", F.col("mean_r").alias("b"))
+    return a.join(b, ["symbol", "bin"]).groupBy("symbol").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"), F.max(F.abs("b")).alias("amplitude"))
+
+
+def d6_proxy_scale(s, d):
+    p = _proxy(s, d).groupBy("symbol", "day", F.expr("bi div 2").alias("g")).agg(F.min("t").alias("t"), F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum("r_mid").alias("r_mid"), F.count(F.lit(1)).alias("n"), (F.max("bi") - F.min("bi")).alias("span"))
+    return p.where("n = 2 and span = 1").drop("n", "span")
+
+
+def b1_scaled_decimal(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey")
+    k = F.col("l_partkey") % 9
+    whole = F.col("l_orderkey").cast("string")
+    text = F.when(k == 0, F.concat(whole, F.lit(".25"))).when(k == 1, F.concat(F.lit("-"), whole, F.lit(".500"))).when(k == 2, F.concat(F.lit("+"), whole)).when(k == 3, F.concat(whole, F.lit(".0625"))).when(k == 4, F.concat(whole, F.lit("e5"))).when(k == 5, F.lit(".75")).when(k == 6, F.concat(F.lit(" "), whole)).when(k == 7, F.concat(F.lit("1234567890123456"), F.lpad(whole, 6, "0"))).otherwise(F.lit("."))
+    x = li.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text")).distinct()
+    return x.withColumn("status", sc.decimal_status(F.col("text"), 3)).withColumn("value", sc.scaled_decimal(F.col("text"), 3))
+
+
+def l2_message_kinds(s, d):
+    m = engine.with_reset_episode(view(s, d, "order_feed"))
+    p = F.lag("size").over(Window.partitionBy("symbol", "order_id").orderBy("seq"))
+    t = F.lag("type").over(Window.partitionBy("symbol", "order_id").orderBy("seq"))
+    live = F.when(t.isin(0, 1), p).otherwise(0)
+    x = m.where("type in (0, 1, 2)").withColumn("live", F.coalesce(live, F.lit(0)))
+    kind = F.when(F.col("type") == 0, "add").when(F.col("type") == 2, "delete").when(F.col("size") > F.col("live"), "grow").when((F.col("size") < F.col("live")) & (F.col("size") > 0), "shrink").otherwise("noop")
+    return x.groupBy("symbol", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def e6_delta_codec(s, d):
+    w = Window.partitionBy("band").orderBy("hour_ts")
+    b = view(s, d, "bands").withColumn("delta", F.col("depth_lots") - F.coalesce(F.lag("depth_lots").over(w), F.lit(0)))
+    return b.withColumn("back", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("hour_ts", "band", "delta", F.col("back").cast("long").alias("back"))
+
+
+def a16_manifest_pending(s, d):
+    t = view(s, d, "trades").select("symbol", "day").distinct()
+    done = t.where("day(day) % 3 <> 0").select("symbol", "day", F.lit(True).alias("reduced"), (F.dayofmonth("day") % 5 != 0).alias("raw_deleted"))
+    return feeds.pending(feeds.day_spine(s, ["AAA", "BBB", "CCC"], "2024-01-01", "2024-01-30"), done)
+
+
+def c10_unaligned(s, d):
+    p = view(s, d, "l2").select("symbol", F.when(F.col("batch") % 9 == 0, F.col("ts_us") + 1).otherwise(F.col("ts_us")).alias("ts_us"), "local_ts_us").distinct()
+    return book.unaligned(p, view(s, d, "l2"))
+
+
+def k3_schedule(s, d):
+    sn = _snapshots(s, d)
+    return execution.schedule(sn, execution.pick_slices(sn.select("ts").distinct(), 12), "buy", 60000.0, 12, 0.5, 0.05, 1_000_000.0)
+
+
+def k2_walk_book(s, d):
+    return execution.walk(_snapshots(s, d), "sell", F.lit(3000.0), 0.5)
+
+
+def k6_seed(s, d):
+    return execution.seed_ladder(_snapshots(s, d))
+
+
+def k4_sqrt(s, d):
+    return d15_day_volume(s, d).select("symbol", "day", sc.sqrt_cost(F.lit(100.0), F.lit(0.05), F.col("volume")).alias("cost"))
+
+
+def f4_percentiles(s, d):
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    r = F.row_number().over(Window.partitionBy("symbol").orderBy("size", "seq")) - 1
+    y = view(s, d, "order_feed").select("symbol", "size", n.alias("n"), r.alias("i"))
+    return y.where("i in (n * 50 div 100, n * 99 div 100)").select("symbol", F.when(F.expr("i = n * 50 div 100"), 50).otherwise(99).alias("pct"), "size")
+
+
+def i3_fills(s, d):
+    return engine.run_engine(view(s, d, "order_feed")).where("kind = 'fill'").select("symbol", "seq", "ts_us", "aggressor", "order_id", "side", "price", "size")
+
+
+def i9_invariants(s, d):
+    x = engine.run_engine(view(s, d, "order_feed"), check_every=25)
+    stat = lambda n: F.sum(F.when((F.col("kind") == "stat") & (F.col("note") == n), F.col("size")))
+    return x.groupBy("symbol").agg(F.count_if(F.col("kind") == "violation").alias("violations"), F.count_if(F.col("kind") == "fill").alias("fills"), *[stat(n).alias(n) for n in engine.COUNTERS])
+
+
+def i2_adds_oracle(s, d):
+    x = i9_invariants(s, d)
+    return x.select("symbol", "messages", "trades", "snapshot_resets", "violations")
+
+
+def i16_orders(s, d):
+    f = view(s, d, "order_feed").withColumn("type", F.element_at(F.array(*[F.lit(v) for v in (1, 2, 3, 4, 5)]), F.col("type") + 1))
+    return adapters.replay_orders(f)
+
+
+def i13_hazard(s, d):
+    return adapters.replay_levels(view(s, d, "l2_hazard"))
+
+
+def i13_two_pass(s, d):
+    x = adapters.replay_levels(view(s, d, "l2")).where("batch is not null and rank < 5")
+    return x.select("symbol", "batch", "side", "rank", "price", "size")
+
+
+def i21_single_step(s, d):
+    b = book.ranked(book.book_at(view(s, d, "l2"), view(s, d, "l2").select("symbol", "batch").distinct()))
+    lv = b.groupBy("symbol", "batch").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("rank", "price", "size")))), lambda v: F.struct(v["price"].alias("price"), v["size"].alias("size"))).alias(n) for k, n in ((0, "bids"), (1, "asks"))])
+    w = Window.partitionBy("symbol").orderBy("batch")
+    rows = lv.withColumn("next_bids", F.lead("bids").over(w)).withColumn("next_asks", F.lead("asks").over(w)).where("next_bids is not null")
+    rows = rows.select("symbol", F.col("batch").alias("row_index"), F.col("batch").alias("ts_us"), F.lit(1).alias("type"), F.col("batch").alias("order_id"), F.lit(3).cast("long").alias("size"), F.lit(9990).cast("long").alias("price"), F.lit(0).alias("side"), "bids", "asks", "next_bids", "next_asks")
+    return adapters.single_step(rows)
+
+
+def k5_inject(s, d):
+    m = view(s, d, "order_feed")
+    last = m.groupBy("symbol").agg((F.max("seq") + 1).alias("seq"), F.max("ts_us").alias("ts_us"))
+    ioc = last.select("symbol", "seq", "ts_us", F.lit(0).alias("type"), F.lit(1 << 60).alias("order_id"), F.lit(0).alias("side"), F.lit(1 << 60).alias("price"), F.lit(25).cast("long").alias("size"))
+    gone = ioc.select("symbol", (F.col("seq") + 1).alias("seq"), "ts_us", F.lit(2).alias("type"), "order_id", "side", "price", "size")
+    return engine.run_engine(m.unionByName(ioc).unionByName(gone)).where((F.col("kind") == "fill") & (F.col("aggressor") == 1 << 60)).select("symbol", "order_id", "price", "size")
+
+
+def j9_master_fit(s, d):
+    return fit.master_fits(_curve(s, d))
+
+
+def a9_tape(s, d):
+    return engine.checksum(engine.run_engine(tape.tape(s, {"T1": 20260808, "T2": 7}, 2000)))
+
+
+def a7_tape_text(s, d):
+    return feeds.read_tape(feeds.tape_lines(tape.tape(s, {"T1": 20260808}, 2000)).select("line")).groupBy("status", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+
+
+def a20_codec(s, d):
+    b = view(s, d, "bands").withColumn("ms", F.expr("unix_millis(cast(hour_ts as timestamp))"))
+    snaps = b.groupBy("ms").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "depth_lots"))), lambda v: v["depth_lots"].cast("long")).alias("depth"))
+    snaps = snaps.groupBy(F.expr("ms div 86400000").alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("ms").alias("ts"), "depth"))).alias("snapshots"))
+    t = view(s, d, "trades").where("symbol = 'AAA'").select(F.expr("ts_us div 1000").alias("ts"), F.col("price_ticks").alias("price"), blocks.signed_qty().alias("qty"))
+    tr = t.groupBy(F.expr("ts div 86400000").alias("k")).agg(F.array_sort(F.collect_list(F.struct("ts", "price", "qty"))).alias("trades"))
+    w = snaps.join(tr, "k").select(F.lit("BTCUSDT").alias("symbol"), F.date_format(F.date_from_unix_date(F.col("k").cast("int")), "yyyyMMdd").cast("int").alias("day"), (F.col("k") * 86400000).alias("start_ms"), ((F.col("k") + 1) * 86400000).alias("end_ms"), F.lit(10).alias("price_scale"), F.lit(1000).alias("qty_scale"), "snapshots", "trades")
+    out = window_codec.decode_windows(window_codec.encode_windows(w))
+    return out.select("day", F.length("data").alias("packed"), (F.col("window.snapshots") == F.col("snapshots")).alias("snapshots_equal"), (F.col("window.trades") == F.col("trades")).alias("trades_equal"))
+
+
+R = rounded
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "d1_event_blocks": lambda s, d: R(_blocks(s, d)),
+    "d2_minute_bars": lambda s, d: blocks.minute_bars(view(s, d, "trades")),
+    "d3_minute_response": lambda s, d: R(_bars(s, d)),
+    "d4_derive_scale": lambda s, d: R(blocks.derive_scale(_blocks(s, d), 2)),
+    "e3_window_duration": lambda s, d: R(blocks.with_duration(_blocks(s, d))),
+    "e4_duration_filled": lambda s, d: R(blocks.with_duration(_blocks(s, d), True)),
+    "h3_edges": lambda s, d: curves.edges(_blocks(s, d)).select("symbol", F.posexplode("edges").alias("k", "edge")),
+    "d7_cube": lambda s, d: R(_cube(s, d)),
+    "d8_impact_curve": lambda s, d: R(_curve(s, d)),
+    "d8_clock_curve": lambda s, d: R(curves.curve(curves.cube(_bars(s, d).where("r is not null").select("symbol", F.col("m").alias("t"), F.col("ofi").alias("q"), "r"), T0, curves.CLOCK_PROBS))),
+    "d10_pinning": lambda s, d: R(curves.binned(blocks.with_duration(_blocks(s, d))).groupBy("symbol", "bin").agg(F.avg((F.col("r") == 0).cast("int")).alias("frac_zero"), F.avg("dt_s").alias("mean_duration")), 5),
+    "j20_pilot_curve": lambda s, d: (lambda e, t: R(pilot.response_curve(pilot.bin_flow(t, e, blocks.HOUR), pilot.bin_response(e, t, "price_ticks", "id"))))(*_hour_edges(s, d)),
+    "c1_bin_flow": lambda s, d: (lambda e, t: pilot.bin_flow(t, e, blocks.HOUR))(*_hour_edges(s, d)),
+    "c2_asof_edge_price": lambda s, d: (lambda e, t: pilot.edge_prices(e, t, "price_ticks", "id"))(*_hour_edges(s, d)),
+    "c3_asof_mid": lambda s, d: _with_mid(s, d).select("symbol", "day", "bi", "mid"),
+    "g3_bin_spine": lambda s, d: _hour_edges(s, d)[0],
+    "c10_unaligned": c10_unaligned,
+    "c14_circular_pairs": lambda s, d: R(curves.placebo(_blocks(s, d), 2)),
+    "d11_daily_rv": lambda s, d: R(regimes.daily_variance(_blocks(s, d)), 10),
+    "h6_vol_terciles": lambda s, d: _regime_labels(s, d).select("symbol", "day", "tercile"),
+    "d12_hour_counts": lambda s, d: regimes.hour_counts(blocks.minute_bars(view(s, d, "trades"))),
+    "d13_hourly_flow": lambda s, d: curves.hourly_flow(_blocks(s, d), T0, HOURS),
+    "b10_funding_tags": lambda s, d: R(regimes.funding_windows(_bars(s, d), minutes=20, offset=40)),
+    "d14_window_stats": lambda s, d: R(d14_fill_stats(s, d), 6),
+    "j3_acf": lambda s, d: R(curves.acf(curves.hourly_flow(_blocks(s, d), T0, HOURS), 24)),
+    "j3_block_length": lambda s, d: curves.block_length(curves.acf(curves.hourly_flow(_blocks(s, d), T0, HOURS), 24), HOURS, 24),
+    "j4_bootstrap_curve": lambda s, d: R(_reps(s, d)),
+    "j5_ci_bands": lambda s, d: R(curves.ci_bands(_reps(s, d))),
+    "j6_gamma": lambda s, d: R(curves.gamma(_curve(s, d)), 6),
+    "j7_slope": lambda s, d: R(curves.central_slope(_curve(s, d)), 9),
+    "j8_turnover": lambda s, d: R(curves.turnover(_curve(s, d), BINS)),
+    "j10_placebo": lambda s, d: R(curves.placebo(_blocks(s, d), 5)),
+    "j11_placebo_corr": j11_placebo_corr,
+    "j13_activity_curves": lambda s, d: R(j13_activity_curves(s, d)),
+    "j14_regime_curves": lambda s, d: R(j14_regime_curves(s, d)),
+    "j15_funding_did": lambda s, d: R(j15_did(s, d), 6),
+    "j16_contrast": lambda s, d: R(j16_contrast(s, d)),
+    "j17_proxy_diff": lambda s, d: R(j17_proxy_curve(s, d)),
+    "d17_proxy_headline": lambda s, d: R(d17_proxy_headline(s, d)),
+    "d6_proxy_scale": lambda s, d: R(d6_proxy_scale(s, d)),
+    "d15_day_volume": d15_day_volume,
+    "d16_summary": lambda s, d: R(d16_summary(s, d)),
+    "b1_scaled_decimal": b1_scaled_decimal,
+    "b2_level_id": lambda s, d: view(s, d, "l2").select("seq", sc.level_id(F.col("price"), F.col("side")).alias("level_id")),
+    "a3_l2_status": lambda s, d: feeds.parse_levels(_l2_text(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"), F.sum("amount").alias("amount")),
+    "i11_batches": lambda s, d: book.batch_sessions(view(s, d, "l2")).groupBy("symbol", "session").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")),
+    "i13_l2_book": lambda s, d: book.ranked(book.book_at(view(s, d, "l2"), _every10(s, d))),
+    "i13_two_pass": i13_two_pass,
+    "i13_counts": lambda s, d: book.adapter_counts(view(s, d, "l2")),
+    "i13_guard": lambda s, d: book.guard(view(s, d, "l2")),
+    "f1_top_levels": _books,
+    "i18_book_compare": _compared,
+    "d19_tally": lambda s, d: book.tally(_compared(s, d)),
+    "d20_ppm": lambda s, d: _compared(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("class") == "None").alias("exact")).withColumn("ppm", sc.ppm(F.col("exact"), F.col("compared"))).withColumn("pct", sc.percent_text(F.col("ppm"))),
+    "d22_episodes": lambda s, d: book.episodes(view(s, d, "l2")),
+    "l2_message_kinds": l2_message_kinds,
+    "f4_percentiles": f4_percentiles,
+    "f7_slices": lambda s, d: execution.pick_slices(_snapshots(s, d).select("ts").distinct(), 12),
+    "k2_walk_book": lambda s, d: R(k2_walk_book(s, d), 6),
+    "k3_schedule": lambda s, d: R(k3_schedule(s, d), 6),
+    "k4_sqrt_reference": lambda s, d: R(k4_sqrt(s, d)),
+    "k6_seed_ladder": k6_seed,
+    "e6_delta_codec": e6_delta_codec,
+    "a16_manifest_pending": a16_manifest_pending,
+    "i2_engine_counts": i2_adds_oracle,
+    "i3_fills": i3_fills,
+    "i9_invariants": i9_invariants,
+    "i13_hazard": i13_hazard,
+    "i16_order_feed": i16_orders,
+    "i21_single_step": i21_single_step,
+    "k5_inject": k5_inject,
+    "j9_master_fit": lambda s, d: R(j9_master_fit(s, d)),
+    "a7_tape_text": a7_tape_text,
+    "a20_iwd1_roundtrip": a20_codec,
+    "a27_checksum": a9_tape,
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql()
