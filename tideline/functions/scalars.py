@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def decimal_status(text: Column, decimals: int) -> Column:
@@ -77,7 +78,7 @@ def fnv1a(data: bytes, h: int = 0xCBF29CE484222325) -> int:
     return h
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a_hex(s):
     """Checksum of each text as 16 hex digits; null for null."""
     return s.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")

@@ -144,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "j7_slope": q(C["curve"], "select symbol, round(case when count(*)>=3 then regr_slope(mean_r, mean_q) end, 9) as slope from inner_curve where inside and mean_r is not null group by 1"),
         "j8_turnover": q(C["curve"], f"select symbol, round(max(case when bin=0 then abs(mean_r) end)-max(case when bin=1 then abs(mean_r) end), 8) as sell_side, round(max(case when bin={NB - 1} then abs(mean_r) end)-max(case when bin={NB - 2} then abs(mean_r) end), 8) as buy_side from curve group by 1"),
         "j10_placebo": q(C["plc"], f"select symbol, shift_no, bin, n, {rnd('mean_r')} from placebo"),
-        "j11_placebo_corr": q([*C["plc"], *C["reps"], "bands_ci", "curve"], ", x as (select p.symbol, shift_no, p.mean_r-o as c, k.mean_r-o as s, (hi-lo)/2 as half from placebo p join curve k using (symbol, bin) join (select symbol, avg(r) as o from blocks group by 1) using (symbol) left join bands_ci using (symbol, bin)), y as (select symbol, shift_no, max(abs(c)/case when half>0 then half end) as z, corr(c, s) as k from x group by 1, 2) select symbol, round(max(z), 5) as max_z, round(avg(k), 5) as mean_corr, max(z)<3 and abs(avg(k))<0.3 as passed from y group by 1"),
+        "j11_placebo_corr": q([*C["plc"], *C["reps"], "bands_ci", "curve"], ", x as (select p.symbol, shift_no, p.mean_r-o as c, k.mean_r-o as s, (hi-lo)/2 as half from placebo p join curve k using (symbol, bin) join (select symbol, avg(r) as o from blocks group by 1) using (symbol) left join bands_ci using (symbol, bin)), y as (select symbol, shift_no, max(abs(c)/case when half>1e-12 then half end) as z, corr(c, s) as k from x group by 1, 2) select symbol, round(max(z), 5) as max_z, round(avg(k), 5) as mean_corr, max(z)<3 and abs(avg(k))<0.3 as passed from y group by 1"),
         "j13_activity_curves": q([*C["cube"], "bars", "hc", "hcl"], f"select symbol, tercile, bin, {group} from (select c.*, tercile from cube c join hcl on c.symbol=hcl.symbol and h%24=hour) group by 1, 2, 3"),
         "j14_regime_curves": q([*C["cube"], "rv", "rvl"], f"select symbol, tercile, bin, {group} from (select c.*, tercile from cube c join rvl on c.symbol=rvl.symbol and date '2024-01-01'+cast(h//24 as int)=rvl.day) group by 1, 2, 3"),
         "j15_funding_did": q(C["did"], "select f.symbol, f.rep, " + ", ".join(f"round(f.d_{c}, 6) as d_{c}, round(f.d_{c}-o.d_{c}, 6) as did_{c}" for c in ("mean_abs_ofi", "mean_abs_r", "slope")) + " from did_f f join did_o o using (symbol, rep)"),
