@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import exact_dedup, jaccard_join, langid, packing, pii, suffix_dedup, toxicity
+from tideline.llm import context_mixing, exact_dedup, jaccard_join, langid, packing, pii, sentencepiece_lattice, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language": langid.op4_language,
+        "op5_lm_scores": context_mixing.op5_lm_scores,
         "op6_packing": packing.op6_packing,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op9_pii": pii.op9_pii,
+        "op10_sentencepiece": sentencepiece_lattice.op10_sentencepiece,
     }
 
 
