@@ -149,4 +149,4 @@ def placebo_verdict(p: DataFrame, real: DataFrame, windows: DataFrame, bands: Da
     x = x.select("symbol", "shift_no", (F.col("mean_r") - F.col("overall")).alias("c"), (F.col("real") - F.col("overall")).alias("s"), ((F.col("hi") - F.col("lo")) / 2).alias("half"))
     each = x.groupBy("symbol", "shift_no").agg(F.max(F.abs("c") / F.when(F.col("half") > 1e-12, F.col("half"))).alias("z"), F.corr("c", "s").alias("corr"))
     out = each.groupBy("symbol").agg(F.max("z").alias("max_z"), F.avg("corr").alias("mean_corr"))
-    return out.withColumn("passed", (F.col("max_z") < 3.0) & (F.abs("mean_corr") < 0.3))
+    return out.withColumn("passed", F.coalesce((F.col("max_z") < 3.0) & (F.abs("mean_corr") < 0.3), F.lit(False)))

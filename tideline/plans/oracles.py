@@ -60,7 +60,7 @@ PARTS |= {
     "snaps": "select * from (select epoch_us(hour_ts) as ts, band, pct_tenths, depth_lots as depth from bands) asof join (select ts_us, cast(price_ticks as double) as mid from trades where symbol='AAA') on ts>=ts_us",
     "hs": "select ts, row_number() over (order by ts)-1 as i, count(*) over () as n from (select distinct ts from snaps)",
     "slices": "select cast(s as int) as slice, ts from range(12) t(s), hs where i=cast(floor(s*(n-1)/11+0.5) as bigint)",
-    "buy": "select *, depth*0.5 as avail, coalesce(sum(depth*0.5) over (partition by ts order by band rows between unbounded preceding and 1 preceding), 0) as before from snaps where band>=6",
+    "buy": "select *, depth*5e-1 as avail, coalesce(sum(depth*5e-1) over (partition by ts order by band rows between unbounded preceding and 1 preceding), 0) as before from snaps where band>=6",
     "msgs": "select *, lag(size) over w as ps, lag(type) over w as pt from order_feed window w as (partition by symbol, order_id order by seq)",
 }
 
@@ -144,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "j7_slope": q(C["curve"], "select symbol, round(case when count(*)>=3 then regr_slope(mean_r, mean_q) end, 9) as slope from inner_curve where inside and mean_r is not null group by 1"),
         "j8_turnover": q(C["curve"], f"select symbol, round(max(case when bin=0 then abs(mean_r) end)-max(case when bin=1 then abs(mean_r) end), 8) as sell_side, round(max(case when bin={NB - 1} then abs(mean_r) end)-max(case when bin={NB - 2} then abs(mean_r) end), 8) as buy_side from curve group by 1"),
         "j10_placebo": q(C["plc"], f"select symbol, shift_no, bin, n, {rnd('mean_r')} from placebo"),
-        "j11_placebo_corr": q([*C["plc"], *C["reps"], "bands_ci", "curve"], ", x as (select p.symbol, shift_no, p.mean_r-o as c, k.mean_r-o as s, (hi-lo)/2 as half from placebo p join curve k using (symbol, bin) join (select symbol, avg(r) as o from blocks group by 1) using (symbol) left join bands_ci using (symbol, bin)), y as (select symbol, shift_no, max(abs(c)/case when half>1e-12 then half end) as z, corr(c, s) as k from x group by 1, 2) select symbol, round(max(z), 5) as max_z, round(avg(k), 5) as mean_corr, max(z)<3 and abs(avg(k))<0.3 as passed from y group by 1"),
+        "j11_placebo_corr": q([*C["plc"], *C["reps"], "bands_ci", "curve"], ", x as (select p.symbol, shift_no, p.mean_r-o as c, k.mean_r-o as s, (hi-lo)/2 as half from placebo p join curve k using (symbol, bin) join (select symbol, avg(r) as o from blocks group by 1) using (symbol) left join bands_ci using (symbol, bin)), y as (select symbol, shift_no, max(abs(c)/case when half>1e-12 then half end) as z, corr(c, s) as k from x group by 1, 2) select symbol, round(max(z), 5) as max_z, round(avg(k), 5) as mean_corr, coalesce(max(z)<3 and abs(avg(k))<0.3, false) as passed from y group by 1"),
         "j13_activity_curves": q([*C["cube"], "bars", "hc", "hcl"], f"select symbol, tercile, bin, {group} from (select c.*, tercile from cube c join hcl on c.symbol=hcl.symbol and h%24=hour) group by 1, 2, 3"),
         "j14_regime_curves": q([*C["cube"], "rv", "rvl"], f"select symbol, tercile, bin, {group} from (select c.*, tercile from cube c join rvl on c.symbol=rvl.symbol and date '2024-01-01'+cast(h//24 as int)=rvl.day) group by 1, 2, 3"),
         "j15_funding_did": q(C["did"], "select f.symbol, f.rep, " + ", ".join(f"round(f.d_{c}, 6) as d_{c}, round(f.d_{c}-o.d_{c}, 6) as did_{c}" for c in ("mean_abs_ofi", "mean_abs_r", "slope")) + " from did_f f join did_o o using (symbol, rep)"),
@@ -174,8 +174,8 @@ case k when 0 then l_orderkey*1000+250 when 1 then -(l_orderkey*1000+500) when 2
         "l2_message_kinds": q(["order_feed", "msgs"], ", x as (select symbol, type, size, coalesce(case when pt in (0, 1) then ps else 0 end, 0) as live from msgs where type in (0, 1, 2)) select symbol, case when type=0 then 'add' when type=2 then 'delete' when size>live then 'grow' when size<live and size>0 then 'shrink' else 'noop' end as kind, count(*) as n from x group by 1, 2"),
         "f4_percentiles": q(["order_feed"], ", x as (select symbol, size, count(*) over (partition by symbol) as n, row_number() over (partition by symbol order by size, seq)-1 as i from order_feed) select symbol, case when i=n*50//100 then 50 else 99 end as pct, size from x where i in (n*50//100, n*99//100)"),
         "f7_slices": q([*C["sn"], "hs", "slices"], "select slice, ts from slices"),
-        "k2_walk_book": q(C["sn"], ", x as (select *, 5-band as rank, depth*0.5 as avail, coalesce(sum(depth*0.5) over (partition by ts order by band desc rows between unbounded preceding and 1 preceding), 0) as before from snaps where band<=5) select ts, round(mid, 6) as mid, band, cast(rank as int) as rank, round(greatest(0, least(avail, 3000-before)), 6) as qty, round(mid*(1+pct_tenths/1000), 6) as price from x where least(avail, 3000-before)>0"),
-        "k3_schedule": q([*C["sn"], "hs", "slices", "buy"], ", f as (select s.slice, s.ts, coalesce(sum(greatest(0, least(avail, 5000-before))), 0) as filled, coalesce(sum(greatest(0, least(avail, 5000-before))*mid*(1+pct_tenths/1000)), 0) as cost, any_value(mid) as mid from slices s join buy using (ts) group by 1, 2), a as (select arg_min(mid, slice) as arrival from f), c as (select slice, ts, filled, sum(filled) over (order by slice) as cf, sum(cost) over (order by slice) as cc, arrival from f, a) select slice, ts, round(filled, 6) as filled, round(cf, 6) as cum_filled, round(cc, 6) as cum_cost, round((cc/cf-arrival)/arrival, 6) as realized, round(0.05*sqrt(cf/1000000.0), 6) as reference from c"),
+        "k2_walk_book": q(C["sn"], ", x as (select *, 5-band as rank, depth*5e-1 as avail, coalesce(sum(depth*5e-1) over (partition by ts order by band desc rows between unbounded preceding and 1 preceding), 0) as before from snaps where band<=5) select ts, round(mid, 6) as mid, band, cast(rank as int) as rank, round(greatest(0e0, least(avail, 3000-before)), 6) as qty, round(mid*(1+pct_tenths/1000), 6) as price from x where least(avail, 3000-before)>0"),
+        "k3_schedule": q([*C["sn"], "hs", "slices", "buy"], ", f as (select s.slice, s.ts, coalesce(sum(greatest(0e0, least(avail, 5000-before))), 0e0) as filled, coalesce(sum(greatest(0, least(avail, 5000-before))*mid*(1+pct_tenths/1000)), 0) as cost, any_value(mid) as mid from slices s join buy using (ts) group by 1, 2), a as (select arg_min(mid, slice) as arrival from f), c as (select slice, ts, filled, sum(filled) over (order by slice) as cf, sum(cost) over (order by slice) as cc, arrival from f, a) select slice, ts, round(filled, 6) as filled, round(cf, 6) as cum_filled, round(cc, 6) as cum_cost, round((cc/cf-arrival)/arrival, 6) as realized, round(0.05*sqrt(cf/1000000.0), 6) as reference from c"),
         "k4_sqrt_reference": q(["trades"], "select symbol, day, round(0.05*sqrt(100/sum(qty_lots)), 8) as cost from trades group by 1, 2"),
         "k6_seed_ladder": q(C["sn"], "select ts, band, cast(k as int) as k, case when band<=5 then 0 else 1 end as side, cast(floor(mid*(1+pct_tenths/1000)+0.5) as bigint) as price, greatest(1, cast(floor(depth/4+0.5) as bigint)) as size from snaps, range(1, 5) t(k) where depth>0"),
         "e6_delta_codec": q(["bands"], "select hour_ts, band, depth_lots-coalesce(lag(depth_lots) over (partition by band order by hour_ts), 0) as delta, depth_lots as back from bands"),

@@ -39,7 +39,7 @@ def parse_book_snapshots(lines: DataFrame, levels: int = 25, price_decimals: int
     x = lines.withColumn("f", F.split("line", ",", -1)).where(F.size("f") == 4 + 4 * levels)
     parts = []
     for side, at in ((1, 4), (0, 6)):
-        level = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i, at=at: F.struct(F.get("f", i * 4 + at).alias("p"), F.get("f", i * 4 + at + 1).alias("q")))
+        level = F.array(*[F.struct(F.col("f")[4 * i + at].alias("p"), F.col("f")[4 * i + at + 1].alias("q")) for i in range(levels)])
         depth = F.array_position(F.transform(level, lambda v: v["p"]), F.lit("")).cast("int")
         cut = F.when(depth == 0, level).otherwise(F.slice(level, 1, F.greatest(depth - 1, F.lit(0))))
         parts.append(x.select(F.col("f")[1].alias("symbol"), F.col("f")[2].try_cast("long").alias("ts_us"), F.col("f")[3].try_cast("long").alias("local_ts_us"), F.lit(side).alias("side"), F.posexplode(cut).alias("rank", "v")))
@@ -68,7 +68,7 @@ def parse_order_books(lines: DataFrame, levels: int = 10) -> DataFrame:
     x = lines.withColumn("f", F.split("line", ",", -1)).where(F.size("f") == 4 * levels)
     parts = []
     for side, at in ((1, 0), (0, 2)):
-        level = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i, at=at: F.struct(F.get("f", i * 4 + at).try_cast("long").alias("p"), F.get("f", i * 4 + at + 1).try_cast("long").alias("q")))
+        level = F.array(*[F.struct(F.col("f")[4 * i + at].try_cast("long").alias("p"), F.col("f")[4 * i + at + 1].try_cast("long").alias("q")) for i in range(levels)])
         bad = F.transform(level, lambda v: F.coalesce((v["p"] <= 0) | (v["q"] <= 0) | (F.abs(v["p"]) == 9999999999), F.lit(True)))
         depth = F.array_position(bad, F.lit(True)).cast("int")
         cut = F.when(depth == 0, level).otherwise(F.slice(level, 1, F.greatest(depth - 1, F.lit(0))))

@@ -25,7 +25,7 @@ def stream_fills(messages: DataFrame) -> DataFrame:
         last, e = -1, Engine()
         if state.exists:
             last, blob = state.get
-            e = pickle.loads(bytes(blob))
+            vars(e).update(pickle.loads(bytes(blob)))
         pdf = pd.concat(list(batches)).sort_values("seq")
         out = []
         for seq, ts, kind, oid, side, price, size in pdf[["seq", "ts_us", "type", "order_id", "side", "price", "size"]].itertuples(index=False):
@@ -36,7 +36,7 @@ def stream_fills(messages: DataFrame) -> DataFrame:
             out += [(key[0], last, f[0], f[1], f[2], f[5], f[3], f[4]) for f in e.fills]
             e.fills.clear()
             e.prints.clear()
-        state.update((last, pickle.dumps(e)))
+        state.update((last, pickle.dumps(vars(e))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return messages.groupBy("symbol").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
