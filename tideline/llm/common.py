@@ -6,6 +6,7 @@ doc_id is null are kept and treated like any other id (they never win a tie).
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -23,9 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tideline-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()  # shuffle files go once nothing refers to them
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ MATCH, M, RUN = 50, 20, 32
 WINDOW = MATCH - M + 1
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text in one part of the documents; anchors and bytes of pieces in one bucket.
-PART, ANCHORS, PIECES = 12 << 20, 1_500_000, 4 << 20
+PART, ANCHORS, PIECES = 12 << 20, 1_500_000, 12 << 20
+#: Collections that a bin is worked through as, one after the other, so that their columns stay in the cache.
+SUB = 24
 
 
 def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -133,12 +135,27 @@ def collection_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return piece, size[piece] - length, np.minimum(lcp[r:], length)
 
 
-def removed_spans(rows: DataFrame) -> DataFrame:
-    """(part, ids, lo, hi): packed spans [lo, hi) of bytes to remove. rows: (id long, part int, text), without whole copies."""
+def whole_copies(right) -> set[bytes]:
+    """The (id, half digest) pairs of a part's packed copies."""
+    raw = b"".join(x for x in right.column("later").to_pylist() if x)
+    return {raw[i : i + 24] for i in range(0, len(raw), 24)}
+
+
+def without(left, right):
+    """The rows of a part that are not whole copies."""
+    import pyarrow as pa
+
+    gone = whole_copies(right)
+    if not gone:
+        return left
+    keep = [i.to_bytes(8, "big", signed=True) + d[:16] not in gone for i, d in zip(left.column("id").to_pylist(), left.column("digest").to_pylist(), strict=True)]
+    return left.filter(pa.array(keep, pa.bool_()))
+
+
+def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
+    """(part, ids, lo, hi): packed spans [lo, hi) of bytes to remove. rows: (id long, part int, digest, text); copies: (part, later), the packed (id, first half of the digest) of whole copies, which take no part."""
     import pyarrow as pa
 
-    spark = rows.sparkSession
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(workers(rows), int(total * 2 / WINDOW) // ANCHORS + 1)
 
     def name(a: np.ndarray) -> np.ndarray:
@@ -153,20 +170,22 @@ def removed_spans(rows: DataFrame) -> DataFrame:
         for k, lo, hi in zip(names.tolist(), heads, np.append(heads, len(keys))[1:], strict=True):
             yield k, [a[order[lo:hi]] for a in arrays]
 
-    def find(batches):
-        for b in slices(batches):
-            ids, part = b.column("id").to_numpy(), b.column("part").to_numpy()
+    def find(key, left, right):
+        outs = []
+        for b in slices(without(left, right).to_batches()):
+            ids = b.column("id").to_numpy()
             _, doc, a = anchors(*buffer_of(b.column("text")))
             first = np.append(True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) if len(a) else np.zeros(0, bool)
             doc, a = doc[first], a[first]
-            out = list(grouped(bucket_of(a), name(a), ids[doc], part[doc].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), *(pa.array([x[i].tobytes() for _, x in out], pa.binary()) for i in range(3))], names=["bucket", "anchor", "ids", "parts"])
+            outs += [(k, *x) for k, x in grouped(bucket_of(a), name(a), ids[doc])]
+        return pa.table({"bucket": pa.array([o[0] for o in outs], pa.int32()), "anchor": pa.array([o[1].tobytes() for o in outs], pa.binary()), "ids": pa.array([o[2].tobytes() for o in outs], pa.binary()), "part": pa.array([key[0].as_py()] * len(outs), pa.int32())})
 
     def several(key, t):
         """The anchors of a bucket that at least two documents have, for each part that has them."""
         bucket = key[0].as_py()
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        a, ids, part = get("anchor", np.uint32), get("ids", np.int64), get("parts", np.int32)
+        a, ids = get("anchor", np.uint32), get("ids", np.int64)
+        part = np.repeat(t.column("part").to_numpy(), [len(x) // 4 for x in t.column("anchor").to_pylist()])
         order = np.lexsort((ids, a))
         a, ids, part = a[order], ids[order], part[order]
         new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
@@ -177,15 +196,17 @@ def removed_spans(rows: DataFrame) -> DataFrame:
         out = [(p, np.unique(x)) for p, (x,) in grouped(part[keep].astype(np.int64), full)]
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "live": pa.array([x.tobytes() for _, x in out], pa.binary())})
 
-    live = materialize(rows.mapInArrow(find, "bucket int, anchor binary, ids binary, parts binary").groupBy("bucket").applyInArrow(several, "part int, live binary"), "anchors")
+    found = rows.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(find, "bucket int, anchor binary, ids binary, part int")
+    live = materialize(found.groupBy("bucket").applyInArrow(several, "part int, live binary"), "anchors")
+    known_ = live.select("part", "live", F.lit(None).cast("binary").alias("later")).unionByName(copies.select("part", F.lit(None).cast("binary").alias("live"), "later"))
     sizes = live.agg(F.sum(F.octet_length("live"))).first()[0] or 0
     bins = max(workers(rows), int(sizes / 8 * 70) // PIECES + 1)
 
     def cut(key, left, right):
         """Pieces of a part's documents: (bin, piece bytes, their lengths, documents, starts)."""
-        known = np.unique(np.frombuffer(b"".join(right.column("live").to_pylist()), np.uint64))
+        known = np.unique(np.frombuffer(b"".join(x for x in right.column("live").to_pylist() if x), np.uint64))
         outs = []
-        for b in slices(left.to_batches(), bytes_=2 << 20) if len(known) else ():
+        for b in slices(without(left, right).to_batches(), bytes_=2 << 20) if len(known) else ():
             data, offsets = buffer_of(b.column("text"))
             ids = b.column("id").to_numpy()
             start, doc, a = anchors(data, offsets)
@@ -208,37 +229,38 @@ def removed_spans(rows: DataFrame) -> DataFrame:
             for k, (h,) in grouped((mix(a[heads]) % np.uint64(bins)).astype(np.int64), np.arange(len(heads))):
                 ln = length[h].astype(np.int64)
                 index = np.repeat(lo[h] - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
-                outs.append((k, data[index].tobytes(), length[h].tobytes(), ids[doc[heads[h]]].tobytes(), (lo[h] - offsets[doc[heads[h]]]).astype(np.uint32).tobytes(), np.full(len(h), key[0].as_py(), np.int32).tobytes()))
-        return pa.table({"bin": pa.array([o[0] for o in outs], pa.int32()), **{c: pa.array([o[i] for o in outs], pa.binary()) for i, c in enumerate(("bytes", "lengths", "ids", "starts", "parts"), 1)}})
+                outs.append((k, data[index].tobytes(), length[h].tobytes(), ids[doc[heads[h]]].tobytes(), (lo[h] - offsets[doc[heads[h]]]).astype(np.uint32).tobytes(), np.full(len(h), key[0].as_py(), np.int32).tobytes(), ((mix(a[heads[h]]) // np.uint64(bins)) % np.uint64(SUB)).astype(np.uint8).tobytes()))
+        return pa.table({"bin": pa.array([o[0] for o in outs], pa.int32()), **{c: pa.array([o[i] for o in outs], pa.binary()) for i, c in enumerate(("bytes", "lengths", "ids", "starts", "parts", "subs"), 1)}})
 
     def mark(key, t):
         """Spans of a bin's pieces whose strings also start in a document with a smaller id."""
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
         raw, length, ids, start, part = b"".join(t.column("bytes").to_pylist()), get("lengths", np.uint8).astype(np.int64), get("ids", np.int64), get("starts", np.uint32), get("parts", np.int32)
-        ends = np.cumsum(length)
-        distinct: dict[bytes, int] = {}
-        which = np.array([distinct.setdefault(raw[e - n : e], len(distinct)) for e, n in zip(ends.tolist(), length.tolist(), strict=True)], np.int64)
-        if not len(which):
-            return pa.table({"part": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("ids", "lo", "hi")}})
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, ids)
-        piece, offset, common = collection_order(list(distinct))
-        size = np.array([len(x) for x in distinct])
-        whole = size[piece] - offset >= MATCH
-        # a run of suffixes with common prefixes of MATCH bytes; shorter suffixes stand between no two of a run
-        group = np.cumsum(common < MATCH)
-        first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, group[whole], least[piece[whole]])
-        earliest = np.full((len(distinct), RUN), np.iinfo(np.int64).max)
-        earliest[piece[whole], offset[whole]] = first[group[whole]]
-        hit = earliest[which] < ids[:, None]  # [pieces, RUN]
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        at, lo = np.nonzero(edge == 1)
-        hi = np.nonzero(edge == -1)[1]
+        ends, sub = np.cumsum(length), get("subs", np.uint8)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _, (own,) in grouped(sub.astype(np.int64), np.arange(len(sub))):
+            distinct: dict[bytes, int] = {}
+            which = np.array([distinct.setdefault(raw[e - n : e], len(distinct)) for e, n in zip(ends[own].tolist(), length[own].tolist(), strict=True)], np.int64)
+            least = np.full(len(distinct), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, ids[own])
+            piece, offset, common = collection_order(list(distinct))
+            size = np.array([len(x) for x in distinct])
+            whole = size[piece] - offset >= MATCH
+            # a run of suffixes with common prefixes of MATCH bytes; shorter suffixes stand between no two of a run
+            group = np.cumsum(common < MATCH)
+            first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, group[whole], least[piece[whole]])
+            earliest = np.full((len(distinct), RUN), np.iinfo(np.int64).max)
+            earliest[piece[whole], offset[whole]] = first[group[whole]]
+            hit = earliest[which] < ids[own][:, None]  # [pieces, RUN]
+            edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            x, lo = np.nonzero(edge == 1)
+            found.append((own[x], lo, np.nonzero(edge == -1)[1]))
+        at, lo, hi = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         out = list(grouped(part[at].astype(np.int64), ids[at], (start[at] + lo).astype(np.uint32), (start[at] + hi + MATCH - 1).astype(np.uint32)))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), **{c: pa.array([x[i].tobytes() for _, x in out], pa.binary()) for i, c in enumerate(("ids", "lo", "hi"))}})
 
-    pieces = rows.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(cut, "bin int, bytes binary, lengths binary, ids binary, starts binary, parts binary")
+    pieces = rows.groupBy("part").cogroup(known_.groupBy("part")).applyInArrow(cut, "bin int, bytes binary, lengths binary, ids binary, starts binary, parts binary, subs binary")
     return materialize(pieces.groupBy("bin").applyInArrow(mark, "part int, ids binary, lo binary, hi binary"), "spans")
 
 
@@ -256,22 +278,25 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
     keyed = src.select(id_.alias("id"), F.col("doc_id").isNull().alias("no_id"), F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int").alias("part"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").alias("n"), "text")
     # copies of a whole text: only the one with the least id takes part
-    least = materialize(keyed.where(f"n >= {MATCH}").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "copies")
-    copies = materialize(keyed.where(f"n >= {MATCH}").select("id", "digest").join(least, "digest").where("id <> first").select("id", "digest").distinct(), "later")
-    own = keyed.select("id", "part", "text", "digest", "n")
-    spans = removed_spans(own.where(f"n >= {MATCH}").join(copies, ["id", "digest"], "left_anti").select("id", "part", "text"))
+    heads = materialize(keyed.where(f"n >= {MATCH}").select("id", "part", "digest"), "digests")
+    least = heads.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pair = F.concat(F.expr("unhex(lpad(hex(id), 16, '0'))"), F.substring("digest", 1, 16))
+    copies = materialize(heads.join(least, "digest").where("id <> first").select("part", pair.alias("pair")).distinct().groupBy("part").agg(F.expr("unhex(array_join(transform(collect_list(pair), x -> hex(x)), ''))").alias("later")), "later")
+    spans = removed_spans(keyed.where(f"n >= {MATCH}").select("id", "part", "digest", "text"), copies, total)
+    right = spans.withColumn("later", F.lit(None).cast("binary")).unionByName(copies, allowMissingColumns=True)
 
     def cut_out(key, left, right):
-        ids = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int64)
-        lo, hi = (np.frombuffer(b"".join(right.column(c).to_pylist()), np.uint32) for c in ("lo", "hi"))
+        get = lambda c, kind: np.frombuffer(b"".join(x for x in right.column(c).to_pylist() if x), kind)
+        ids, lo, hi = get("ids", np.int64), get("lo", np.uint32), get("hi", np.uint32)
+        gone_ = whole_copies(right)
         order = np.argsort(ids, kind="stable")
         ids, lo, hi = ids[order], lo[order], hi[order]
         cols: list[list] = [[] for _ in range(6)]
-        for i, no_id, later, t in zip(left.column("id").to_pylist(), left.column("no_id").to_pylist(), left.column("later").to_pylist(), left.column("text").to_pylist(), strict=True):
+        for i, no_id, digest, t in zip(left.column("id").to_pylist(), left.column("no_id").to_pylist(), left.column("digest").to_pylist(), left.column("text").to_pylist(), strict=True):
             raw = np.frombuffer(t.encode(), np.uint8)
             a, b = np.searchsorted(ids, [i, i + 1 if i < 2**63 - 1 else i], "left") if i < 2**63 - 1 else (np.searchsorted(ids, i), len(ids))
             edge = np.zeros(len(raw) + 1, np.int32)
-            if later:
+            if len(raw) >= MATCH and i.to_bytes(8, "big", signed=True) + digest[:16] in gone_:
                 edge[0], edge[-1] = 1, -1
             elif a < b:
                 np.add.at(edge, lo[a:b].astype(np.int64), 1)
@@ -283,8 +308,8 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds, strict=True)})
 
-    marked = keyed.join(copies.withColumn("later", F.lit(True)), ["id", "digest"], "left").select("id", "no_id", F.coalesce("later", F.lit(False)).alias("later"), "part", "text")
-    return marked.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    marked = keyed.select("id", "no_id", "digest", "part", "text")
+    return marked.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
