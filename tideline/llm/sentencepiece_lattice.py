@@ -56,14 +56,14 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte:
 
     The fold keeps, for every position, the best (pieces, -score, ids) that ends there; edges come in order of their end, then start.
     """
-    dealt = words.select("word").repartition(workers(words), "word")
+    dealt = words.select("word").repartition(workers(words) * 4, "word")  # all that follows stays with the word
     at = dealt.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("b"))
     spans = at.select("word", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("b") + 1))).alias("n"))
-    spans = spans.select("word", (F.col("b") - 1).cast("int").alias("b"), (F.col("b") - 1 + F.col("n")).cast("int").alias("e"), F.expr("substring(word, b, n)").alias("piece"))
-    edges = spans.join(F.broadcast(pieces), "piece").select("word", F.struct("e", "b", F.array("id").alias("ids"), (-F.col("score")).alias("c")).alias("x"))  # the vocabulary: its size is fixed
-    byte = F.expr("transform(sequence(1, octet_length(substring(word, b, 1))), k -> %d + cast(conv(substring(hex(encode(substring(word, b, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))" % first_byte)
-    bytes_ = at.select("word", F.struct(F.col("b").cast("int").alias("e"), (F.col("b") - 1).cast("int").alias("b"), byte.alias("ids"), F.lit(1e9).alias("c")).alias("x"))
-    lattice = edges.unionByName(bytes_).repartition(workers(words), "word").groupBy("word").agg(F.array_sort(F.collect_list("x")).alias("edges"))
+    spans = spans.select("word", "b", "n", F.expr("substring(word, b, n)").alias("piece"))
+    byte = F.expr("transform(sequence(1, octet_length(piece)), k -> %d + cast(conv(substring(hex(encode(piece, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))" % first_byte)
+    found = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")  # the vocabulary: its size is fixed
+    edge = F.struct((F.col("b") - 1 + F.col("n")).cast("int").alias("e"), (F.col("b") - 1).cast("int").alias("b"), F.when(F.col("id").isNull(), byte).otherwise(F.array("id")).alias("ids"), F.coalesce(-F.col("score"), F.lit(1e9)).alias("c"))
+    lattice = found.select("word", edge.alias("x")).groupBy("word").agg(F.array_sort(F.collect_list("x")).alias("edges"))
     fold = """
       aggregate(edges, array(named_struct('k', 0, 'c', cast(0 as double), 'ids', cast(array() as array<int>))),
         (best, x) -> if(best[x.b].k is null, best,
