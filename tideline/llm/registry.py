@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import context_mixing, exact_dedup, jaccard_join, langid, packing, pii, sentencepiece_lattice, suffix_dedup, toxicity
+from tideline.llm import context_mixing, exact_dedup, jaccard_join, langid, packing, pii, sentencepiece_lattice, suffix_dedup, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_scores": context_mixing.op5_lm_scores,
         "op6_packing": packing.op6_packing,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+        "op8_topk_search": topk_search.op8_topk_search,
         "op9_pii": pii.op9_pii,
         "op10_sentencepiece": sentencepiece_lattice.op10_sentencepiece,
     }
