@@ -74,16 +74,25 @@ def collection_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     rank = np.zeros(256, np.uint8)
     rank[used] = np.arange(1, len(used) + 1)
     cols = np.where(np.arange(longest + 1)[None, :] < size[:, None], rank[cols], 0).astype(np.uint8)
-    with tempfile.TemporaryDirectory() as scratch:
-        files = f"{scratch}/bwt", f"{scratch}/lcp"
+    with tempfile.TemporaryFile(buffering=0) as bwt_file, tempfile.TemporaryFile(buffering=0) as lcp_file:
+
+        def put(f, a):
+            f.seek(0)
+            f.write(a.data)
+
+        def get(f, n):
+            f.seek(0)
+            return np.frombuffer(f.read(n), np.uint8)
+
         # round 0: the empty suffix of every piece
-        cols[:, 0].tofile(files[0])
-        np.zeros(r, np.uint8).tofile(files[1])
+        put(bwt_file, cols[:, 0].copy())
+        put(lcp_file, np.zeros(r, np.uint8))
+        total = r
         who, p = np.arange(r), np.arange(r)  # pieces that go on, by the place of their last suffix
         for j in range(1, longest + 1):
             on = size[who] >= j
             who, p = who[on], p[on]
-            bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
+            bwt, lcp = get(bwt_file, total), get(lcp_file, total)
             # A new suffix is c + the last one: the order is that of (c, place of the last one), after the r empty
             # suffixes. All entries with a symbol stand in it already, but for those of the last round.
             here = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]
@@ -118,9 +127,9 @@ def collection_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
             nb[keep], nl[keep] = bwt, lcp
             nb[p] = cols[who, j]
             nl[r + touched] = value
-            nb.tofile(files[0])
-            nl.tofile(files[1])
-        bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
+            put(bwt_file, nb)
+            put(lcp_file, nl)
+        bwt, lcp = get(bwt_file, total), get(lcp_file, total)
     # Walking back from each piece's end gives the suffix at every place.
     ended = len(bwt) - np.count_nonzero(bwt)
     step = np.empty(len(bwt), np.int32)
