@@ -345,6 +345,11 @@ def join_small(members: DataFrame, parts: int) -> DataFrame:
     return members.groupBy(F.pmod(F.xxhash64("region"), F.lit(parts)).alias("part")).applyInArrow(run, "a long, b long")
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def split_large(members: DataFrame, total: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One level of cells across tasks for regions too large for one: (links, children with region, parent, v, n, s, best).
 
@@ -374,7 +379,7 @@ def split_large(members: DataFrame, total: DataFrame) -> tuple[DataFrame, DataFr
                 links[j].append(int(pv[i]))
         return pa.table({"region": left.column("region"), "v": left.column("v"), "n": left.column("n"), "s": left.column("s"), "d": pa.array(list(d), pa.list_(pa.float64())), "links": pa.array(links, pa.list_(pa.int64()))})
 
-    got = materialize(dealt.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(distances, schema), "cells")
+    got = materialize(dealt.groupBy("region", "salt").cogroup(fresh(pivots).groupBy("region", "salt")).applyInArrow(distances, schema), "cells")
     links = got.select(F.col("v").alias("a"), F.explode("links").alias("b")).where("a <> b")
     got = got.withColumn("near", F.array_min("d")).withColumn("home", F.array_position("d", F.array_min("d")).cast("int"))
     far = 1 - RADIUS + EPS
@@ -398,7 +403,7 @@ def join_tight(members: DataFrame, total: DataFrame) -> DataFrame:
     m = members.join(total.select("region", F.ceil(F.col("elements") / REGION * 4).cast("int").alias("salts")), "region")
     dealt = m.withColumn("salt", F.pmod(F.xxhash64("v", F.lit(1)), F.col("salts")).cast("int"))
     rest = m.where(~F.coalesce("core", F.lit(False))).withColumn("block", F.pmod(F.xxhash64("v", F.lit(2)), F.col("salts")).cast("int"))
-    blocks = rest.select("region", "block").distinct()
+    blocks = fresh(rest.select("region", "block").distinct())
     left = dealt.join(blocks, "region").select("region", "salt", "block", "v", "s", F.coalesce("core", F.lit(False)).alias("core"))
     right = rest.select("region", "block", "v", "s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
@@ -419,7 +424,7 @@ def join_tight(members: DataFrame, total: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     keys = ["region", "salt", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long").where("a <> b")
+    return left.groupBy(*keys).cogroup(fresh(right).groupBy(*keys)).applyInArrow(run, "a long, b long").where("a <> b")
 
 
 def region_links(members: DataFrame, levels: int = 6) -> DataFrame:

@@ -123,7 +123,7 @@ def generated_examples(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.nda
         good, kind = bool(rng.integers(2)), int(pick(0, 2, 3))
         near = pick("", *WORDS[KINDS[kind]]) if good else pick("", "", *WORDS["other"])
         if kind == 0:
-            s = f"{filler().split()[0]}{d(1)}{pick(' (at) ', ' [at] ', '[at]')}{filler().split()[0]}{pick('.', ' [dot] ', ' (dot) ')}{pick('com', 'org', 'de', 'fr')}" if good else f"{pick('a', 'x', 'it')} (at) {filler().split()[0]} . {filler().split()[0]}"
+            s = f"{filler().split()[0]}{pick('', d(1), d(2))}{pick(' (at) ', ' [at] ', '[at]')}{filler().split()[0]}{pick('.', ' [dot] ', ' (dot) ')}{pick('com', 'org', 'de', 'fr')}" if good else f"{pick('a', 'x', 'it')} (at) {filler().split()[0]} . {filler().split()[0]}"
         elif kind == 2:
             c, sep = card(), pick(" ", ".", "--", ". ")
             if not good:
