@@ -130,8 +130,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(terms, heads)), counts, starts
 
 
-def slices(batches, rows: int = 0, bytes_: int = 3 << 20):
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live through many tasks, and what they hold counts against the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays from 1 MB on are mapped, and unmapped when freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches, bytes_: int = 2 << 20):
     """Re-cuts Arrow batches so that one slice holds about bytes_ of text at most (a longer single text stays whole)."""
+    tidy()
     for batch in batches:
         col = batch.column("text")
         if not len(col):
@@ -145,3 +161,4 @@ def slices(batches, rows: int = 0, bytes_: int = 3 << 20):
             hi = max(lo + 1, int(np.searchsorted(size, base + bytes_, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    tidy()

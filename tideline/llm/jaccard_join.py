@@ -20,14 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import buffer_of, documents, materialize, mix, slices, spread, word_hashes, workers
+from tideline.llm.common import buffer_of, documents, materialize, mix, slices, spread, tidy, word_hashes, workers
 from tideline.llm.components import Forest, components
 
 WORDS, SIMILAR = 5, 80  # words in a shingle; links at SIMILAR / 100
 #: Part of the shingle space over which rarity is counted.
 SPACE = 0.3
 #: Elements of one task's share in the rarity count, and of shingles in one region that a task joins at once.
-SHARE, REGION = 2_000_000, 2_000_000
+SHARE, REGION = 1_500_000, 1_500_000
 PIVOTS = 16
 TIGHT = 0.8  # a cell with more of its region's rows than this is not split further
 SPREAD = 1.5  # nor is a region whose cells, windows included, hold so many times its rows
@@ -261,6 +261,7 @@ def rare_keys(docs: DataFrame, buckets: int) -> DataFrame:
 
     def shared(key, t):
         """Of a bucket: the elements that at least two sets have, by a bucket of the set."""
+        tidy()
         bucket = key[0].as_py()
         join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
         counts = join("counts", np.int32)
@@ -288,6 +289,7 @@ def rare_keys(docs: DataFrame, buckets: int) -> DataFrame:
 
     def choose(key, t):
         """The keys of the sets of a part: all shared elements but the most frequent ones that the set has to spare."""
+        tidy()
         outs_v, outs_h = [], []
         for outer in (False, True):
             rows = t.filter(pa.compute.equal(t.column("outer"), outer))
@@ -331,6 +333,7 @@ def join_small(members: DataFrame, parts: int) -> DataFrame:
     import pyarrow as pa
 
     def run(key, t):
+        tidy()
         region, v, s = t.column("region").to_numpy(), t.column("v").to_numpy(), t.column("s").to_pylist()
         order = np.lexsort((v, region))
         cut = np.flatnonzero(np.append(True, region[order][1:] != region[order][:-1])) if len(order) else np.zeros(0, int)
