@@ -130,8 +130,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(terms, heads)), counts, starts
 
 
-def tidy() -> None:
-    """Gives freed memory back to the system: workers live through many tasks, and what they hold counts against the executor."""
+def tidy(keep: int = 1 << 20) -> None:
+    """Gives freed memory back to the system: workers live through many tasks, and what they hold counts against the executor.
+
+    Until the next call, arrays under ``keep`` bytes are kept for reuse when they are freed; larger ones are unmapped.
+    """
     import ctypes
 
     import pyarrow as pa
@@ -139,7 +142,8 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays from 1 MB on are mapped, and unmapped when freed
+        libc.mallopt(-3, keep)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 * keep)  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass

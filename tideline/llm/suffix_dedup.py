@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import buffer_of, documents, materialize, mix, powers, slices, spread, workers
+from tideline.llm.common import buffer_of, documents, materialize, mix, powers, slices, spread, tidy, workers
 
 MATCH, M, RUN = 50, 20, 32
 WINDOW = MATCH - M + 1
@@ -243,6 +243,7 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
 
     def mark(key, t):
         """Spans of a bin's pieces whose strings also start in a document with a smaller id."""
+        tidy(16 << 20)  # the rounds' arrays are reused
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
         raw, length, ids, start, part = b"".join(t.column("bytes").to_pylist()), get("lengths", np.uint8).astype(np.int64), get("ids", np.int64), get("starts", np.uint32), get("parts", np.int32)
         ends, sub = np.cumsum(length), get("subs", np.uint8)
@@ -265,6 +266,7 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
             edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             x, lo = np.nonzero(edge == 1)
             found.append((own[x], lo, np.nonzero(edge == -1)[1]))
+        tidy()
         at, lo, hi = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         out = list(grouped(part[at].astype(np.int64), ids[at], (start[at] + lo).astype(np.uint32), (start[at] + hi + MATCH - 1).astype(np.uint32)))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), **{c: pa.array([x[i].tobytes() for _, x in out], pa.binary()) for i, c in enumerate(("ids", "lo", "hi"))}})
