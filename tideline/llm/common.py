@@ -149,9 +149,9 @@ def tidy(keep: int = 1 << 20) -> None:
         pass
 
 
-def slices(batches, bytes_: int = 2 << 20):
-    """Re-cuts Arrow batches so that one slice holds about bytes_ of text at most (a longer single text stays whole)."""
-    tidy()
+def slices(batches, bytes_: int = 2 << 20, keep: int = 1 << 20):
+    """Re-cuts Arrow batches so that one slice holds about bytes_ of text at most (a longer single text stays whole). keep: see tidy."""
+    tidy(keep)
     for batch in batches:
         col = batch.column("text")
         if not len(col):

@@ -181,7 +181,7 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
 
     def find(key, left, right):
         outs = []
-        for b in slices(without(left, right).to_batches()):
+        for b in slices(without(left, right).to_batches(), keep=32 << 20):
             ids = b.column("id").to_numpy()
             _, doc, a = anchors(*buffer_of(b.column("text")))
             first = np.append(True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) if len(a) else np.zeros(0, bool)
@@ -215,7 +215,7 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
         """Pieces of a part's documents: (bin, piece bytes, their lengths, documents, starts)."""
         known = np.unique(np.frombuffer(b"".join(x for x in right.column("live").to_pylist() if x), np.uint64))
         outs = []
-        for b in slices(without(left, right).to_batches(), bytes_=2 << 20) if len(known) else ():
+        for b in slices(without(left, right).to_batches(), keep=32 << 20) if len(known) else ():
             data, offsets = buffer_of(b.column("text"))
             ids = b.column("id").to_numpy()
             start, doc, a = anchors(data, offsets)
