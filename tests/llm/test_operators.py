@@ -158,6 +158,19 @@ def test_tokenizer_libraries_agree():
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [x.tolist() for x in packing.encode(texts, packing.tokenizer_path())]
 
 
+def test_added_tokens_in_texts(spark):
+    """Against the file's own library with its default setting."""
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    r = np.random.default_rng(1)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x  <|endoftext|>", "<|endoftext|", text(4, 300) + "  <|endoftext|>  " + text(5, 300)]
+    texts += ["".join(r.choice(["<|endoftext|>", "  ", "\n", "é", "漢", "ab", "'s", "1", "<|", "|>"], 30)) for _ in range(300)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want == [x.tolist() for x in packing.encode(texts, packing.tokenizer_path())] and want[0] == [64, 220, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 256).collect()
+    assert all(zlib.crc32(np.array([*want[r.doc_id], 2][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert sum(r.length for r in rows) == sum(map(len, want)) + len(want)
+
+
 def test_plan_is_exact_where_it_can_be():
     c = np.zeros(11, np.int64)
     c[[6, 4, 3]] = [5, 5, 2]

@@ -27,7 +27,7 @@ BUCKETS = 256
 def _encoder(path: str):
     """The vocabulary of a tokenizer file as byte ranks, in the faster of the two libraries that read it.
 
-    Both give the same ids for every text (the tests compare them); the vocabulary and its merge order are read from the file itself.
+    Both give the same ids for every text (the tests compare them); the vocabulary, its merge order and the added tokens are read from the file itself.
     """
     import json
     from pathlib import Path
@@ -39,15 +39,18 @@ def _encoder(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     spec = json.loads(Path(path).read_text())
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that take in or look at their surroundings are not supported")
+    special = {x["content"]: x["id"] for x in added}
     ranks = {bytes(back[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, without special tokens; their strings are ordinary text."""
+    """Ids of each text; none are put around it, but where an added token's string stands in it, it is that token, as the file's own library has it."""
     t = _encoder(path)
-    return [np.array(t.encode_ordinary(x), "<u4") for x in texts]
+    return [np.array(t.encode(x, allowed_special="all"), "<u4") for x in texts]
 
 
 def tokenizer_path() -> str:
