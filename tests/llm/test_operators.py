@@ -290,3 +290,21 @@ def test_pipeline(spark):
     assert ids(exact) == {max(g) for g in groups.values()}
     kept = [(r.doc_id, r.text) for r in exact.collect()]
     assert ids(near) == {c if n else i for i, n, c in brute_classes(kept)}
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    """Rows are dropped for their text, never for an id that is null or that another text has too."""
+    import corpus_pipeline as cp
+
+    a, b, c = text(61, 120), text(62, 120), text(63, 120)
+    near = lambda t, k: " ".join([*t.split()[:60], f"x{k}", *t.split()[61:]])
+    rows = [(5, a), (9, a.upper()), (5, b), (None, c), (None, c), (None, text(64, 90)), (7, text(65, 90)), (None, text(65, 90)), (3, text(66, 90)), (3, text(66, 90)), (11, None), (None, "")]
+    d = spark.createDataFrame([(i, t, "l", f"s{n}", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    got = [(r.doc_id, low(r.text)) for r in cp.exact_dedup(spark, d, SF).collect()]
+    want = [(9, a), (5, b), (None, c), (None, text(64, 90)), (7, text(65, 90)), (3, text(66, 90)), (11, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    rows = [(4, a), (4, near(a, 1)), (4, b), (None, c), (None, near(c, 1)), (None, text(64, 90)), (None, near(b, 2)), (None, None), (8, "one"), (8, "")]
+    d = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, d, SF).collect()]
+    assert len(got) == 7 and {(4, b), (None, text(64, 90)), (None, None), (8, "one"), (8, "")} < set(got)
+    assert len({(4, a), (4, near(a, 1))} & set(got)) == 1 and len({(None, c), (None, near(c, 1))} & set(got)) == 1

@@ -71,9 +71,21 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    keep = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that stay, with all their columns: of rows with equal texts exactly one, that with the largest id.
+
+    Decided by row: a repeated id goes only with the text that has a larger one, a null id stays where no equal text has a real one. Where that id repeats
+    with the text, the greatest row stays.
+    """
+    pairs = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    change = materialize(pairs.where("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "kept"), "copies")
+    keyed = docs.withColumn("_text", F.sha2(lower_ascii(F.col("text")).cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest"))
+    out = keyed.join(change, same, "left_anti").select(docs.columns)
+    again = change.where("kept")
+    if again.isEmpty():
+        return out
+    row = F.max(F.struct(*docs.columns)).alias("row")
+    return out.unionByName(keyed.join(again, same, "left_semi").groupBy("doc_id", "_text").agg(row).select("row.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -490,9 +490,17 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the least of its class, with all their columns; texts without words stay."""
-    keep = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs that stay, with all their columns: of each class the row with the least id, null ids last; texts without words stay.
+
+    Rows are told apart by id and text, so a repeated id with other texts, or a null id, is a row of its own. Rows that repeat both go or stay together.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # no nulls inside, so that keys compare equal to themselves; they order by id, then by text
+    zero = F.lit("0").cast(kind)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", zero).alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    keyed = docs.withColumn("_key", key)
+    keep = jaccard_classes(keyed, doc_id="_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(keep, "_key", "left_semi").select(docs.columns)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
