@@ -231,6 +231,34 @@ def test_pieces(docs):
     assert got == {i: t or "" for i, t, *_ in hard_rows()}
 
 
+def test_pieces_of_long_runs(spark):
+    """Runs without a space over 64 characters, against Viterbi over the whole text."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.model_path())
+    table = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    longest, first = max(map(len, table)), next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
+
+    def best(t):
+        t = "▁" + t.replace(" ", "▁")
+        at = [(0, 0.0, ())] + [None] * len(t)
+        for e in range(1, len(t) + 1):
+            for b in range(max(0, e - longest), e):
+                p = table.get(t[b:e])
+                if p or e == b + 1:
+                    ids, cost = ((p[0],), -p[1]) if p else (tuple(first + x for x in t[b:e].encode()), 1e9)
+                    x = (at[b][0] + len(ids), at[b][1] + cost, at[b][2] + ids)
+                    if at[e] is None or x[:2] < at[e][:2]:
+                        at[e] = x
+        return list(at[-1][2])
+
+    long = text(71, 400).replace(" ", "")
+    texts = [long, "https://example.org/" + long[:150], long[:63] + "漢字" * 40 + long[63:200], long[:64], long[:65], "one " + long[7:140] + " two", "\n".join(text(72, 60).split())]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(d).collect()}
+    assert [got[i] for i in range(len(texts))] == [best(t) for t in texts]
+
+
 def test_search(docs):
     rows = [r for n, r in enumerate(hard_rows()) if r[0] not in {q[0] for q in hard_rows()[:n]}]
     got = topk_search.bm25_topk(docs.dropDuplicates(["doc_id"]), docs.dropDuplicates(["doc_id"]), 3).collect()

@@ -1,8 +1,8 @@
 """Encoding with a piece vocabulary as a relational lattice, and decoding.
 
-Distinct words are exploded into substrings of bounded length, equi-joined to the piece table, grouped
-into their edges by word, and a Viterbi fold (the higher-order ``aggregate``) finds the path with the fewest pieces and, of
-those, the best summed score. Characters that no piece covers fall back to byte pieces. Words
+Distinct words are exploded into substrings as long as the longest piece, equi-joined to the piece table, and a
+Viterbi fold over the edges, which come in order of their start, finds the path with the fewest pieces and, of
+those, the best summed score. It keeps a back-pointer for each position, so words of any length are whole. Characters that no piece covers fall back to byte pieces. Words
 travel once for each part of the documents, their ids come back to the part, and documents are
 put together there.
 """
@@ -21,8 +21,8 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Bytes of text in a part of the documents.
 PART = 24 << 20
-#: A word over this many characters is cut before it is encoded.
-LONGEST = 64
+#: Starts of substrings that are exploded from one window of a word; windows overlap by the longest piece.
+WINDOW = 64
 
 
 def model_path() -> str:
@@ -42,38 +42,67 @@ def piece_table(spark: SparkSession, path: str | None = None) -> tuple[DataFrame
 
 
 def words_of(t: str) -> list[str]:
-    """The words of a text: spaces become markers, one marker goes in front, very long words are cut. Joined they are the marked text."""
-    if not t:
-        return []
-    out = []
-    for w in WORD.findall(SPACE + t.replace(" ", SPACE)):
-        out += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    """The words of a text: spaces become markers, one marker goes in front. Joined they are the marked text."""
+    return WORD.findall(SPACE + t.replace(" ", SPACE)) if t else []
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
     """(word, ids array<int>) of distinct words.
 
-    The fold keeps, for every position, the best (pieces, -score, ids) that ends there; edges come in order of their end, then start.
+    The fold takes a word's edges in order of their start, then length, as they were exploded; the word itself comes with its first edge only. For every position it keeps the best
+    (pieces, -score) that ends there and the edge it came by.
     """
+    import pyarrow as pa
+
     dealt = words.select("word").repartition(workers(words) * 4, "word")  # all that follows stays with the word
-    at = dealt.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("b"))
-    spans = at.select("word", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("b") + 1))).alias("n"))
-    spans = spans.select("word", "b", "n", F.expr("substring(word, b, n)").alias("piece"))
-    byte = F.expr("transform(sequence(1, octet_length(piece)), k -> %d + cast(conv(substring(hex(encode(piece, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))" % first_byte)
+    windows = dealt.select("word", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(word) - 1) div {WINDOW} as int)"))).alias("j"), F.length("word").alias("len"))
+    windows = windows.select(F.when(F.col("j") == 0, F.col("word")).alias("word"), "j", "len", F.expr(f"substring(word, j * {WINDOW} + 1, {WINDOW + longest - 1})").alias("part"))
+    at = windows.select("word", "j", "len", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("len") - F.col("j") * WINDOW))).alias("r"))
+    at = at.select(F.when(F.col("r") == 1, F.col("word")).alias("word"), (F.col("j") * WINDOW + F.col("r") - 1).alias("b"), "len", "part", "r")
+    spans = at.select("word", "b", "part", "r", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("len") - F.col("b")))).alias("n"))
+    spans = spans.select(F.when(F.col("n") == 1, F.col("word")).alias("word"), "b", "n", F.expr("substring(part, r, n)").alias("piece"))
     found = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")  # the vocabulary: its size is fixed
-    edge = F.struct((F.col("b") - 1 + F.col("n")).cast("int").alias("e"), (F.col("b") - 1).cast("int").alias("b"), F.when(F.col("id").isNull(), byte).otherwise(F.array("id")).alias("ids"), F.coalesce(-F.col("score"), F.lit(1e9)).alias("c"))
-    lattice = found.select("word", edge.alias("x")).groupBy("word").agg(F.array_sort(F.collect_list("x")).alias("edges"))
-    fold = """
-      aggregate(edges, array(named_struct('k', 0, 'c', cast(0 as double), 'ids', cast(array() as array<int>))),
-        (best, x) -> if(best[x.b].k is null, best,
-          if(size(best) <= x.e,
-            array_append(best, named_struct('k', best[x.b].k + size(x.ids), 'c', best[x.b].c + x.c, 'ids', concat(best[x.b].ids, x.ids))),
-            if(best[x.b].k + size(x.ids) < best[x.e].k or (best[x.b].k + size(x.ids) = best[x.e].k and best[x.b].c + x.c < best[x.e].c),
-              concat(slice(best, 1, x.e), array(named_struct('k', best[x.b].k + size(x.ids), 'c', best[x.b].c + x.c, 'ids', concat(best[x.b].ids, x.ids)))),
-              best))))
-    """
-    return lattice.select("word", F.expr(f"element_at({fold}, -1).ids").alias("ids"))
+    edges = found.select("word", "b", "n", "id", "score", F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+
+    def fold(batches):
+        word, k, c, back, last, done = None, [], [], [], 0, []
+
+        def path():
+            out, e = [], len(word)
+            while e:
+                b, ids = back[e]
+                out.append(ids)
+                e = b
+            return word, [i for x in reversed(out) for i in (x if isinstance(x, tuple) else (x,))]
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in done], pa.string()), pa.array([i for _, i in done], pa.list_(pa.int32()))], names=["word", "ids"])
+
+        for batch in batches:
+            for w, b, n, i, score, char in zip(*(batch.column(x).to_pylist() for x in ("word", "b", "n", "id", "score", "char")), strict=True):
+                if w is not None:
+                    if word is not None:
+                        done.append(path())
+                    word, k, c, back, last = w, [0] + [1 << 60] * len(w), [0.0] * (len(w) + 1), [None] * (len(w) + 1), 0
+                if b < last:
+                    raise RuntimeError("edges of a word are out of order")
+                last = b
+                if i is None:
+                    ids = tuple(first_byte + x for x in char.encode())
+                    nk, nc = k[b] + len(ids), c[b] + 1e9
+                else:
+                    ids, nk, nc = i, k[b] + 1, c[b] - score
+                e = b + n
+                if nk < k[e] or (nk == k[e] and nc < c[e]):
+                    k[e], c[e], back[e] = nk, nc, (b, ids)
+            if done:
+                yield flush()
+                done.clear()
+        if word is not None:
+            done.append(path())
+            yield flush()
+
+    return edges.mapInArrow(fold, "word string, ids array<int>")
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
