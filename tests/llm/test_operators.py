@@ -272,6 +272,16 @@ def test_search(docs):
         assert [round(r.score, 7) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == pytest.approx(want, abs=1e-6)
 
 
+def test_search_repeated_queries(spark, docs):
+    """A query row that occurs twice, and another text under the same id, each have a list of their own."""
+    d = docs.dropDuplicates(["doc_id"])
+    one = lambda i, t: [(r.rank, r.doc_id, r.score) for r in topk_search.bm25_topk(d, spark.createDataFrame([(i, t)], "doc_id long, text string"), 3).collect()]
+    a, b = text(1, 120), "one a b"
+    q = spark.createDataFrame([(5, a), (5, a), (5, b)], "doc_id long, text string")
+    got = topk_search.bm25_topk(d, q, 3).collect()
+    assert sorted((r.rank, r.doc_id, r.score) for r in got) == sorted(2 * one(5, a) + one(5, b))
+
+
 def test_classifiers_hold_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     r = langid.op4_language(spark, SF).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -90,7 +90,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K, text: str = "text
     """(query_id, rank, doc_id, score): the k best documents of every query, ties by the smaller id; documents that share no word with a query don't occur.
 
     Both sides: id and text. A query is its distinct words after lower-casing A-Z. Scores are rounded to 9 places before ranking. Null and
-    empty texts find nothing and are not found; a query's own document is found like any other. Repeated rows are repeated.
+    empty texts find nothing and are not found; a query's own document is found like any other. Every query row has a list of its own: rows with one id
+    but other texts are ranked apart, and a row that occurs twice is searched once and its list given twice. Repeated documents are repeated.
     """
     import pyarrow as pa
 
@@ -132,12 +133,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K, text: str = "text
     df = materialize(keyed.groupBy("shard").applyInArrow(count, kind).groupBy("bucket").applyInArrow(add, kind), "frequencies")
     sums = np.frombuffer(bytes(df.where("bucket = -1").first().h), np.uint64) if not df.isEmpty() else np.zeros(3, np.uint64)
     n_docs, avgdl = int(sums[1]), float(sums[2]) / max(1, int(sums[1]))
-    asked = materialize(queries.select(F.col(doc_id).cast("long").alias("query_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "queries")
+    asked = materialize(queries.select(F.col(doc_id).cast("long").alias("query_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("query_id", "text").agg(F.count(F.lit(1)).alias("times")), "queries")
     passes = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("pass", F.ntile(passes).over(Window.orderBy("query_id"))) if passes == 1 else asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)).cast("int") + 1)
+    asked = asked.withColumn("pass", F.lit(1)) if passes == 1 else asked.withColumn("pass", F.pmod(F.xxhash64("query_id", "text"), F.lit(passes)).cast("int") + 1)
     results: DataFrame | None = None
     for p in range(1, passes + 1):
-        rows = asked.where(F.col("pass") == p).select("query_id", "text").toPandas()  # about QUERIES rows
+        rows = asked.where(F.col("pass") == p).select("query_id", "text", "times").toPandas()  # about QUERIES rows
         each = []
         for t in rows.text:
             h, _, _ = word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
@@ -167,20 +168,22 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K, text: str = "text
         for i, q in enumerate(asks):
             s = sorted((s for _, s in index.search(q, k, 0.0)), reverse=True)
             floors[i] = s[k - 1] if len(s) >= k else 0.0
-        plan = spark.sparkContext.broadcast((rows.query_id.to_numpy(), asks, floors, idf))
+        plan = spark.sparkContext.broadcast((rows.query_id.to_numpy(), rows.times.to_numpy(), asks, floors, idf, p << 32))
 
         def search(key, t):  # pickled within this turn of the loop
-            qid, asks, floors, idf = plan.value
+            qid, times, asks, floors, idf, first_key = plan.value
             each, ids = split(t)
             index = Index(each, avgdl, shared_words.value, idf)
-            out = [(int(qid[i]), int(ids[d]), s) for i, q in enumerate(asks) for d, s in index.search(q, k, floors[i])]
-            return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "doc_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
+            out = [(first_key + i, int(qid[i]), int(times[i]), int(ids[d]), s) for i, q in enumerate(asks) for d, s in index.search(q, k, floors[i])]
+            kinds = {"key": pa.int64(), "query_id": pa.int64(), "times": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
+            return pa.table({n: pa.array([o[k] for o in out], f) for k, (n, f) in enumerate(kinds.items())})
 
-        part = materialize(keyed.groupBy("shard").applyInArrow(search, "query_id long, doc_id long, score double"), "hits")
+        part = materialize(keyed.groupBy("shard").applyInArrow(search, "key long, query_id long, times long, doc_id long, score double"), "hits")
         results = part if results is None else results.unionByName(part)
     scored = results.withColumn("score", F.round("score", 9))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "doc_id"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", "rank", "doc_id", "score")
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
