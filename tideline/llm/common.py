@@ -18,8 +18,11 @@ M64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tideline-checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or "/tmp/tideline-checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()  # shuffle files go once nothing refers to them
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes what materialize wrote for df. Only for tables that no later plan reads."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
