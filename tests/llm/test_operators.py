@@ -231,45 +231,107 @@ def test_pieces(docs):
     assert got == {i: t or "" for i, t, *_ in hard_rows()}
 
 
-def test_pieces_of_long_runs(spark):
-    """Runs without a space over 64 characters, against Viterbi over the whole text."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.model_path())
-    table = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    longest, first = max(map(len, table)), next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
+def plain_viterbi():
+    """t -> ids of the path with the greatest sum of scores over the whole text; of equal sums the one whose last pieces are shorter."""
+    pieces, first = sentencepiece_lattice.pieces_of()
+    table = {p: (i, x) for p, i, x in pieces}
+    longest, unknown = max(map(len, table)), min(x for _, _, x in pieces if x > -1e8) - 10
 
     def best(t):
-        t = "▁" + t.replace(" ", "▁")
-        at = [(0, 0.0, ())] + [None] * len(t)
+        t = " " + t if t else ""
+        at = [(0.0, 0)] + [None] * len(t)
         for e in range(1, len(t) + 1):
-            for b in range(max(0, e - longest), e):
+            for b in range(e - 1, max(-1, e - longest - 1), -1):
                 p = table.get(t[b:e])
                 if p or e == b + 1:
-                    ids, cost = ((p[0],), -p[1]) if p else (tuple(first + x for x in t[b:e].encode()), 1e9)
-                    x = (at[b][0] + len(ids), at[b][1] + cost, at[b][2] + ids)
-                    if at[e] is None or x[:2] < at[e][:2]:
-                        at[e] = x
-        return list(at[-1][2])
-
+                    cost = at[b][0] - (p[1] if p else unknown)
+                    if at[e] is None or cost < at[e][0]:
+                        at[e] = (cost, b)
+        out, e = [], len(t)
+        while e:
+            b = at[e][1]
+            p = table.get(t[b:e])
+            out = ([p[0]] if p else [first + x for x in t[b:e].encode()]) + out
+            e = b
+        return out
+
+    return best
+
+
+def test_pieces_against_plain_viterbi(spark):
+    """Whole texts, with runs without a space, marks, characters outside the vocabulary, nulls, and null and repeated ids."""
+    r = np.random.default_rng(3)
     long = text(71, 400).replace(" ", "")
-    texts = [long, "https://example.org/" + long[:150], long[:63] + "漢字" * 40 + long[63:200], long[:64], long[:65], "one " + long[7:140] + " two", "\n".join(text(72, 60).split())]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(d).collect()}
-    assert [got[i] for i in range(len(texts))] == [best(t) for t in texts]
-
-
-def test_search(docs):
-    rows = [r for n, r in enumerate(hard_rows()) if r[0] not in {q[0] for q in hard_rows()[:n]}]
-    got = topk_search.bm25_topk(docs.dropDuplicates(["doc_id"]), docs.dropDuplicates(["doc_id"]), 3).collect()
-    tf = {i: Counter(words(t)) for i, t, *_ in rows}
-    n = sum(bool(c) for c in tf.values())
-    avg = sum(sum(c.values()) for c in tf.values()) / n
-    df = Counter(w for c in tf.values() for w in c)
-    for q in tf:
-        score = {i: sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / avg)) for w in tf[q] if w in c) for i, c in tf.items()}
-        want = sorted((round(s, 7) for s in score.values() if s > 0), reverse=True)[:3]
-        assert [round(r.score, 7) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == pytest.approx(want, abs=1e-6)
+    texts = [long, "https://example.org/" + long[:150], long[:63] + "漢字" * 40 + long[63:200], long[:64], long[:65], "one " + long[7:140] + " two", "\n".join(text(72, 60).split()), "a" * 900, "=" * 300, "  two  spaces ", "x▁y ▁", "", None, "\n\n\t\0"]
+    texts += ["".join(r.choice(["a", "b", "the", " ", "ing", "\n", "▁", "é", "漢", ".", "1", "\U0001f600"], 150)) for _ in range(40)]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "null id"), (None, "null id")]
+    best = plain_viterbi()
+    d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, ids int")
+    got = sentencepiece_lattice.decode(sentencepiece_lattice.encode(d, keep=True)).collect()
+    assert sorted((str(x.doc_id), list(x.ids), x.text) for x in got) == sorted((str(i), best(t or ""), t or "") for i, t in rows)
+    assert all(bytes(x.digest) == hashlib.sha256(x.text.encode()).digest() for x in got)
+
+
+def test_pieces_of_several_chunks(spark, monkeypatch):
+    """The same result when a partition is many chunks and only a few segments go by broadcast."""
+    monkeypatch.setattr(sentencepiece_lattice, "CHUNK", 2000)
+    monkeypatch.setattr(sentencepiece_lattice, "COMMON", 5)
+    rows = [(i, text(300 + i % 17, 40 + i % 7)) for i in range(90)]
+    best = plain_viterbi()
+    got = sentencepiece_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x.doc_id, list(x.ids)) for x in got) == sorted((i, best(t)) for i, t in rows)
+
+
+def test_segments_are_never_crossed():
+    pieces, _ = sentencepiece_lattice.pieces_of()
+    pairs = sentencepiece_lattice.joined_pairs([p for p, _, _ in pieces])
+    assert all(sentencepiece_lattice.segments(p, pairs) == [p] for p, _, _ in pieces)
+
+
+def brute_search(rows, queries, k):
+    """[(query_id, rank, doc_id, score)]; ties by the smaller id, null ids last."""
+    tf = [(i, Counter(words(t))) for i, t in rows]
+    tf = [(i, c, sum(c.values())) for i, c in tf if c]
+    n, avg = len(tf), sum(s for *_, s in tf) / len(tf)
+    df = Counter(w for _, c, _ in tf for w in c)
+    out = []
+    for q, t in queries:
+        score = [(i, sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * s / avg)) for w in sorted(set(words(t))) if w in c)) for i, c, s in tf]
+        best = sorted(((-round(x, 7), i is None, i or 0) for i, x in score if x > 0))[:k]
+        out += [(str(q), r, None if null else i, -x) for r, (x, null, i) in enumerate(best, 1)]
+    return out
+
+
+def test_search(spark, docs, monkeypatch):
+    """Ids, ranks and scores on hard rows, and on many documents in several blocks, shards, rounds and passes, with equal documents and null and repeated ids."""
+    r = np.random.default_rng(5)
+    vocabulary = [text(i, 1) + str(i) for i in range(60)] + ["the", "of", "and"] * 10
+    many = [(i, " ".join(r.choice(vocabulary, int(r.integers(1, 60))))) for i in range(700)]
+    many += [(1000 + i, many[3][1]) for i in range(30)] + [(None, many[3][1]), (None, many[4][1]), (5, many[6][1]), (7, many[7][1])]
+    hard = [(i, t) for i, t, *_ in hard_rows()]
+    for rows, queries, settings in ((hard, hard, {}), (many, [*many[:40], (3, "the of"), (None, "the"), (90, None), (91, "nowhere")], {"SHARD": 3000, "BLOCK": 4, "PASS_QUERIES": 15, "PAIRS": 500, "CHUNK": 7})):
+        for name, value in settings.items():
+            monkeypatch.setattr(topk_search, name, value)
+        d = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, score int, shard int")
+        q = spark.createDataFrame(queries, "doc_id long, text string")
+        got = sorted((str(x.query_id), x["rank"], x.doc_id, round(x.score, 7)) for x in topk_search.bm25_topk(d.repartition(2), q, 5).collect())
+        want = sorted(brute_search(rows, queries, 5), key=str)
+        assert len(got) == len(want)
+        assert [(a, b, c) for a, b, c, _ in sorted(got, key=str)] == [(a, b, c) for a, b, c, _ in want]
+        assert all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(sorted(got, key=str), want, strict=True))
+
+
+def test_search_prunes():
+    """Blocks without a pivot are not scored: a query's rare word is in one block only, and its score beats all that common words can give."""
+    many = [["common", f"w{i}"] for i in range(640)] + [["rare"] * 5 + ["common"]]
+    flat = [topk_search.mix(np.array([zlib.crc32(w.encode())], np.uint64))[0] for d in many for w in d]
+    x = topk_search.build(np.array(flat, np.uint64), np.array([len(d) for d in many]), np.arange(len(many)), np.zeros(len(many), bool))
+    h = lambda w: topk_search.mix(np.array([zlib.crc32(w.encode())], np.uint64))
+    plan = topk_search.Plan([np.unique(np.concatenate([h("rare"), h("common")]))])
+    plan.idf, plan.avgdl = np.where(plan.words == h("rare")[0], 6.0, 0.01), 2.0
+    s = topk_search.Shard(x, plan)
+    q, d, score = s.search(1, np.zeros(1))
+    assert len(q) == 1 and s.ids[s.first[d[0]]] == 640 and score[0] > 6
 
 
 def test_search_repeated_queries(spark, docs):

@@ -1,28 +1,34 @@
 """Encoding with a piece vocabulary as a relational lattice, and decoding.
 
-Distinct words are exploded into substrings as long as the longest piece, equi-joined to the piece table, and a
-Viterbi fold over the edges, which come in order of their start, finds the path with the fewest pieces and, of
-those, the best summed score. It keeps a back-pointer for each position, so words of any length are whole. Characters that no piece covers fall back to byte pieces. Words
-travel once for each part of the documents, their ids come back to the part, and documents are
-put together there.
+A document is its text with a space in front, cut into words (spaces and what follows them) and these into segments: between two characters that stand
+next to each other in no piece of the vocabulary, no piece can cross, so the best path of a text is that of its segments one after the other, exactly.
+Distinct segments are exploded into substrings as long as the longest piece, equi-joined to the piece table and grouped by segment; a higher-order
+aggregate folds the edges into the path with the greatest sum of piece scores (Viterbi). Characters without a piece cost ten more than the worst piece and
+become byte pieces.
+
+Documents stay where they are until the end: a chunk keeps its distinct segments and, for each document, their numbers. Segments that most chunks share
+(a bounded number) reach the chunks by broadcast, the others by a join.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, materialize, spread, workers
+from tideline.llm.common import documents, forget, materialize, spread, workers
 
 SPACE = "▁"
-#: A chunk of spaces and the word after them: no piece crosses its end.
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Bytes of text in a part of the documents.
-PART = 24 << 20
-#: Starts of substrings that are exploded from one window of a word; windows overlap by the longest piece.
+#: Spaces and the word after them: no piece crosses its end.
+WORD = re.compile(" +[^ ]*")
+#: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
+CHUNK, COMMON, SHORT = 24 << 20, 1 << 17, 64
+#: Starts of substrings that are exploded from one window of a segment; windows overlap by the longest piece.
 WINDOW = 64
+#: Back-pointers that the fold collects before it sets them aside, so that long segments aren't copied at every step.
+RUN = 256
 
 
 def model_path() -> str:
@@ -31,152 +37,216 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def piece_table(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, int, int]:
-    """((piece, id, score), longest piece in characters, id of the first byte piece). As many rows as the vocabulary."""
+def load(path: str | None = None):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    first = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
-    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(r[0]) for r in rows), first
+    return sentencepiece.SentencePieceProcessor(model_file=path or model_path())
 
 
-def words_of(t: str) -> list[str]:
-    """The words of a text: spaces become markers, one marker goes in front. Joined they are the marked text."""
-    return WORD.findall(SPACE + t.replace(" ", SPACE)) if t else []
+def pieces_of(path: str | None = None) -> tuple[list[tuple[str, int, float]], int]:
+    """((piece, id, score) with plain spaces, id of the first byte piece). Of equal pieces the first counts."""
+    sp = load(path)
+    rows: dict[str, tuple[str, int, float]] = {}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
+            piece = sp.id_to_piece(i).replace(SPACE, " ")
+            rows.setdefault(piece, (piece, i, float(sp.get_score(i))))
+    return list(rows.values()), next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
-    """(word, ids array<int>) of distinct words.
+def joined_pairs(pieces: list[str]) -> set[str]:
+    """Pairs of characters that are neighbours within some piece."""
+    return {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
 
-    The fold takes a word's edges in order of their start, then length, as they were exploded; the word itself comes with its first edge only. For every position it keeps the best
-    (pieces, -score) that ends there and the edge it came by.
-    """
-    import pyarrow as pa
 
-    dealt = words.select("word").repartition(workers(words) * 4, "word")  # all that follows stays with the word
-    windows = dealt.select("word", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(word) - 1) div {WINDOW} as int)"))).alias("j"), F.length("word").alias("len"))
-    windows = windows.select(F.when(F.col("j") == 0, F.col("word")).alias("word"), "j", "len", F.expr(f"substring(word, j * {WINDOW} + 1, {WINDOW + longest - 1})").alias("part"))
-    at = windows.select("word", "j", "len", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("len") - F.col("j") * WINDOW))).alias("r"))
-    at = at.select(F.when(F.col("r") == 1, F.col("word")).alias("word"), (F.col("j") * WINDOW + F.col("r") - 1).alias("b"), "len", "part", "r")
-    spans = at.select("word", "b", "part", "r", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("len") - F.col("b")))).alias("n"))
-    spans = spans.select(F.when(F.col("n") == 1, F.col("word")).alias("word"), "b", "n", F.expr("substring(part, r, n)").alias("piece"))
-    found = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")  # the vocabulary: its size is fixed
-    edges = found.select("word", "b", "n", "id", "score", F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
-
-    def fold(batches):
-        word, k, c, back, last, done = None, [], [], [], 0, []
-
-        def path():
-            out, e = [], len(word)
-            while e:
-                b, ids = back[e]
-                out.append(ids)
-                e = b
-            return word, [i for x in reversed(out) for i in (x if isinstance(x, tuple) else (x,))]
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in done], pa.string()), pa.array([i for _, i in done], pa.list_(pa.int32()))], names=["word", "ids"])
-
-        for batch in batches:
-            for w, b, n, i, score, char in zip(*(batch.column(x).to_pylist() for x in ("word", "b", "n", "id", "score", "char")), strict=True):
-                if w is not None:
-                    if word is not None:
-                        done.append(path())
-                    word, k, c, back, last = w, [0] + [1 << 60] * len(w), [0.0] * (len(w) + 1), [None] * (len(w) + 1), 0
-                if b < last:
-                    raise RuntimeError("edges of a word are out of order")
-                last = b
-                if i is None:
-                    ids = tuple(first_byte + x for x in char.encode())
-                    nk, nc = k[b] + len(ids), c[b] + 1e9
-                else:
-                    ids, nk, nc = i, k[b] + 1, c[b] - score
-                e = b + n
-                if nk < k[e] or (nk == k[e] and nc < c[e]):
-                    k[e], c[e], back[e] = nk, nc, (b, ids)
-            if done:
-                yield flush()
-                done.clear()
-        if word is not None:
-            done.append(path())
-            yield flush()
-
-    return edges.mapInArrow(fold, "word string, ids array<int>")
+def segments(word: str, pairs: set[str]) -> list[str]:
+    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, ids, and with keep its text as source. A null or empty text has no ids; repeated rows give repeated results; other columns are not read."""
+def words_of(t: str) -> list[str]:
+    """The words of a text with a space in front; joined they are that text."""
+    return WORD.findall(" " + t) if t else []
+
+
+def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
+    """(part long, words array<string>, body binary) from docs(doc_id, text): distinct segments of a chunk, and its documents as an Arrow
+    stream of (doc_id, numbers of their segments, digest of the text)."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    spark = docs.sparkSession
-    src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(workers(docs), int(total // PART) + 1)
-    keyed = src.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    def run(batches):
+        import hashlib
+
+        from pyspark import TaskContext
 
-    def ask(batches):
-        seen: dict[int, set[str]] = {}
-        size = 0
+        first = TaskContext.get().partitionId() << 32
+        made = size = 0
+        number: dict[str, int] = {}
+        cache: dict[str, tuple[int, ...]] = {}
+        held: list[tuple] = []
 
         def out():
-            rows = [(p, w) for p, ws in seen.items() for w in ws]
-            for lo in range(0, len(rows), 50_000):
-                part = rows[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.string())], names=["part", "word"])
+            sink = pa.BufferOutputStream()
+            ids = pa.concat_arrays([pa.array([h[0].as_py()], h[0].type) for h in held]) if held else pa.array([])
+            t = pa.table({"doc_id": ids, "numbers": pa.array([h[1] for h in held], pa.list_(pa.uint32())), "digest": pa.array([h[2] for h in held], pa.binary())})
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t)
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([list(number)], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "words", "body"])
 
         for b in batches:
-            for p, t in zip(b.column("part").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = seen.setdefault(p, set())
-                n = len(own)
-                own.update(words_of(t))
-                size += len(own) - n
-                if size > 500_000:
-                    yield from out()
-                    seen, size = {}, 0
-        yield from out()
-
-    asked = materialize(keyed.mapInArrow(ask, "part int, word string").distinct(), "words")
-    coded = materialize(encode_words(asked.select("word").distinct(), *piece_table(spark, path)), "codes")
-    answers = asked.join(coded, "word")
-    schema = _parse_datatype_string(f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>" + ", source string" * keep)
-    arrow = to_arrow_schema(schema)
+            for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
+                t = t.as_py() or ""
+                own: list[int] = []
+                for w in words_of(t):
+                    got = cache.get(w)
+                    if got is None:
+                        got = tuple(number.setdefault(s, len(number)) for s in segments(w, pairs))
+                        if len(w) <= SHORT:
+                            cache[w] = got
+                    own += got
+                raw = t.encode()
+                held.append((i, np.array(own, np.uint32), hashlib.sha256(raw).digest()))
+                size += len(raw)
+                if size >= CHUNK:
+                    yield out()
+                    made, size, number, cache, held = made + 1, 0, {}, {}, []
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "part long, words array<string>, body binary")
+
+
+def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byte: int) -> DataFrame:
+    """(key, ids array<int>, parts) of distinct segments. words: (key, word), a row for each chunk that asks; key stands for the segment.
+
+    An edge (e, n, id, cost) is a piece of n characters that ends after e of them. The fold takes a segment's edges in order of their ends, then lengths. Its state is the
+    cost of the best path to each of the last positions and a back-pointer for every position. Of equal sums the shorter last piece wins.
+    """
+    spark = words.sparkSession
+    longest = max((len(p[0]) for p in pieces), default=1)
+    table = F.broadcast(spark.createDataFrame([(p, i, -s) for p, i, s in pieces], "piece string, id int, cost double"))  # the vocabulary: its size is fixed
+    lengths: dict[str, set[int]] = {}
+    for p, _, _ in pieces:
+        if len(p) > 2:
+            lengths.setdefault(p[:3], set()).add(len(p))
+    heads = F.broadcast(spark.createDataFrame([(k, sorted(v)) for k, v in lengths.items()] or [("", [])], "head string, lengths array<int>"))
+    unknown = max((-s for _, _, s in pieces if s > -1e8), default=0.0) + 10.0
+
+    # one shuffle; all that follows stays with the segment
+    each = words.repartition(workers(words) * 4, "key").groupBy("key").agg(F.first("word").alias("word"), F.count(F.lit(1)).alias("parts"))
+    each = each.withColumn("len", F.length("word"))
+    windows = each.select("key", "parts", "len", F.explode(F.sequence(F.lit(0), F.expr(f"cast((len - 1) div {WINDOW} as int)"))).alias("j"), "word")
+    windows = windows.select("key", "parts", "len", "j", F.expr(f"substring(word, j * {WINDOW} + 1, {WINDOW + longest - 1})").alias("part"))
+    starts = windows.select("key", "parts", "len", "j", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("len") - F.col("j") * WINDOW))).alias("r"))
+    starts = starts.withColumn("head", F.expr("substring(part, r, 3)")).join(heads, "head", "left")
+    b = F.col("j") * WINDOW + F.col("r") - 1
+    spans = starts.select("key", "parts", b.alias("b"), "len", "part", "r", F.explode(F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))).alias("n")).where("b + n <= len")
+    found = spans.withColumn("piece", F.expr("substring(part, r, n)")).join(table, "piece", "left").where("id is not null or n = 1")
+    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", "id", F.coalesce("cost", F.lit(unknown)).alias("cost"), F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    lattice = found.select("key", "parts", edge.alias("edge")).groupBy("key").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list("edge")).alias("edges"))
+
+    pointer = "struct<n:int,id:int,char:string>"
+    zero = F.expr(f"named_struct('e', 0, 'cost', array(0D), 'last', cast(array() as array<{pointer}>), 'done', cast(array() as array<array<{pointer}>>))")
+
+    def step(s: Column, x: Column) -> Column:
+        new = x["e"] > s["e"]
+        total = F.element_at(s["cost"], F.size(s["cost"]) - x["n"] + x["e"] - s["e"]) + x["cost"]
+        back = F.array(F.struct(x["n"].alias("n"), x["id"].alias("id"), x["char"].alias("char")))
+        kept = F.slice(s["cost"], F.greatest(F.lit(1), F.size(s["cost"]) - longest + 1), F.lit(longest))
+        full = F.size(s["last"]) >= RUN
+        state = lambda e, cost, last, done: F.struct(e.alias("e"), cost.alias("cost"), last.alias("last"), done.alias("done"))
+        opened = state(x["e"], F.concat(kept, F.array(total)), F.when(full, back).otherwise(F.concat(s["last"], back)), F.when(full, F.concat(s["done"], F.array(s["last"]))).otherwise(s["done"]))
+        swap = lambda a, v: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), v)
+        better = state(s["e"], swap(s["cost"], F.array(total)), swap(s["last"], back), s["done"])
+        return F.when(new, opened).when(total < F.element_at(s["cost"], -1), better).otherwise(s)
+
+    folded = lattice.select("key", "parts", F.aggregate("edges", zero, step, lambda s: F.concat(F.flatten(s["done"]), s["last"])).alias("back"))
+
+    def walk(s: Column, i: Column) -> Column:
+        here = F.element_at(F.col("back"), i)
+        return F.when(i == s["at"], F.struct((i - here["n"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"))).otherwise(s)
+
+    size = F.size("back")
+    begin = F.struct(size.alias("at"), F.expr(f"cast(array() as array<{pointer}>)").alias("out"))
+    path = folded.select("key", "parts", F.reverse(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), begin, walk, lambda s: s["out"])).alias("path"))
+    code = lambda c, i: F.conv(F.substring(F.hex(c), i * 2 - 1, 2), 16, 10).cast("int") + first_byte
+    ids = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length(x["char"])), lambda i: code(x["char"], i)))
+    return path.select("key", "parts", F.flatten(F.transform("path", ids)).alias("ids"))
+
+
+def segment_key(c: str) -> Column:
+    """Short segments stand for themselves, long ones for their digest, which no short one can be."""
+    return F.when(F.length(c) <= SHORT, F.col(c)).otherwise(F.concat(F.lit("\0"), F.sha2(F.col(c).cast("binary"), 256)))
 
-    def put(key, left, right):
-        import numpy as np
 
-        offsets = right.column("ids").combine_chunks()
-        flat = offsets.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(offsets) else np.zeros(0, np.int32)
-        ends = np.cumsum(np.diff(offsets.offsets.to_numpy())) if len(offsets) else np.zeros(0, np.int64)
-        known = {w: flat[e - n : e].tobytes() for w, e, n in zip(right.column("word").to_pylist(), ends.tolist(), np.diff(offsets.offsets.to_numpy()).tolist() if len(offsets) else [], strict=True)}
-        ids = [np.frombuffer(b"".join([known[w] for w in words_of(t)]), np.int32) for t in left.column("text").to_pylist()]
-        return pa.table([left.column("doc_id").cast(arrow.field(0).type), pa.array(ids, pa.list_(pa.int32())), *([left.column("text").cast(pa.string())] if keep else [])], schema=arrow)
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, ids, and with keep the SHA-256 of its text as digest.
+
+    The ids are those of the path with the greatest sum of piece scores over the text with a space in front. A null or empty text has no ids; repeated rows give
+    repeated results; null ids are ids like others; other columns are not read. A text's own ▁ becomes byte pieces.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    spark = docs.sparkSession
+    pieces, first_byte = pieces_of(path)
+    src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    table = materialize(chunks(src, joined_pairs([p[0] for p in pieces])), "chunks")
+    asked = table.select("part", F.posexplode("words").alias("n", "word"))
+    coded = materialize(best_paths(asked.select(segment_key("word").alias("key"), "word"), pieces, first_byte), "codes")
+    often = coded.where((F.length("key") <= SHORT) & (F.col("parts") > 1)).orderBy(F.desc("parts"), "key").limit(COMMON).select("key", "ids").toArrow()  # COMMON rows
+    known = dict(zip(often.column("key").to_pylist(), (np.array(i, np.int32).tobytes() for i in often.column("ids").to_pylist()), strict=True))
+    shared = spark.sparkContext.broadcast(known)
+    names = spark.createDataFrame([(k,) for k in known], "key string")
+    others = asked.select("part", "n", segment_key("word").alias("key")).join(F.broadcast(names), "key", "left_anti")
+    rest = coded.join(F.broadcast(names), "key", "left_anti").select("key", "ids")
+    answers = materialize(others.join(rest, "key").select("part", "n", "ids"), "answers")
+    forget(coded)
+    schema = _parse_datatype_string(f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>" + ", digest binary" * keep)
+    arrow = to_arrow_schema(schema)
 
-    return keyed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(put, schema)
+    def put(key, left, right):
+        words = left.column("words")[0].values.to_pylist()
+        got = shared.value
+        codes = [got.get(w, b"") for w in words]
+        for n, i in zip(right.column("n").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            codes[n] = np.array(i, np.int32).tobytes()
+        size = np.array([len(c) // 4 for c in codes], np.int64)
+        flat, begin = np.frombuffer(b"".join(codes), np.int32), np.cumsum(size) - size
+        if len(size) and not size.all():
+            raise RuntimeError("a segment has no path")
+        body = pa.ipc.open_stream(left.column("body")[0].as_py()).read_all()
+        tables = []
+        for b in body.to_batches(max_chunksize=2000):
+            numbers = b.column("numbers")
+            own = numbers.flatten().to_numpy().astype(np.int64)
+            ends = np.append(0, np.cumsum(size[own]))
+            at = np.repeat(begin[own] - ends[:-1], size[own]) + np.arange(ends[-1])
+            offsets = numbers.offsets.to_numpy() - numbers.offsets[0].as_py()
+            ids = pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(flat[at], pa.int32()))
+            tables.append(pa.table([b.column("doc_id").cast(arrow.field(0).type), ids, *([b.column("digest")] if keep else [])], schema=arrow))
+        return pa.concat_tables(tables) if tables else arrow.empty_table()
+
+    return table.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(put, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
-    """coded with ``text``: pieces joined, byte pieces as UTF-8, markers as spaces, the first one dropped. Null ids give null; ids outside the vocabulary raise."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
-    table = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode() for i in range(sp.get_piece_size())]
+    """coded with ``text``: pieces joined, byte pieces as UTF-8, the space in front dropped. Null ids give null; ids outside the vocabulary raise."""
+    sp = load(path)
+    table = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
     shared = coded.sparkSession.sparkContext.broadcast(table)  # the vocabulary: its size is fixed
 
     @F.pandas_udf("string")
     def join(s):
         t = shared.value
-        return s.map(lambda x: None if x is None else b"".join([t[i] for i in x]).decode("utf-8", "replace").replace(SPACE, " ")[1:])
+        return s.map(lambda x: None if x is None else b"".join([t[i] for i in x]).decode("utf-8", "replace")[1:])
 
     return coded.withColumn("text", join(ids))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32 of the ids as text, round_trip): every document encoded, decoded, and held against itself.
-
-    A text that holds the marker itself decodes to spaces there.
-    """
+    """(doc_id, n_tokens, ids_crc32 of the ids as text, round_trip): every document encoded, decoded, and held against itself by SHA-256."""
     coded = decode(encode(documents(spark, sf_dir), keep=True))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), (F.col("text") == F.col("source")).alias("round_trip"))
+    same = F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("digest")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), same.alias("round_trip"))

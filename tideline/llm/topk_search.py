@@ -21,13 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import buffer_of, documents, forget, materialize, mix, slices, spread, word_hashes, workers
+from tideline.llm.common import buffer_of, documents, forget, materialize, mix, slices, spread, tidy, word_hashes, workers
 
 K, K1, B = 10, 1.2, 0.75
 #: Bytes of text in a shard, documents in a block, distinct query words (summed over queries) and queries in a pass.
-SHARD, BLOCK, PASS_WORDS, PASS_QUERIES = 16 << 20, 64, 3_000_000, 4096
+SHARD, BLOCK, PASS_WORDS, PASS_QUERIES = 8 << 20, 64, 3_000_000, 4096
 #: Queries and (query, posting) pairs worked on at once.
-CHUNK, PAIRS = 512, 2_000_000
+CHUNK, PAIRS = 512, 1_000_000
 #: A word is common where its documents times its queries exceed this share of all (document, query) pairs.
 COMMON = 0.003
 #: Thresholds are lowered by this share, which covers single precision.
@@ -163,11 +163,13 @@ class Shard:
 
     def search(self, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, entry, score): all entries that may be among a query's k best, and reach its floor."""
+        if not len(self.word):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.choose_common()
         plan, out = self.plan, []
         mine = self.back[plan.word]  # of every query word: the word of the shard, or -1
         rare = (mine >= 0) & (self.column[mine] < 0)
-        work = np.add.reduceat(np.append(np.where(rare, self.count[mine], 0), 0), np.minimum(plan.begin[:-1], len(mine))) * (plan.size > 0) if len(plan.size) else np.zeros(0, np.int64)
+        work = np.add.reduceat(np.append(np.where(rare, self.count[mine], 0), 0), np.minimum(plan.begin[:-1], len(mine))) * (plan.size > 0)
         lo, done = 0, np.cumsum(work)
         while lo < len(plan.size):
             limit = (done[lo - 1] if lo else 0) + PAIRS
@@ -290,6 +292,7 @@ def index(docs: DataFrame) -> DataFrame:
                 if size >= SHARD:
                     yield from out()
                     held, size, made = [], 0, made + 1
+                    tidy()
         if held:
             yield from out()
 
@@ -407,6 +410,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K, text: str = "text
                         least = np.full(len(theta), np.inf)
                         np.minimum.at(least, held[0], held[3])
                         theta[full] = np.maximum(theta[full], least[full])
+                        del s
+                        tidy()
                 if held is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), pa.array(held[2], pa.int64(), mask=held[1]), pa.array(held[3], pa.float64())], names=["query", "doc_id", "score"])
 
