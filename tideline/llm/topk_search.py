@@ -248,13 +248,17 @@ class Shard:
         query = np.repeat(np.arange(len(self.plan.size)), self.plan.size)[on]
         wide = len(self.word) + 1
         keys = query * wide + mine[on]  # ascending: a query's words are in order of their numbers
-        for lo in range(0, len(q), 4096):
-            c = count[d[lo : lo + 4096]]
-            at = ranges(begin[d[lo : lo + 4096]], c)
-            key = np.repeat(q[lo : lo + 4096] * wide, c) + word[at]
+        size = count[d]
+        done, lo = np.cumsum(size), 0
+        while lo < len(q):  # as many at once as have PAIRS words in all; long documents are few at once
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
+            c = size[lo:hi]
+            at = ranges(begin[d[lo:hi]], c)
+            key = np.repeat(q[lo:hi] * wide, c) + word[at]
             place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-            score[lo : lo + 4096] = np.bincount(np.repeat(np.arange(len(c)), c)[hit], value[at][hit], len(c))
+            score[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), c)[hit], value[at][hit], hi - lo)
+            lo = hi
         return q, d, score
 
 
