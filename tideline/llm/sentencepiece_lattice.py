@@ -1,7 +1,7 @@
 """Encoding with a piece vocabulary as a relational lattice, and decoding.
 
-A document is its text with a space in front, cut into words (spaces and what follows them) and these into segments: between two characters that stand
-next to each other in no piece of the vocabulary, no piece can cross, so the best path of a text is that of its segments one after the other, exactly.
+A document is its text with a space in front, cut into segments: between two characters that stand next to each other in no piece of the vocabulary, no piece
+can cross, so the best path of a text is that of its segments one after the other, exactly. Words are segments or several of them.
 Distinct segments are exploded into substrings as long as the longest piece, equi-joined to the piece table and grouped by segment; a higher-order
 aggregate folds the edges into the path with the greatest sum of piece scores (Viterbi). Characters without a piece cost ten more than the worst piece and
 become byte pieces.
@@ -12,23 +12,21 @@ Documents stay where they are until the end: a chunk keeps its distinct segments
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, forget, materialize, spread, workers
+from tideline.llm.common import documents, forget, materialize, mix, powers, slices, spread, tidy, workers
 
 SPACE = "▁"
-#: Spaces and the word after them: no piece crosses its end.
-WORD = re.compile(" +[^ ]*")
 #: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
-CHUNK, COMMON, SHORT = 24 << 20, 1 << 17, 64
+CHUNK, COMMON, SHORT = 64 << 20, 1 << 18, 64
 #: Starts of substrings that are exploded from one window of a segment; windows overlap by the longest piece.
 WINDOW = 64
-#: Back-pointers that the fold collects before it sets them aside, so that long segments aren't copied at every step.
+#: Back-pointers that the fold sets aside at a time, so that long segments aren't copied at every step; more than any piece is long.
 RUN = 256
+#: Segments that share a task of the lattice, about.
+TASK = 40_000
 
 
 def model_path() -> str:
@@ -59,19 +57,49 @@ def joined_pairs(pieces: list[str]) -> set[str]:
     return {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
 
 
-def segments(word: str, pairs: set[str]) -> list[str]:
-    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
-    return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+class Cutter:
+    """Cuts texts into segments: between characters that are neighbours in no piece."""
+
+    def __init__(self, pairs: set[str]):
+        chars = sorted({c for p in pairs for c in p})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1) ** 2, bool)
+        self.wide = len(chars) + 1
+        for a, b in pairs:
+            self.joined[int(self.number[ord(a)]) * self.wide + int(self.number[ord(b)])] = True
+
+    def __call__(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(all marked texts in one, begin and length of each segment in characters, segments of each text). A text that isn't empty gets a space in front."""
+        marked = [" " + t if t else "" for t in texts]
+        whole = "".join(marked)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        offsets = np.cumsum([0, *map(len, marked)])
+        kind = self.number[codes].astype(np.int64)
+        cut = np.ones(len(codes), bool)
+        cut[1:] = ~self.joined[kind[:-1] * self.wide + kind[1:]]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        begin = np.flatnonzero(cut)
+        return whole, begin, np.diff(np.append(begin, len(codes))), np.diff(np.searchsorted(begin, offsets))
+
 
+def segment_hashes(whole: str, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    base = 0x9E3779B97F4A7C15
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers(len(codes), base))])
+    back = powers(len(codes) + 1, pow(base, -1, 1 << 64))
+    return mix((sums[begin + length] - sums[begin]) * back[begin] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-def words_of(t: str) -> list[str]:
-    """The words of a text with a space in front; joined they are that text."""
-    return WORD.findall(" " + t) if t else []
+
+def segments(text: str, pairs: set[str]) -> list[str]:
+    """The segments of one text."""
+    whole, begin, length, _ = Cutter(pairs)([text])
+    return [whole[b : b + n] for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
 
 
 def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
-    """(part long, words array<string>, body binary) from docs(doc_id, text): distinct segments of a chunk, and its documents as an Arrow
-    stream of (doc_id, numbers of their segments, digest of the text)."""
+    """(part long, words array<string>, body binary) from docs(doc_id, text): distinct segments of a chunk (told apart by 64-bit hashes), and its documents as an
+    Arrow stream of (doc_id, numbers of their segments, digest of the text)."""
     import pyarrow as pa
 
     def run(batches):
@@ -79,51 +107,57 @@ def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
 
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
+        cutter, first = Cutter(pairs), TaskContext.get().partitionId() << 32
         made = size = 0
-        number: dict[str, int] = {}
-        cache: dict[str, tuple[int, ...]] = {}
+        number: dict[int, int] = {}
+        words: list[str] = []
         held: list[tuple] = []
 
         def out():
+            ids = pa.concat_arrays([h[0] for h in held])
+            flat = np.concatenate([h[1] for h in held])
+            ends = np.append(0, np.cumsum(np.concatenate([h[2] for h in held])))
+            t = pa.table({"doc_id": ids, "numbers": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), "digest": pa.array([d for h in held for d in h[3]], pa.binary())})
             sink = pa.BufferOutputStream()
-            ids = pa.concat_arrays([pa.array([h[0].as_py()], h[0].type) for h in held]) if held else pa.array([])
-            t = pa.table({"doc_id": ids, "numbers": pa.array([h[1] for h in held], pa.list_(pa.uint32())), "digest": pa.array([h[2] for h in held], pa.binary())})
             with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t)
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([list(number)], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "words", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "words", "body"])
 
         for b in batches:
-            for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-                t = t.as_py() or ""
-                own: list[int] = []
-                for w in words_of(t):
-                    got = cache.get(w)
-                    if got is None:
-                        got = tuple(number.setdefault(s, len(number)) for s in segments(w, pairs))
-                        if len(w) <= SHORT:
-                            cache[w] = got
-                    own += got
-                raw = t.encode()
-                held.append((i, np.array(own, np.uint32), hashlib.sha256(raw).digest()))
-                size += len(raw)
+            for s in slices([b], 1 << 20):
+                texts = [t or "" for t in s.column("text").to_pylist()]
+                whole, begin, length, count = cutter(texts)
+                unique, at, back = np.unique(segment_hashes(whole, begin, length), return_index=True, return_inverse=True)
+                own = np.empty(len(unique), np.uint32)
+                for k, (h, i) in enumerate(zip(unique.tolist(), at.tolist(), strict=True)):
+                    n = number.get(h)
+                    if n is None:
+                        n = number[h] = len(words)
+                        words.append(whole[begin[i] : begin[i] + length[i]])
+                    own[k] = n
+                ids = s.column("doc_id")
+                held.append((ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, own[back], count, [hashlib.sha256(t.encode()).digest() for t in texts]))
+                size += sum(map(len, texts))
                 if size >= CHUNK:
                     yield out()
-                    made, size, number, cache, held = made + 1, 0, {}, {}, []
+                    made, size, number, words, held = made + 1, 0, {}, [], []
+                    tidy()
         if held:
             yield out()
 
     return docs.mapInArrow(run, "part long, words array<string>, body binary")
 
 
-def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byte: int) -> DataFrame:
-    """(key, ids array<int>, parts) of distinct segments. words: (key, word), a row for each chunk that asks; key stands for the segment.
+def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byte: int, tasks: int) -> DataFrame:
+    """(key, ids array<int>, parts) of distinct segments. words: (key, long), a row for each chunk that asks; the segment is ``long``, or the key where that is null.
 
-    An edge (e, n, id, cost) is a piece of n characters that ends after e of them. The fold takes a segment's edges in order of their ends, then lengths. Its state is the
-    cost of the best path to each of the last positions and a back-pointer for every position. Of equal sums the shorter last piece wins.
+    An edge (e, n, cost, id) is a piece of n characters that ends after e of them. The fold goes over a segment's positions; its state is the best edge into each position
+    so far with the cost of the best path that it ends. Of equal sums the shorter last piece wins.
     """
     spark = words.sparkSession
     longest = max((len(p[0]) for p in pieces), default=1)
+    if longest > RUN:
+        raise ValueError("pieces are longer than the fold looks back")
     table = F.broadcast(spark.createDataFrame([(p, i, -s) for p, i, s in pieces], "piece string, id int, cost double"))  # the vocabulary: its size is fixed
     lengths: dict[str, set[int]] = {}
     for p, _, _ in pieces:
@@ -133,8 +167,8 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
     unknown = max((-s for _, _, s in pieces if s > -1e8), default=0.0) + 10.0
 
     # one shuffle; all that follows stays with the segment
-    each = words.repartition(workers(words) * 4, "key").groupBy("key").agg(F.first("word").alias("word"), F.count(F.lit(1)).alias("parts"))
-    each = each.withColumn("len", F.length("word"))
+    each = words.repartition(tasks, "key").groupBy("key").agg(F.first("long").alias("long"), F.count(F.lit(1)).alias("parts"))
+    each = each.withColumn("word", F.coalesce("long", "key")).withColumn("len", F.length("word"))
     windows = each.select("key", "parts", "len", F.explode(F.sequence(F.lit(0), F.expr(f"cast((len - 1) div {WINDOW} as int)"))).alias("j"), "word")
     windows = windows.select("key", "parts", "len", "j", F.expr(f"substring(word, j * {WINDOW} + 1, {WINDOW + longest - 1})").alias("part"))
     starts = windows.select("key", "parts", "len", "j", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("len") - F.col("j") * WINDOW))).alias("r"))
@@ -142,36 +176,48 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
     b = F.col("j") * WINDOW + F.col("r") - 1
     spans = starts.select("key", "parts", b.alias("b"), "len", "part", "r", F.explode(F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))).alias("n")).where("b + n <= len")
     found = spans.withColumn("piece", F.expr("substring(part, r, n)")).join(table, "piece", "left").where("id is not null or n = 1")
-    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", "id", F.coalesce("cost", F.lit(unknown)).alias("cost"), F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
-    lattice = found.select("key", "parts", edge.alias("edge")).groupBy("key").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list("edge")).alias("edges"))
-
-    pointer = "struct<n:int,id:int,char:string>"
-    zero = F.expr(f"named_struct('e', 0, 'cost', array(0D), 'last', cast(array() as array<{pointer}>), 'done', cast(array() as array<array<{pointer}>>))")
-
-    def step(s: Column, x: Column) -> Column:
-        new = x["e"] > s["e"]
-        total = F.element_at(s["cost"], F.size(s["cost"]) - x["n"] + x["e"] - s["e"]) + x["cost"]
-        back = F.array(F.struct(x["n"].alias("n"), x["id"].alias("id"), x["char"].alias("char")))
-        kept = F.slice(s["cost"], F.greatest(F.lit(1), F.size(s["cost"]) - longest + 1), F.lit(longest))
-        full = F.size(s["last"]) >= RUN
-        state = lambda e, cost, last, done: F.struct(e.alias("e"), cost.alias("cost"), last.alias("last"), done.alias("done"))
-        opened = state(x["e"], F.concat(kept, F.array(total)), F.when(full, back).otherwise(F.concat(s["last"], back)), F.when(full, F.concat(s["done"], F.array(s["last"]))).otherwise(s["done"]))
-        swap = lambda a, v: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), v)
-        better = state(s["e"], swap(s["cost"], F.array(total)), swap(s["last"], back), s["done"])
-        return F.when(new, opened).when(total < F.element_at(s["cost"], -1), better).otherwise(s)
-
-    folded = lattice.select("key", "parts", F.aggregate("edges", zero, step, lambda s: F.concat(F.flatten(s["done"]), s["last"])).alias("back"))
+    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", F.coalesce("cost", F.lit(unknown)).alias("cost"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    lattice = found.select("key", "parts", edge.alias("edge")).groupBy("key").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    # a position's edges begin with the one of a single character, which always is there
+    lattice = lattice.withColumn("begins", F.filter(F.sequence(F.lit(1), F.size("edges")), lambda i: F.element_at("edges", i)["n"] == 1))
+
+    best_edge = "struct<cost:double,n:int,id:int,char:string>"
+    zero = F.expr(f"named_struct('last', cast(array(named_struct('cost', 0D, 'n', 0, 'id', null, 'char', null)) as array<{best_edge}>), 'done', cast(array() as array<array<{best_edge}>>))")
+    edges, begins = F.col("edges"), F.col("begins")
+
+    def step(s: Column, e: Column) -> Column:
+        last = s["last"]
+        lo = F.element_at(begins, e)
+        hi = F.when(e < F.size(begins), F.element_at(begins, e + 1)).otherwise(F.size(edges) + 1)
+        ways = F.transform(F.slice(edges, lo, hi - lo), lambda x: F.struct((F.element_at(last, F.size(last) + 1 - x["n"])["cost"] + x["cost"]).alias("cost"), x["n"].alias("n"), x["id"].alias("id"), x["char"].alias("char")))
+        best = F.array(F.array_min(ways))
+        aside = F.struct(F.concat(F.slice(last, F.lit(RUN + 1), F.lit(RUN)), best).alias("last"), F.concat(s["done"], F.array(F.slice(last, F.lit(1), F.lit(RUN)))).alias("done"))
+        return F.when(F.size(last) >= 2 * RUN, aside).otherwise(F.struct(F.concat(last, best).alias("last"), s["done"].alias("done")))
+
+    folded = lattice.select("key", "parts", F.aggregate(F.sequence(F.lit(1), F.size("begins")), zero, step, lambda s: F.concat(F.flatten(s["done"]), s["last"])).alias("back"))
 
     def walk(s: Column, i: Column) -> Column:
-        here = F.element_at(F.col("back"), i)
+        here = F.element_at(F.col("back"), i + 1)
         return F.when(i == s["at"], F.struct((i - here["n"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"))).otherwise(s)
 
-    size = F.size("back")
-    begin = F.struct(size.alias("at"), F.expr(f"cast(array() as array<{pointer}>)").alias("out"))
+    size = F.size("back") - 1
+    begin = F.struct(size.alias("at"), F.expr(f"cast(array() as array<{best_edge}>)").alias("out"))
     path = folded.select("key", "parts", F.reverse(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), begin, walk, lambda s: s["out"])).alias("path"))
     code = lambda c, i: F.conv(F.substring(F.hex(c), i * 2 - 1, 2), 16, 10).cast("int") + first_byte
-    ids = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length(x["char"])), lambda i: code(x["char"], i)))
-    return path.select("key", "parts", F.flatten(F.transform("path", ids)).alias("ids"))
+    spelled = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length(x["char"])), lambda i: code(x["char"], i)))
+    ids = F.when(F.exists("path", lambda x: x["id"].isNull()), F.flatten(F.transform("path", spelled))).otherwise(F.transform("path", lambda x: x["id"]))
+    return path.select("key", "parts", ids.alias("ids"))
+
+
+def materialize_wide(df: DataFrame, name: str) -> DataFrame:
+    """materialize with room for a task's segments in the hash map of collect_list, which else sorts all edges; tasks are cut to TASK segments."""
+    conf, option = df.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(option)
+    conf.set(option, str(4 * TASK))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(option, before)
 
 
 def segment_key(c: str) -> Column:
@@ -193,13 +239,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     pieces, first_byte = pieces_of(path)
     src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     table = materialize(chunks(src, joined_pairs([p[0] for p in pieces])), "chunks")
-    asked = table.select("part", F.posexplode("words").alias("n", "word"))
-    coded = materialize(best_paths(asked.select(segment_key("word").alias("key"), "word"), pieces, first_byte), "codes")
+    asked = table.select("part", F.posexplode("words").alias("n", "word")).select("part", "n", segment_key("word").alias("key"), F.when(F.length("word") > SHORT, F.col("word")).alias("long"))
+    number = table.agg(F.sum(F.size("words"))).first()[0] or 0
+    coded = materialize_wide(best_paths(asked.select("key", "long"), pieces, first_byte, max(workers(docs) * 4, int(number // TASK) + 1)), "codes")
     often = coded.where((F.length("key") <= SHORT) & (F.col("parts") > 1)).orderBy(F.desc("parts"), "key").limit(COMMON).select("key", "ids").toArrow()  # COMMON rows
     known = dict(zip(often.column("key").to_pylist(), (np.array(i, np.int32).tobytes() for i in often.column("ids").to_pylist()), strict=True))
     shared = spark.sparkContext.broadcast(known)
     names = spark.createDataFrame([(k,) for k in known], "key string")
-    others = asked.select("part", "n", segment_key("word").alias("key")).join(F.broadcast(names), "key", "left_anti")
+    others = asked.select("part", "n", "key").join(F.broadcast(names), "key", "left_anti")
     rest = coded.join(F.broadcast(names), "key", "left_anti").select("key", "ids")
     answers = materialize(others.join(rest, "key").select("part", "n", "ids"), "answers")
     forget(coded)
