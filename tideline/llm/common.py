@@ -144,6 +144,38 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(terms, heads)), counts, starts
 
 
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] of them, then begin[1], ..."""
+    total = int(count.sum())
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """x in the least unsigned type that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """One-dimensional arrays as compressed bytes. The bytes of numbers go by place, as the high ones of small numbers are alike."""
+    import pickle
+
+    import pyarrow as pa
+
+    cells = {k: (v.dtype.str, np.ascontiguousarray(np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.dtype.itemsize).T).tobytes()) for k, v in arrays.items()}
+    raw = pickle.dumps(cells, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    """What pack wrote."""
+    import pickle
+
+    import pyarrow as pa
+
+    cells = pickle.loads(pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True))
+    return {k: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).reshape(-1).view(t) for k, (t, b) in cells.items()}
+
+
 def tidy(keep: int = 1 << 20) -> None:
     """Gives freed memory back to the system: workers live through many tasks, and what they hold counts against the executor.
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import buffer_of, documents, forget, materialize, mix, slices, spread, tidy, word_hashes, workers
+from tideline.llm.common import buffer_of, documents, forget, materialize, mix, pack, ranges, slices, small, spread, tidy, unpack, word_hashes, workers
 
 K, K1, B = 10, 1.2, 0.75
 #: Bytes of text in a shard, documents in a block, distinct query words (summed over queries) and queries in a pass.
@@ -36,17 +36,6 @@ SLACK = 1e-4
 FEW = 8
 
 
-def small(x: np.ndarray) -> np.ndarray:
-    """x in the least unsigned type that holds it."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-
-
-def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... count[0] of them, then begin[1], ..."""
-    total = int(count.sum())
-    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
-
-
 def build(hashes: np.ndarray, n: np.ndarray, ids: np.ndarray, null: np.ndarray) -> dict[str, np.ndarray] | None:
     """The arrays of a shard from the word hashes of its documents, their word counts and ids. Documents without words aren't in it."""
     have = n > 0
@@ -92,18 +81,6 @@ def build(hashes: np.ndarray, n: np.ndarray, ids: np.ndarray, null: np.ndarray)
     }
 
 
-def pack_arrays(x: dict[str, np.ndarray]) -> bytes:
-    import pickle
-
-    return pickle.dumps({k: np.ascontiguousarray(v) for k, v in x.items()}, protocol=5)
-
-
-def unpack_arrays(x: bytes) -> dict[str, np.ndarray]:
-    import pickle
-
-    return pickle.loads(x)  # written by pack_arrays
-
-
 class Plan:
     """The queries of a pass: their distinct words (sorted hashes) with idf, and each query's words as numbers of these."""
 
@@ -284,7 +261,7 @@ def index(docs: DataFrame) -> DataFrame:
         def out():
             x = build(*(np.concatenate(c) for c in zip(*held, strict=True)))
             if x:
-                yield pa.RecordBatch.from_arrays([pa.array([part + made], pa.int64()), pa.array([pack_arrays(x)], pa.binary())], names=["shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part + made], pa.int64()), pa.array([pack(**x)], pa.binary())], names=["shard", "data"])
 
         for b in batches:
             for s in slices([b]):
@@ -312,7 +289,7 @@ def frequencies(shards: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         for b in batches:
             for data in b.column("data").to_pylist():
-                x = unpack_arrays(data)
+                x = unpack(data)
                 part = (mix(x["words"] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 names, heads = np.unique(part[order], return_index=True)
@@ -401,7 +378,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K, text: str = "text
                 theta, held = first.value.copy(), None
                 for b in batches:
                     for data in b.column("data").to_pylist():
-                        s = Shard(unpack_arrays(data), shared.value)
+                        s = Shard(unpack(data), shared.value)
                         q, d, score = s.search(k, theta)
                         # the ids of an entry are equal documents: its first k
                         n = np.minimum(s.copies[d], k)
