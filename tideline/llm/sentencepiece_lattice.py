@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, forget, materialize, mix, powers, slices, spread, tidy, workers
+from tideline.llm.common import documents, forget, materialize, mix, pack, powers, ranges, slices, small, spread, tidy, unpack, workers
 
 SPACE = "▁"
 #: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
@@ -98,8 +98,8 @@ def segments(text: str, pairs: set[str]) -> list[str]:
 
 
 def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
-    """(part long, words array<string>, body binary) from docs(doc_id, text): distinct segments of a chunk (told apart by 64-bit hashes), and its documents as an
-    Arrow stream of (doc_id, numbers of their segments, digest of the text)."""
+    """(part long, words array<string>, doc_ids array, body binary) from docs(doc_id, text): distinct segments of a chunk (told apart by 64-bit hashes), and for its documents the
+    numbers of their segments, how many each has, and the digest of each text."""
     import pyarrow as pa
 
     def run(batches):
@@ -115,13 +115,9 @@ def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
 
         def out():
             ids = pa.concat_arrays([h[0] for h in held])
-            flat = np.concatenate([h[1] for h in held])
-            ends = np.append(0, np.cumsum(np.concatenate([h[2] for h in held])))
-            t = pa.table({"doc_id": ids, "numbers": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), "digest": pa.array([d for h in held for d in h[3]], pa.binary())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(t)
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "words", "body"])
+            body = pack(numbers=np.concatenate([h[1] for h in held]), count=small(np.concatenate([h[2] for h in held])), digest=np.frombuffer(b"".join(d for h in held for d in h[3]), np.uint8))
+            alone = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), alone(pa.array(words, pa.string())), alone(ids), pa.array([body], pa.binary())], names=["part", "words", "doc_ids", "body"])
 
         for b in batches:
             for s in slices([b], 1 << 20):
@@ -145,7 +141,39 @@ def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "part long, words array<string>, body binary")
+    return docs.mapInArrow(run, f"part long, words array<string>, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, body binary")
+
+
+def by_chunk(answers: DataFrame) -> DataFrame:
+    """(part, data) from (part, n, ids): the ids of a chunk's segments, packed by task."""
+    import pyarrow as pa
+
+    def run(batches):
+        held: list[tuple] = []
+        rows = 0
+
+        def out():
+            part, n, size = (np.concatenate([h[k] for h in held]) for k in range(3))
+            flat, begin = np.concatenate([h[3] for h in held]), np.cumsum(size) - size
+            order = np.lexsort((n, part))
+            cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+            data = []
+            for own in np.split(order, cut[1:]):
+                data.append(pack(n=small(np.diff(n[own], prepend=0)), size=small(size[own]), ids=small(flat[ranges(begin[own], size[own])])))
+            return pa.RecordBatch.from_arrays([pa.array(part[order][cut], pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+
+        for b in batches:
+            if b.num_rows:
+                ids = b.column("ids")
+                held.append((b.column("part").to_numpy(), b.column("n").to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy()))
+                rows += b.num_rows
+                if rows >= 1_000_000:
+                    yield out()
+                    held, rows = [], 0
+        if held:
+            yield out()
+
+    return answers.select("part", "n", "ids").mapInArrow(run, "part long, data binary")
 
 
 def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byte: int, tasks: int) -> DataFrame:
@@ -248,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     names = spark.createDataFrame([(k,) for k in known], "key string")
     others = asked.select("part", "n", "key").join(F.broadcast(names), "key", "left_anti")
     rest = coded.join(F.broadcast(names), "key", "left_anti").select("key", "ids")
-    answers = materialize(others.join(rest, "key").select("part", "n", "ids"), "answers")
+    answers = materialize(by_chunk(others.join(rest, "key")), "answers")
     forget(coded)
     schema = _parse_datatype_string(f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>" + ", digest binary" * keep)
     arrow = to_arrow_schema(schema)
@@ -257,22 +285,25 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
         words = left.column("words")[0].values.to_pylist()
         got = shared.value
         codes = [got.get(w, b"") for w in words]
-        for n, i in zip(right.column("n").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            codes[n] = np.array(i, np.int32).tobytes()
+        for data in right.column("data").to_pylist():
+            x = unpack(data)
+            raw, size = x["ids"].astype(np.int32).tobytes(), x["size"].astype(np.int64) * 4
+            for n, e, m in zip(np.cumsum(x["n"].astype(np.int64)).tolist(), np.cumsum(size).tolist(), size.tolist(), strict=True):
+                codes[n] = raw[e - m : e]
         size = np.array([len(c) // 4 for c in codes], np.int64)
         flat, begin = np.frombuffer(b"".join(codes), np.int32), np.cumsum(size) - size
         if len(size) and not size.all():
             raise RuntimeError("a segment has no path")
-        body = pa.ipc.open_stream(left.column("body")[0].as_py()).read_all()
+        x = unpack(left.column("body")[0].as_py())
+        ids, digest, numbers = left.column("doc_ids").combine_chunks().flatten().cast(arrow.field(0).type), x["digest"].tobytes(), x["numbers"].astype(np.int64)
+        ends = np.append(0, np.cumsum(x["count"].astype(np.int64)))
         tables = []
-        for b in body.to_batches(max_chunksize=2000):
-            numbers = b.column("numbers")
-            own = numbers.flatten().to_numpy().astype(np.int64)
-            ends = np.append(0, np.cumsum(size[own]))
-            at = np.repeat(begin[own] - ends[:-1], size[own]) + np.arange(ends[-1])
-            offsets = numbers.offsets.to_numpy() - numbers.offsets[0].as_py()
-            ids = pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(flat[at], pa.int32()))
-            tables.append(pa.table([b.column("doc_id").cast(arrow.field(0).type), ids, *([b.column("digest")] if keep else [])], schema=arrow))
+        for lo in range(0, len(ids), 2000):
+            hi = min(lo + 2000, len(ids))
+            own = numbers[ends[lo] : ends[hi]]
+            upto = np.append(0, np.cumsum(size[own]))
+            lists = pa.ListArray.from_arrays(pa.array(upto[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(flat[ranges(begin[own], size[own])], pa.int32()))
+            tables.append(pa.table([ids.slice(lo, hi - lo), lists, *([pa.array([digest[32 * i : 32 * i + 32] for i in range(lo, hi)], pa.binary())] if keep else [])], schema=arrow))
         return pa.concat_tables(tables) if tables else arrow.empty_table()
 
     return table.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(put, schema)
