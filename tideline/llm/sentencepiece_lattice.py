@@ -6,8 +6,8 @@ Distinct segments are exploded into substrings as long as the longest piece, equ
 aggregate folds the edges into the path with the greatest sum of piece scores (Viterbi). Characters without a piece cost ten more than the worst piece and
 become byte pieces.
 
-Documents stay where they are until the end: a chunk keeps its distinct segments and, for each document, their numbers. Segments that most chunks share
-(a bounded number) reach the chunks by broadcast, the others by a join.
+Documents stay where they are: a chunk, in a bucketed table, keeps its distinct segments and, for each document, their numbers. Segments that most chunks share
+(a bounded number) reach the chunks by broadcast, the others by a join whose result is packed by chunk; the chunks themselves are never exchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, forget, materialize, mix, pack, powers, ranges, slices, small, spread, tidy, unpack, workers
+from tideline.llm.common import documents, forget, materialize, materialize_buckets, mix, pack, powers, ranges, slices, small, spread, tidy, unpack, workers
 
 SPACE = "▁"
 #: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
@@ -115,9 +115,17 @@ def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
 
         def out():
             ids = pa.concat_arrays([h[0] for h in held])
-            body = pack(numbers=np.concatenate([h[1] for h in held]), count=small(np.concatenate([h[2] for h in held])), digest=np.frombuffer(b"".join(d for h in held for d in h[3]), np.uint8))
+            # frequent segments get small numbers; those over two bytes are kept apart
+            numbers = np.concatenate([h[1] for h in held])
+            times = np.bincount(numbers, minlength=len(words))
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words))
+            numbers = place[numbers]
+            low = np.minimum(numbers, 65535).astype(np.uint16)
+            body = pack(low=low, high=small(numbers[low == 65535]), count=small(np.concatenate([h[2] for h in held])), digest=np.frombuffer(b"".join(d for h in held for d in h[3]), np.uint8))
             alone = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), alone(pa.array(words, pa.string())), alone(ids), pa.array([body], pa.binary())], names=["part", "words", "doc_ids", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), alone(pa.array([words[i] for i in order.tolist()], pa.string())), alone(ids), pa.array([body], pa.binary())], names=["part", "words", "doc_ids", "body"])
 
         for b in batches:
             for s in slices([b], 1 << 20):
@@ -140,6 +148,8 @@ def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
                     tidy()
         if held:
             yield out()
+        number, words, held = {}, [], []
+        tidy()
 
     return docs.mapInArrow(run, f"part long, words array<string>, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, body binary")
 
@@ -266,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     spark = docs.sparkSession
     pieces, first_byte = pieces_of(path)
     src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    table = materialize(chunks(src, joined_pairs([p[0] for p in pieces])), "chunks")
+    table = materialize_buckets(chunks(src, joined_pairs([p[0] for p in pieces])), "chunks", "part", max(workers(docs), src.rdd.getNumPartitions()))
     asked = table.select("part", F.posexplode("words").alias("n", "word")).select("part", "n", segment_key("word").alias("key"), F.when(F.length("word") > SHORT, F.col("word")).alias("long"))
     number = table.agg(F.sum(F.size("words"))).first()[0] or 0
     coded = materialize_wide(best_paths(asked.select("key", "long"), pieces, first_byte, max(workers(docs) * 4, int(number // TASK) + 1)), "codes")
@@ -282,6 +292,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     arrow = to_arrow_schema(schema)
 
     def put(key, left, right):
+        tidy()
         words = left.column("words")[0].values.to_pylist()
         got = shared.value
         codes = [got.get(w, b"") for w in words]
@@ -295,7 +306,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
         if len(size) and not size.all():
             raise RuntimeError("a segment has no path")
         x = unpack(left.column("body")[0].as_py())
-        ids, digest, numbers = left.column("doc_ids").combine_chunks().flatten().cast(arrow.field(0).type), x["digest"].tobytes(), x["numbers"].astype(np.int64)
+        ids, digest, numbers = left.column("doc_ids").combine_chunks().flatten().cast(arrow.field(0).type), x["digest"].tobytes(), x["low"].astype(np.int64)
+        numbers[numbers == 65535] = x["high"]
         ends = np.append(0, np.cumsum(x["count"].astype(np.int64)))
         tables = []
         for lo in range(0, len(ids), 2000):
