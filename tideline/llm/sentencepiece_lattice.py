@@ -20,13 +20,13 @@ from tideline.llm.common import documents, forget, materialize, materialize_buck
 
 SPACE = "▁"
 #: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
-CHUNK, COMMON, SHORT = 64 << 20, 1 << 18, 64
+CHUNK, COMMON, SHORT = 32 << 20, 1 << 16, 64
 #: Starts of substrings that are exploded from one window of a segment; windows overlap by the longest piece.
 WINDOW = 64
 #: Back-pointers that the fold sets aside at a time, so that long segments aren't copied at every step; more than any piece is long.
 RUN = 256
 #: Segments that share a task of the lattice, about.
-TASK = 40_000
+TASK = 10_000
 
 
 def model_path() -> str:
