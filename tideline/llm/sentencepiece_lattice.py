@@ -186,6 +186,16 @@ def by_chunk(answers: DataFrame) -> DataFrame:
     return answers.select("part", "n", "ids").mapInArrow(run, "part long, data binary")
 
 
+def utf8_ids(c: Column, first_byte: int) -> Column:
+    """Ids of the byte pieces of a code point."""
+    tail = lambda k: F.shiftright(c, k).bitwiseAND(63) + (0x80 + first_byte)
+    head = lambda k, mark: F.shiftright(c, k) + (mark + first_byte)
+    return (
+        F.when(c < 0x80, F.array(c + first_byte)).when(c < 0x800, F.array(head(6, 0xC0), tail(0)))
+        .when(c < 0x10000, F.array(head(12, 0xE0), tail(6), tail(0))).otherwise(F.array(head(18, 0xF0), tail(12), tail(6), tail(0)))
+    )
+
+
 def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byte: int, tasks: int) -> DataFrame:
     """(key, ids array<int>, parts) of distinct segments. words: (key, long), a row for each chunk that asks; the segment is ``long``, or the key where that is null.
 
@@ -214,20 +224,21 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
     b = F.col("j") * WINDOW + F.col("r") - 1
     spans = starts.select("key", "parts", b.alias("b"), "len", "part", "r", F.explode(F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))).alias("n")).where("b + n <= len")
     found = spans.withColumn("piece", F.expr("substring(part, r, n)")).join(table, "piece", "left").where("id is not null or n = 1")
-    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", F.coalesce("cost", F.lit(unknown)).alias("cost"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    # a character without a piece has its code point, negative, for an id
+    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", F.coalesce("cost", F.lit(unknown)).alias("cost"), F.coalesce("id", -F.ascii("piece")).alias("id"))
     lattice = found.select("key", "parts", edge.alias("edge")).groupBy("key").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list("edge")).alias("edges"))
     # a position's edges begin with the one of a single character, which always is there
     lattice = lattice.withColumn("begins", F.filter(F.sequence(F.lit(1), F.size("edges")), lambda i: F.element_at("edges", i)["n"] == 1))
 
-    best_edge = "struct<cost:double,n:int,id:int,char:string>"
-    zero = F.expr(f"named_struct('last', cast(array(named_struct('cost', 0D, 'n', 0, 'id', null, 'char', null)) as array<{best_edge}>), 'done', cast(array() as array<array<{best_edge}>>))")
+    best_edge = "struct<cost:double,n:int,id:int>"
+    zero = F.expr(f"named_struct('last', array(named_struct('cost', 0D, 'n', 0, 'id', 0)), 'done', cast(array() as array<array<{best_edge}>>))")
     edges, begins = F.col("edges"), F.col("begins")
 
     def step(s: Column, e: Column) -> Column:
         last = s["last"]
         lo = F.element_at(begins, e)
         hi = F.when(e < F.size(begins), F.element_at(begins, e + 1)).otherwise(F.size(edges) + 1)
-        ways = F.transform(F.slice(edges, lo, hi - lo), lambda x: F.struct((F.element_at(last, F.size(last) + 1 - x["n"])["cost"] + x["cost"]).alias("cost"), x["n"].alias("n"), x["id"].alias("id"), x["char"].alias("char")))
+        ways = F.transform(F.slice(edges, lo, hi - lo), lambda x: F.struct((F.element_at(last, F.size(last) + 1 - x["n"])["cost"] + x["cost"]).alias("cost"), x["n"].alias("n"), x["id"].alias("id")))
         best = F.array(F.array_min(ways))
         aside = F.struct(F.concat(F.slice(last, F.lit(RUN + 1), F.lit(RUN)), best).alias("last"), F.concat(s["done"], F.array(F.slice(last, F.lit(1), F.lit(RUN)))).alias("done"))
         return F.when(F.size(last) >= 2 * RUN, aside).otherwise(F.struct(F.concat(last, best).alias("last"), s["done"].alias("done")))
@@ -236,14 +247,12 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
 
     def walk(s: Column, i: Column) -> Column:
         here = F.element_at(F.col("back"), i + 1)
-        return F.when(i == s["at"], F.struct((i - here["n"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"))).otherwise(s)
+        return F.when(i == s["at"], F.struct((i - here["n"]).alias("at"), F.concat(s["out"], F.array(here["id"])).alias("out"))).otherwise(s)
 
     size = F.size("back") - 1
-    begin = F.struct(size.alias("at"), F.expr(f"cast(array() as array<{best_edge}>)").alias("out"))
+    begin = F.struct(size.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
     path = folded.select("key", "parts", F.reverse(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), begin, walk, lambda s: s["out"])).alias("path"))
-    code = lambda c, i: F.conv(F.substring(F.hex(c), i * 2 - 1, 2), 16, 10).cast("int") + first_byte
-    spelled = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length(x["char"])), lambda i: code(x["char"], i)))
-    ids = F.when(F.exists("path", lambda x: x["id"].isNull()), F.flatten(F.transform("path", spelled))).otherwise(F.transform("path", lambda x: x["id"]))
+    ids = F.when(F.array_min("path") >= 0, F.col("path")).otherwise(F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(utf8_ids(-i, first_byte)))))
     return path.select("key", "parts", ids.alias("ids"))
 
 
@@ -322,17 +331,15 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
 
 
 def decode(coded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
-    """coded with ``text``: pieces joined, byte pieces as UTF-8, the space in front dropped. Null ids give null; ids outside the vocabulary raise."""
+    """coded with ``text``: the bytes of all pieces joined, byte pieces as they are, and the space in front dropped. Null ids give null; ids outside the vocabulary raise.
+
+    The vocabulary is one array of constants; bytes that are no UTF-8 become replacement characters.
+    """
     sp = load(path)
     table = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
-    shared = coded.sparkSession.sparkContext.broadcast(table)  # the vocabulary: its size is fixed
-
-    @F.pandas_udf("string")
-    def join(s):
-        t = shared.value
-        return s.map(lambda x: None if x is None else b"".join([t[i] for i in x]).decode("utf-8", "replace")[1:])
-
-    return coded.withColumn("text", join(ids))
+    pieces = F.split(F.lit(",".join(t.hex() for t in table)), ",")
+    raw = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+    return coded.withColumn("text", F.substr(F.make_valid_utf8(raw.cast("string")), F.lit(2)))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
