@@ -196,6 +196,7 @@ def tidy(keep: int = 1 << 20) -> None:
 
     import pyarrow as pa
 
+    pa.set_memory_pool(pa.system_memory_pool())  # its buffers are unmapped like others; the default pool keeps them
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL(None)
