@@ -134,7 +134,6 @@ def test_pii(docs, spark):
 
 def test_packing(docs):
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x, *_ in hard_rows()}
     rows = packing.pack(docs, 256).collect()
     for r in rows:
@@ -152,7 +151,6 @@ def test_packing(docs):
 
 def test_tokenizer_libraries_agree():
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     r = np.random.default_rng(0)
     texts = ["".join(r.choice(list(" \n\tab's1²é漢 <|endoftext|>-_."), 40)) for _ in range(500)] + [x or "" for _, x, *_ in hard_rows()]
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [x.tolist() for x in packing.encode(texts, packing.tokenizer_path())]
@@ -221,14 +219,131 @@ def test_language_model(docs):
         assert r.base_score == pytest.approx(sum(np.log10((count[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
 
 
-def test_code_is_complete():
-    length, _, _ = context_mixing.huffman(np.arange(257) ** 2)
-    assert sum(2.0 ** -int(x) for x in length) == 1.0
+def plain_tokens(t):
+    """(token bytes, is the last) of a text: a run of bytes that are no separators, and the separators after it."""
+    b = (t or "").encode()
+    out = [m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|^[\x20\x09-\x0D]+", b)] or [b""]
+    assert b"".join(out) == b
+    return [(x, i == len(out) - 1) for i, x in enumerate(out)]
 
 
-def test_pieces(docs):
-    got = {r.doc_id: r.text for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs)).collect()}
-    assert got == {i: t or "" for i, t, *_ in hard_rows()}
+def plain_contexts(rows, frequent):
+    """For every token of every row: its symbols, and for each kind the context of each symbol. frequent: word -> class."""
+    out = []
+    for i, t, *_ in rows:
+        group, tail, own = 0, 0, []
+        for token, last in plain_tokens(t):
+            symbols = [*token, *([context_mixing.END] if last else [])]
+            back = lambda j, k: tuple(symbols[j - x] if j >= x else -tail - 1 for x in range(1, k + 1))  # noqa: E731, B023
+            own.append((token, last, symbols, [[(*back(j, k),) for j in range(len(symbols))] for k in context_mixing.BACK] + [[(group, tail, *back(j, context_mixing.STATED)) for j in range(len(symbols))]]))
+            word = re.sub(rb"[\x20\x09-\x0D]", b"", token)
+            tail = 1 if b"\n" in token else 2 if word[-1:] in (b".", b"!", b"?", b":", b";") else 3
+            group = frequent.get(word.lower(), -1) + 1 or group
+        out.append((zlib.crc32(str(i).encode()) % 7 == 2, own))
+    return out
+
+
+def built(rows):
+    """(chunk, coder, frequent words with classes, units) of rows, as the chunks of a table are built."""
+    import pyarrow as pa
+
+    m = context_mixing
+    column = pa.array([t for _, t, *_ in rows], pa.string())
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows])
+    data, offsets = m.buffer_of(column)
+    half = len(rows) // 2
+    c = m.Chunk(m.chunk_body([m.read_tokens(data[: offsets[half]], offsets[: half + 1], held[:half]), m.read_tokens(data[offsets[half] :], offsets[half:] - offsets[half], held[half:])]))
+    frequent = {w: k % 3 for k, (w, _) in enumerate(Counter(w.encode() for _, t, *_ in rows for w in words(t)).most_common(9))}
+    h = {m.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]: k for w, k in frequent.items()}
+    known = np.array(sorted(h), np.uint64)
+    return c, m.Coder(c.symbols_seen()), frequent, m.Units(c, known, np.array([h[x] for x in known]))
+
+
+def lm_rows():
+    r = np.random.default_rng(8)
+    rows = [(i, "".join(r.choice(["the ", "of ", "Le ", "la.", " ", "\n", "tion", "x", "é", "! ", "and "], int(r.integers(0, 40))))) for i in range(120)]
+    return rows + [(i, t) for i, t, *_ in hard_rows() if len(t or "") < 4000]
+
+
+def test_context_counts_against_plain_dictionaries():
+    """The bytes of every bit's path in every kind of context, and the symbols of every document, against counts in dictionaries."""
+    m = context_mixing
+    rows = lm_rows()
+    c, coder, frequent, u = built(rows)
+    plain = plain_contexts(rows, frequent)
+    counts = Counter((k, ctx, x) for held, own in plain if not held for _, _, symbols, kinds in own for k, at in enumerate(kinds) for ctx, x in zip(at, symbols, strict=True))
+    by_context = {}
+    for (k, ctx, x), n in counts.items():
+        by_context.setdefault((k, ctx), []).append((x, n))
+    find = [m.Lookup(k) for k in u.entries(coder)]
+    totals = [np.zeros(len(f.keys), np.int64) for f in find]
+    _, n, keys = u.expand(0, len(u.token), coder)
+    for k, f in enumerate(find):
+        np.add.at(totals[k], f(keys[k]), np.repeat(u.times, n).astype(np.int64))
+    bits = m.Bits(u, coder, find, [m.path_counts(f.keys, x, coder)[0] for f, x in zip(find, totals, strict=True)])
+    paths, node, bit, per_unit = bits(0, len(u.token))
+    begin = np.cumsum(per_unit) - per_unit
+    leaves = {}  # (node, way) -> symbols below
+    for x in range(m.END + 1):
+        r = coder.rank[x]
+        for j in range(coder.begin[r], coder.begin[r] + coder.length[r]):
+            leaves.setdefault((coder.node[j], coder.bit[j]), set()).add(x)
+    place = 0
+    for _, own in plain:
+        for _, _, symbols, kinds in own:
+            at = begin[u.of[place]]
+            for j, x in enumerate(symbols):
+                r = coder.rank[x]
+                for step in range(coder.begin[r], coder.begin[r] + coder.length[r]):
+                    assert (node[at], bit[at]) == (coder.node[step], coder.bit[step])
+                    for k in range(m.KINDS):
+                        have = by_context.get((k, kinds[k][j]), [])
+                        same, other = (sum(n for y, n in have if y in leaves.get((node[at], way), ())) for way in (bit[at], 1 - bit[at]))
+                        assert paths[k, at] == m.level(np.array([same]))[0] * 16 + m.level(np.array([other]))[0]
+                    at += 1
+            place += 1
+    assert place == len(u.of)
+
+
+def test_mixed_bits_against_plain_formula():
+    """The loss of each bit, computed one by one."""
+    m, r = context_mixing, np.random.default_rng(2)
+    mixer = m.Mixer(m.END, r.normal(0.3, 0.2, (m.GATES, m.KINDS)), r.integers(0, 50, (m.END * m.BUCKETS_MAP, 1)) * np.array([[1, 0.4]]))
+    paths, node, bit = r.integers(0, 256, (m.KINDS, 300)).astype(np.uint8), r.integers(0, m.END, 300), r.integers(0, 2, 300).astype(np.uint8)
+    got = mixer.loss(paths, node, bit)
+    for i in range(300):
+        same, other = m.MEAN[paths[:, i] >> 4], m.MEAN[paths[:, i] & 15]
+        known = np.searchsorted([1, 4, 40], same + other, "right")
+        gate = known[-1] * 9 + min(known[-2], 2) * 3 + min(known[-3], 2)
+        z = np.clip(mixer.weights[gate] @ np.log((same + m.PRIOR) / (other + m.PRIOR)), -14, 14)
+        one = z if bit[i] else -z
+        cell = int(np.clip((one + 8) * (m.BUCKETS_MAP - 1) / 16 + 0.5, 0, m.BUCKETS_MAP - 1))
+        one = (one + mixer.map[node[i] * m.BUCKETS_MAP + cell]) / 2
+        assert got[i] == pytest.approx(np.log1p(np.exp(-(one if bit[i] else -one))), abs=2e-3)
+
+
+def test_probabilities_of_all_symbols_sum_to_one():
+    """Whatever the counts of a context, the weights and the map: the probabilities of the symbols, each a product along its path, add up to 1."""
+    m, r = context_mixing, np.random.default_rng(4)
+    coder = m.Coder(r.integers(0, 1000, m.END + 1) ** 2)
+    assert sum(2.0 ** -int(x) for x in coder.length) == 1.0
+    ranks = np.arange(m.END + 1).astype(np.uint64)
+    for _ in range(20):
+        mixer = m.Mixer(m.END, r.normal(0.3, 0.2, (m.GATES, m.KINDS)), r.integers(0, 50, (m.END * m.BUCKETS_MAP, 1)) * np.array([[1, 0.4]]))
+        paths = np.stack([m.path_counts((np.uint64(k) << np.uint64(9)) | ranks, r.integers(0, 3, m.END + 1) * r.integers(0, 400, m.END + 1), coder)[0] for k in range(m.KINDS)])
+        loss = mixer.loss(paths, coder.node, coder.bit).astype(np.float64)
+        assert np.exp(-np.add.reduceat(loss, coder.begin)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_learns(spark):
+    """Held-out text of independent words costs little more than their entropy; repeated rows, null ids and clashing columns."""
+    r = np.random.default_rng(3)
+    vocabulary = [text(900 + i, 1) for i in range(40)]
+    rows = [(i, " ".join(r.choice(vocabulary, 60)), 0.0) for i in range(300)]
+    got = context_mixing.lm_scores(spark.createDataFrame([*rows, (None, "null id", 0.0), (7, rows[7][1], 0.0)], "doc_id long, text string, score double")).collect()
+    assert len(got) == 302 and sum(x.doc_id is None for x in got) == 1 and sum(x.doc_id == 7 for x in got) == 2
+    held = [x for x in got if x.held_out and x.doc_id is not None]
+    assert held and -sum(x.score for x in held) * np.log2(10) / (61 * len(held)) < 1.15 * np.log2(40)
 
 
 def plain_viterbi():
