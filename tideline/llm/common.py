@@ -44,7 +44,10 @@ def materialize_buckets(df: DataFrame, name: str, key: str, buckets: int) -> Dat
     spark = df.sparkSession
     unique = f"tideline_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{unique}"
-    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(unique)
+    df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(unique)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.table(unique)
     out._written_to = path
     return out

@@ -12,6 +12,8 @@ Documents stay where they are: a chunk, in a bucketed table, keeps its distinct
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,13 @@ from tideline.llm.common import documents, forget, materialize, materialize_buck
 
 SPACE = "▁"
 #: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
-CHUNK, COMMON, SHORT = 32 << 20, 1 << 16, 64
+CHUNK, COMMON, SHORT = 32 << 20, 1 << 17, 64
 #: Starts of substrings that are exploded from one window of a segment; windows overlap by the longest piece.
 WINDOW = 64
 #: Back-pointers that the fold sets aside at a time, so that long segments aren't copied at every step; more than any piece is long.
 RUN = 256
 #: Segments that share a task of the lattice, about.
-TASK = 10_000
+TASK = 20_000
 
 
 def model_path() -> str:
@@ -256,15 +258,16 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
     return path.select("key", "parts", ids.alias("ids"))
 
 
-def materialize_wide(df: DataFrame, name: str) -> DataFrame:
-    """materialize with room for a task's segments in the hash map of collect_list, which else sorts all edges; tasks are cut to TASK segments."""
-    conf, option = df.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = conf.get(option)
-    conf.set(option, str(4 * TASK))
+@contextmanager
+def wide_lists(spark: SparkSession):
+    """Room for a task's segments in the hash map of collect_list, which else sorts all edges; tasks are cut to TASK segments."""
+    option = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(option)
+    spark.conf.set(option, str(4 * TASK))
     try:
-        return materialize(df, name)
+        yield
     finally:
-        conf.set(option, before)
+        spark.conf.set(option, before)
 
 
 def segment_key(c: str) -> Column:
@@ -288,7 +291,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     table = materialize_buckets(chunks(src, joined_pairs([p[0] for p in pieces])), "chunks", "part", max(workers(docs), src.rdd.getNumPartitions()))
     asked = table.select("part", F.posexplode("words").alias("n", "word")).select("part", "n", segment_key("word").alias("key"), F.when(F.length("word") > SHORT, F.col("word")).alias("long"))
     number = table.agg(F.sum(F.size("words"))).first()[0] or 0
-    coded = materialize_wide(best_paths(asked.select("key", "long"), pieces, first_byte, max(workers(docs) * 4, int(number // TASK) + 1)), "codes")
+    tasks = max(workers(docs) * 4, int(number // TASK) + 1)
+    with wide_lists(spark):
+        coded = materialize_buckets(best_paths(asked.select("key", "long"), pieces, first_byte, tasks), "codes", "key", tasks)
     often = coded.where((F.length("key") <= SHORT) & (F.col("parts") > 1)).orderBy(F.desc("parts"), "key").limit(COMMON).select("key", "ids").toArrow()  # COMMON rows
     known = dict(zip(often.column("key").to_pylist(), (np.array(i, np.int32).tobytes() for i in often.column("ids").to_pylist()), strict=True))
     shared = spark.sparkContext.broadcast(known)
