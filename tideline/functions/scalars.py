@@ -71,10 +71,14 @@ def sqrt_cost(qty: Column, sigma: Column, volume: Column, y: float = 1.0) -> Col
     return F.lit(y) * sigma * F.sqrt(qty / volume)
 
 
-def fnv1a(data: bytes, h: int = 0xCBF29CE484222325) -> int:
-    """64-bit FNV-1a (the published offset and prime)."""
+# Fixed values of the published 64-bit FNV-1a.
+FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv1a(data: bytes, h: int = FNV_OFFSET) -> int:
+    """64-bit FNV-1a; h carries on from earlier bytes."""
     for b in data:
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
     return h
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.ordered import by_day, carried, following
+
 BLOCK = 25
 MINUTE = 60_000_000
 HOUR = 3_600_000_000
@@ -28,7 +30,6 @@ def event_blocks(trades: DataFrame, size: int = BLOCK) -> DataFrame:
 
     The partial block at the end of a day and the block before it, if nothing follows, have no r and are dropped.
     """
-    order = Window.partitionBy("symbol", "day").orderBy("ts_us", "id")
     g = trades.withColumn("g", F.expr(f"(row_number() over (partition by symbol, day order by ts_us, id) - 1) div {size}"))
     first = F.struct("ts_us", "id")
     b = g.groupBy("symbol", "day", "g").agg(
@@ -36,7 +37,6 @@ def event_blocks(trades: DataFrame, size: int = BLOCK) -> DataFrame:
     )
     w = Window.partitionBy("symbol", "day").orderBy("g")
     b = b.withColumn("r", F.lead(log_price("p0")).over(w) - log_price("p0")).where((F.col("n") == size) & F.col("r").isNotNull())
-    del order
     return b.select("symbol", "day", (F.row_number().over(w) - 1).cast("long").alias("bi"), "t", "q", "r")
 
 
@@ -48,8 +48,8 @@ def minute_bars(trades: DataFrame) -> DataFrame:
 
 def minute_response(bars: DataFrame) -> DataFrame:
     """bars with r, the log return to the next minute, null unless that minute follows at once (across days too)."""
-    w = Window.partitionBy("symbol").orderBy("m")
-    return bars.withColumn("r", F.when(F.lead("m").over(w) == F.col("m") + MINUTE, F.lead(log_price("p0")).over(w) - log_price("p0")))
+    x = following(bars, "_next", F.struct("m", log_price("p0").alias("p")), ["symbol"], ["m"], by_day("m"))
+    return x.withColumn("r", F.when(F.col("_next.m") == F.col("m") + MINUTE, F.col("_next.p") - log_price("p0"))).drop("_next")
 
 
 def derive_scale(blocks: DataFrame, m: int) -> DataFrame:
@@ -63,7 +63,8 @@ def derive_scale(blocks: DataFrame, m: int) -> DataFrame:
 
 def with_duration(windows: DataFrame, fill: bool = False) -> DataFrame:
     """windows with dt_s, the seconds to the next window of the day; null for the day's last, or carried forward if ``fill``."""
-    w = Window.partitionBy("symbol").orderBy("day", "t")
-    day = F.lead("day").over(w)
-    out = windows.withColumn("dt_s", F.when(day == F.col("day"), (F.lead("t").over(w) - F.col("t")) / 1e6))
-    return out.withColumn("dt_s", F.last("dt_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) if fill else out
+    w = Window.partitionBy("symbol", "day").orderBy("t")
+    out = windows.withColumn("dt_s", (F.lead("t").over(w) - F.col("t")) / 1e6)
+    if not fill:
+        return out
+    return carried(out.withColumnRenamed("dt_s", "_dt"), "dt_s", F.col("_dt"), ["symbol"], ["day", "t"], F.col("day")).drop("_dt")

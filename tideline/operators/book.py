@@ -10,28 +10,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.ordered import carried, every, previous, running_sum
+
+#: Batches, and rows, of a chunk along a feed.
+BATCHES, ROWS = 1000, 100_000
+#: Batches of a bucket in which states and asked batches meet.
+BUCKET = 64
+
 
 def with_episode(l2: DataFrame) -> DataFrame:
     """l2 with ``episode``: the batch of the last snapshot at or before the row, -1 before the first."""
-    w = Window.partitionBy("symbol").orderBy("batch").rangeBetween(Window.unboundedPreceding, 0)
-    return l2.withColumn("episode", F.coalesce(F.max(F.when(F.col("is_snapshot"), F.col("batch"))).over(w), F.lit(-1)))
+    each = l2.groupBy("symbol", "batch").agg(F.max(F.when(F.col("is_snapshot"), F.col("batch"))).alias("_snap"))
+    marks = carried(each, "episode", F.col("_snap"), ["symbol"], ["batch"], every("batch", BATCHES)).select("symbol", "batch", F.coalesce("episode", F.lit(-1).cast("long")).alias("episode"))
+    return l2.join(marks, ["symbol", "batch"])
 
 
 def book_at(l2: DataFrame, batches: DataFrame) -> DataFrame:
     """(symbol, batch, side, price, size): the book after each batch asked for. batches: (symbol, batch).
 
-    Each level's state holds from its batch until the level's next row or the next episode; an equi-join of
-    the asked batches on their episode finds the states that hold.
+    Each level's state holds from its batch until the level's next row or the next episode. Asked batches and states meet by bucket of
+    batches: a state goes to every bucket it reaches into, of its episode and where something is asked, and an asked batch to its own, so a long episode is many keys.
     """
     rows = with_episode(l2)
     w = Window.partitionBy("symbol", "episode", "side", "price").orderBy("batch", "seq")
     states = rows.withColumn("until", F.lead("batch").over(w)).where("amount > 0").select("symbol", "episode", "side", "price", F.col("amount").alias("size"), F.col("batch").alias("since"), "until")
     marks = rows.select("symbol", "batch", "episode").distinct()
     last = batches.select("symbol", F.col("batch").alias("_b")).distinct()
-    w2 = Window.partitionBy("symbol").orderBy("_b", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.select("symbol", F.col("batch").alias("_b"), F.lit(0).alias("_ask"), "episode").unionByName(last.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
-    asked = both.withColumn("episode", F.last("episode", ignorenulls=True).over(w2)).where("_ask = 1").select("symbol", "episode", F.col("_b").alias("batch"))
-    j = states.join(asked, ["symbol", "episode"]).where((F.col("since") <= F.col("batch")) & (F.col("until").isNull() | (F.col("until") > F.col("batch"))))
+    both = marks.select("symbol", F.col("batch").alias("_b"), F.lit(0).alias("_ask"), F.col("episode").alias("_e")).unionByName(last.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
+    asked = carried(both, "episode", F.col("_e"), ["symbol"], ["_b", "_ask"], every("_b", BATCHES)).where("_ask = 1").select("symbol", "episode", F.col("_b").alias("batch"), F.expr(f"_b div {BUCKET}").alias("bucket"))
+    ends = asked.groupBy("symbol", "episode").agg(F.max("batch").alias("_end"))
+    reach = F.explode(F.sequence(F.expr(f"since div {BUCKET}"), F.greatest(F.expr(f"since div {BUCKET}"), F.expr(f"coalesce(least(until - 1, _end), _end) div {BUCKET}"))))
+    dealt = states.join(ends, ["symbol", "episode"]).where(F.col("since") <= F.col("_end")).withColumn("bucket", reach)
+    j = dealt.join(asked, ["symbol", "episode", "bucket"]).where((F.col("since") <= F.col("batch")) & (F.col("until").isNull() | (F.col("until") > F.col("batch"))))
     return j.select("symbol", "batch", "side", "price", "size")
 
 
@@ -96,14 +106,12 @@ def unaligned(published: DataFrame, l2: DataFrame) -> DataFrame:
 
 def episodes(l2: DataFrame) -> DataFrame:
     """(symbol, episodes, snapshot_rows): runs of consecutive snapshot rows."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    x = l2.withColumn("begins", F.col("is_snapshot") & ~F.coalesce(F.lag("is_snapshot").over(w), F.lit(False)))
+    x = previous(l2, "_p", F.col("is_snapshot"), ["symbol"], ["seq"], every("seq", ROWS)).withColumn("begins", F.col("is_snapshot") & ~F.coalesce("_p", F.lit(False)))
     return x.groupBy("symbol").agg(F.sum(F.col("begins").cast("long")).alias("episodes"), F.sum(F.col("is_snapshot").cast("long")).alias("snapshot_rows"))
 
 
 def batch_sessions(l2: DataFrame, keys: tuple[str, ...] = ("ts_us", "local_ts_us", "is_snapshot")) -> DataFrame:
     """l2 with ``session``: a new number whenever the keys differ from the row before."""
-    w = Window.partitionBy("symbol").orderBy("seq")
     key = F.struct(*keys)
-    new = F.coalesce((key != F.lag(key).over(w)).cast("long"), F.lit(0))
-    return l2.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    x = previous(l2, "_p", key, ["symbol"], ["seq"], every("seq", ROWS)).withColumn("_new", F.coalesce((key != F.col("_p")).cast("long"), F.lit(0)))
+    return running_sum(x, "session", F.col("_new"), ["symbol"], ["seq"], every("seq", ROWS)).drop("_p", "_new")

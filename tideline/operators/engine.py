@@ -6,12 +6,16 @@ A reset empties the book, so (symbol, episode between resets) is the unit of par
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.ordered import every, running_sum
+
+#: Messages of a chunk along a symbol's sequence.
+CHUNK_ROWS = 100_000
 ADD, MODIFY, DELETE, TRADE, RESET = range(5)
 COUNTERS = ("messages", "adds", "modifies", "deletes", "trades", "snapshot_resets", "rejected", "qty_added", "qty_filled", "qty_removed")
 
@@ -122,9 +126,15 @@ class Engine:
     def resting(self) -> int:
         return sum(o[2] for o in self.orders.values())
 
-    def ladder(self, side: int) -> list[tuple[int, int, int]]:
-        """(price, size, orders) from the best level on."""
-        prices = reversed(self.prices[side]) if side == 0 else self.prices[side]
+    def crossed_by(self, side: int, price: int) -> list[int]:
+        """Prices of the other side, best first, that an order of ``side`` at price would trade against."""
+        p = self.prices[1 - side]
+        return p[: bisect_right(p, price)] if side == 0 else p[bisect_left(p, price) :][::-1]
+
+    def ladder(self, side: int, depth: int | None = None) -> list[tuple[int, int, int]]:
+        """(price, size, orders) from the best level on, ``depth`` levels at most."""
+        p = self.prices[side]
+        prices = p[:depth] if side else p[::-1] if depth is None else p[: -depth - 1 : -1]
         return [(p, sum(self.orders[i][2] for i in self.levels[side][p]), len(self.levels[side][p])) for p in prices]
 
     def inject(self, ts: int, oid: int, side: int, size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -163,21 +173,19 @@ class Engine:
         return out
 
 
-OUT = "symbol string, episode long, kind string, seq long, ts_us long, aggressor long, order_id long, side int, rank int, price long, size long, note string"
+OUT = "symbol string, episode long, kind string, seq long, nth int, ts_us long, aggressor long, order_id long, side int, rank int, price long, size long, note string"
 
 
 def with_reset_episode(messages: DataFrame) -> DataFrame:
     """messages with ``episode``: resets so far. The reset itself begins the new episode."""
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("episode", F.sum((F.col("type") == RESET).cast("long")).over(w))
+    return running_sum(messages, "episode", (F.col("type") == RESET).cast("long"), ["symbol"], ["seq"], every("seq", CHUNK_ROWS))
 
 
 def run_engine(messages: DataFrame, check_every: int = 0) -> DataFrame:
     """One tagged table of what every (symbol, episode) did: fill, print, book (by rank and queue), stat and violation rows.
 
     messages: symbol, seq, ts_us, type, order_id, side, price, size; applied in order of seq, which must not repeat within a
-    symbol. A reset that begins an episode finds an empty book here, so what it removes is what rested at the end of the episode
-    before. With check_every, invariants are tested after every so many messages, and at the end.
+    symbol. What a reset removes is counted where it rested, at the end of the episode before it. With check_every, invariants are tested after every so many messages, and at the end.
     """
     import pyarrow as pa
 
@@ -188,16 +196,17 @@ def run_engine(messages: DataFrame, check_every: int = 0) -> DataFrame:
         t = t.sort_by("seq")
         e, rows = Engine(), []
         filled = printed = 0
+        follows = t.column("resets")[0].as_py() > episode
 
-        def row(kind, seq=None, ts=None, aggressor=None, oid=None, side=None, rank=None, price=None, size=None, note=None):
-            rows.append((symbol, episode, kind, seq, ts, aggressor, oid, side, rank, price, size, note))
+        def row(kind, seq=None, ts=None, aggressor=None, oid=None, side=None, rank=None, price=None, size=None, note=None, nth=None):
+            rows.append((symbol, episode, kind, seq, nth, ts, aggressor, oid, side, rank, price, size, note))
 
         cols = [t.column(c).to_pylist() for c in ("seq", "ts_us", "order_id", "price", "size", "type", "side")]
         seq = None
         for n, (seq, ts, oid, price, size, kind, side) in enumerate(zip(*cols, strict=True), 1):
             e.apply(ts, oid, price, size, kind, side)
-            for f in e.fills[filled:]:
-                row("fill", seq, f[0], f[1], f[2], f[5], None, f[3], f[4])
+            for nth, f in enumerate(e.fills[filled:]):
+                row("fill", seq, f[0], f[1], f[2], f[5], None, f[3], f[4], nth=nth)
             for p in e.prints[printed:]:
                 row("print", seq, p[0], None, None, p[3], None, p[1], p[2])
             filled, printed = len(e.fills), len(e.prints)
@@ -211,20 +220,67 @@ def run_engine(messages: DataFrame, check_every: int = 0) -> DataFrame:
             for rank, p in enumerate(prices):
                 for oid in e.levels[side][p]:
                     row("book", None, None, None, oid, side, rank, p, e.orders[oid][2])
-        for k, v in e.stats.items():
+        stats = e.stats | {"resting": e.resting()}
+        if follows:  # the next episode's reset takes it away
+            stats["qty_removed"] += stats["resting"]
+            stats["resting"] = 0
+        for k, v in stats.items():
             row("stat", size=v, note=k)
-        return pa.table({c: pa.array([r[i] for r in rows], f) for i, (c, f) in enumerate(zip(names, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True))})
+        return pa.table({c: pa.array([r[i] for r in rows], f) for i, (c, f) in enumerate(zip(names, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True))})
+
+    resets = messages.groupBy("symbol").agg(F.count_if(F.col("type") == RESET).alias("resets"))
+    return with_reset_episode(messages).join(F.broadcast(resets), "symbol").groupBy("symbol", "episode").applyInArrow(run, OUT)
+
+
+def engine_totals(tagged: DataFrame) -> DataFrame:
+    """(symbol, the ten counters, resting, residual): summed over episodes. The residual is what conservation leaves over: 0."""
+    stat = lambda n: F.sum(F.when(F.col("note") == n, F.col("size"))).alias(n)
+    x = tagged.where("kind = 'stat'").groupBy("symbol").agg(*[stat(n) for n in (*COUNTERS, "resting")])
+    return x.withColumn("residual", F.col("qty_added") - 2 * F.col("qty_filled") - F.col("qty_removed") - F.col("resting"))
+
+
+def readbacks(tagged: DataFrame, aggressor: int | None = None) -> DataFrame:
+    """(symbol, fill_count, filled, cumulative_cost): of all fills, or those of one aggressor. The cost is exact: a decimal that doesn't overflow."""
+    f = tagged.where("kind = 'fill'" if aggressor is None else f"kind = 'fill' and aggressor = {aggressor}")
+    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("fill_count"), F.sum("size").alias("filled"), F.sum(F.col("price").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")).cast("long").alias("cumulative_cost"))
+
 
-    return with_reset_episode(messages).groupBy("symbol", "episode").applyInArrow(run, OUT)
 
 
 def checksum(tagged: DataFrame) -> DataFrame:
-    """(symbol, fills, filled, checksum): the number and quantity of fills and FNV-1a over their lines in order, each line ended by a newline."""
-    from tideline.functions.scalars import fnv1a_hex
+    """(symbol, fills, filled, checksum): the number and quantity of fills and FNV-1a over their lines in order, each line ended by a newline.
+
+    The checksum is a fold over bytes in order, and so is this: fills are sorted into a range of partitions by symbol and order, and each symbol's state goes from one batch of rows to the next.
+    """
+    import pyarrow as pa
+
+    from tideline.functions.scalars import FNV_OFFSET, fnv1a
 
     line = F.concat_ws(",", "ts_us", "aggressor", "order_id", "price", "size", "side")
-    w = Window.partitionBy("symbol", "episode", "seq").orderBy(F.monotonically_increasing_id())
-    f = tagged.where("kind = 'fill'").withColumn("k", F.row_number().over(w)).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("fills"), F.sum("size").alias("filled"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "k", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text")
-    )
-    return f.select("symbol", "fills", "filled", fnv1a_hex("text").alias("checksum"))
+    # fills of one message come in the engine's order
+    f = tagged.where("kind = 'fill'").select("symbol", "episode", "seq", "nth", "size", line.alias("line"))
+    kind = "symbol string, fills long, filled long, checksum string"
+
+    def run(key, batches):
+        h, n, filled = FNV_OFFSET, 0, 0
+        for b in batches:
+            for text, size in zip(b.column("line").to_pylist(), b.column("size").to_pylist(), strict=True):
+                h, n, filled = fnv1a(text.encode() + b"\n", h), n + 1, filled + size
+        yield pa.RecordBatch.from_pydict({"symbol": [key], "fills": [n], "filled": [filled], "checksum": [f"{h:016x}"]}, schema=pa.schema([("symbol", pa.string()), ("fills", pa.int64()), ("filled", pa.int64()), ("checksum", pa.string())]))
+
+    def by_symbol(batches):
+        def runs():
+            for b in batches:
+                names = b.column("symbol").to_pylist()
+                lo = 0
+                for hi in range(1, len(names) + 1):
+                    if hi == len(names) or names[hi] != names[lo]:
+                        yield names[lo], b.slice(lo, hi - lo)
+                        lo = hi
+
+        from itertools import groupby
+
+        for name, group in groupby(runs(), key=lambda x: x[0]):
+            yield from run(name, (b for _, b in group))
+
+    return f.repartition("symbol").sortWithinPartitions("symbol", "episode", "seq", "nth").mapInArrow(by_symbol, kind)

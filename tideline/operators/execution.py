@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import band_price, half_up, sqrt_cost
+from tideline.operators.ordered import by_day, running_number
 
 # Fixed band orders, nearest to the mid first.
 ASK_BANDS, BID_BANDS = [6, 7, 8, 9, 10, 11], [5, 4, 3, 2, 1, 0]
@@ -26,12 +27,12 @@ def walk(snapshots: DataFrame, side: str, target: Column, participation: float)
 
 def pick_slices(times: DataFrame, slices: int) -> DataFrame:
     """(slice, ts): evenly spaced rows of times(ts), rounding halves up; the first row if there is one slice."""
-    n = times.select("ts").distinct()
-    i = n.withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    n = times.select("ts").distinct().withColumn("_all", F.lit(0))
+    i = running_number(n, "i", ["_all"], ["ts"], by_day("ts"))
     want = F.explode(F.sequence(F.lit(0), F.lit(max(slices, 1) - 1)))
     last = n.agg(F.count(F.lit(1)).alias("n")).select("n", want.alias("slice"))
     at = half_up(F.col("slice") * (F.col("n") - 1) / (slices - 1)) if slices > 1 else F.lit(0).cast("long")
-    return last.select("slice", at.alias("i")).join(i.select("i", "ts"), "i").select("slice", "ts")
+    return i.select("i", "ts").join(F.broadcast(last.select("slice", at.alias("i"))), "i").select("slice", "ts")
 
 
 def schedule(snapshots: DataFrame, slices: DataFrame, side: str, total: float, n: int, participation: float, sigma: float, volume: float) -> DataFrame:

@@ -63,6 +63,15 @@ def window_difference(reps: DataFrame) -> DataFrame:
     return reps.groupBy("symbol", "rep").agg(*[(at(c, "pre_funding") - at(c, "control")).alias(f"d_{c}") for c in ("mean_abs_ofi", "mean_abs_r", "slope")])
 
 
+def funding_ci(funding: DataFrame, other: DataFrame) -> DataFrame:
+    """(symbol, side, quantity, mean, lo, hi) over replicates: the pre-window less the control at funding hours, at the others, and the difference of both (did)."""
+    cols = ("d_mean_abs_ofi", "d_mean_abs_r", "d_slope")
+    both = funding.join(other.select("symbol", "rep", *[F.col(c).alias(f"o_{c}") for c in cols]), ["symbol", "rep"])
+    cells = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(c[2:]).alias("quantity"), v.alias("v")) for c in cols for side, v in (("funding", F.col(c)), ("non_funding", F.col(f"o_{c}")), ("did", F.col(c) - F.col(f"o_{c}")))])
+    x = both.select("symbol", F.explode(cells).alias("c")).select("symbol", "c.*")
+    return x.groupBy("symbol", "side", "quantity").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
+
+
 def day_index(bars: DataFrame) -> DataFrame:
     """(symbol, day, i): days in order, from 0."""
     return bars.select("symbol", F.expr("m div 86400000000").alias("day")).distinct().withColumn("i", (F.row_number().over(Window.partitionBy("symbol").orderBy("day")) - 1).cast("long"))

@@ -33,18 +33,39 @@ def parse_levels(lines: DataFrame, price_decimals: int = 1, size_decimals: int =
     )
 
 
-def parse_book_snapshots(lines: DataFrame, levels: int = 25, price_decimals: int = 1, size_decimals: int = 3) -> DataFrame:
-    """Book rows (exchange,symbol,times, then ask price, ask amount, bid price, bid amount by level) as (symbol, ts_us, local_ts_us, side, rank, price, size);
-    a side ends at its first empty price. Rows with another number of fields are left out."""
-    x = lines.withColumn("f", F.split("line", ",", -1)).where(F.size("f") == 4 + 4 * levels)
-    parts = []
-    for side, at in ((1, 4), (0, 6)):
-        level = F.array(*[F.struct(F.col("f")[4 * i + at].alias("p"), F.col("f")[4 * i + at + 1].alias("q")) for i in range(levels)])
+def parse_book_rows(lines: DataFrame, levels: int = 25, price_decimals: int = 1, size_decimals: int = 3) -> DataFrame:
+    """Book rows (exchange,symbol,times, then ask price, ask amount, bid price, bid amount by level) as (line, status, symbol, ts_us, local_ts_us, asks, bids), arrays of struct<price, size> best first.
+
+    A side ends at its first empty price; what follows is not looked at. Status: Ok, FieldCount or BadNumber (a time, or a price or amount of a level that counts); other columns are null then.
+    """
+    x = lines.withColumn("f", F.split("line", ",", -1))
+
+    def side(at: int):
+        level = F.array(*[F.struct(F.get("f", F.lit(4 * i + at)).alias("p"), F.get("f", F.lit(4 * i + at + 1)).alias("q")) for i in range(levels)])
         depth = F.array_position(F.transform(level, lambda v: v["p"]), F.lit("")).cast("int")
         cut = F.when(depth == 0, level).otherwise(F.slice(level, 1, F.greatest(depth - 1, F.lit(0))))
-        parts.append(x.select(F.col("f")[1].alias("symbol"), F.col("f")[2].try_cast("long").alias("ts_us"), F.col("f")[3].try_cast("long").alias("local_ts_us"), F.lit(side).alias("side"), F.posexplode(cut).alias("rank", "v")))
-    out = parts[0].unionByName(parts[1])
-    return out.select("symbol", "ts_us", "local_ts_us", "side", "rank", scaled_decimal(F.col("v.p"), price_decimals).alias("price"), scaled_decimal(F.col("v.q"), size_decimals).alias("size"))
+        good = F.forall(cut, lambda v: (decimal_status(v["p"], price_decimals) == "Ok") & (decimal_status(v["q"], size_decimals) == "Ok"))
+        return good, F.transform(cut, lambda v: F.struct(scaled_decimal(v["p"], price_decimals).alias("price"), scaled_decimal(v["q"], size_decimals).alias("size")))
+
+    good_asks, asks = side(4)
+    good_bids, bids = side(6)
+    times = F.get("f", F.lit(2)).rlike(INT) & F.get("f", F.lit(3)).rlike(INT)
+    status = F.when(F.size("f") != 4 + 4 * levels, "FieldCount").when(~(times & good_asks & good_bids), "BadNumber").otherwise("Ok")
+    x = x.withColumn("status", status)
+    ok = lambda c: F.when(F.col("status") == "Ok", c)
+    return x.select("line", "status", ok(F.get("f", F.lit(1))).alias("symbol"), ok(F.get("f", F.lit(2)).try_cast("long")).alias("ts_us"), ok(F.get("f", F.lit(3)).try_cast("long")).alias("local_ts_us"), ok(asks).alias("asks"), ok(bids).alias("bids"))
+
+
+def by_level(books: DataFrame) -> DataFrame:
+    """The levels of books (asks, bids as arrays) as rows: the other columns, side, rank, price, size."""
+    keep = [c for c in books.columns if c not in ("asks", "bids", "line", "status")]
+    parts = [books.select(*keep, F.lit(side).alias("side"), F.posexplode(c).alias("rank", "v")) for side, c in ((1, "asks"), (0, "bids"))]
+    return parts[0].unionByName(parts[1]).select(*keep, "side", "rank", F.col("v.price").alias("price"), F.col("v.size").alias("size"))
+
+
+def parse_book_snapshots(lines: DataFrame, levels: int = 25, price_decimals: int = 1, size_decimals: int = 3) -> DataFrame:
+    """(symbol, ts_us, local_ts_us, side, rank, price, size) of the book rows that are Ok; parse_book_rows tells about the others."""
+    return by_level(parse_book_rows(lines, levels, price_decimals, size_decimals).where("status = 'Ok'"))
 
 
 def parse_orders(lines: DataFrame) -> DataFrame:
@@ -63,35 +84,87 @@ def parse_orders(lines: DataFrame) -> DataFrame:
     ).withColumn("ts_us", F.expr("_ns div 1000")).drop("_ns")
 
 
+# What stands for an absent level.
+ASK_SENTINEL, BID_SENTINEL = 9999999999, -9999999999
+
+
+def parse_order_book_rows(lines: DataFrame, levels: int = 10) -> DataFrame:
+    """(other columns, line, status, asks, bids) of 4 * levels fields (ask price, ask size, bid price, bid size by level). A sentinel price or a size of at most 0 ends a side.
+
+    Status: Ok, FieldCount or BadNumber (any field, also behind a side's end).
+    """
+    x = lines.withColumn("f", F.split("line", ",", -1))
+    x = x.withColumn("status", F.when(F.size("f") != 4 * levels, "FieldCount").when(~F.forall("f", lambda v: v.rlike(r"^[+-]?[0-9]{1,18}$")), "BadNumber").otherwise("Ok"))
+
+    def side(at: int, sentinel: int):
+        level = F.array(*[F.struct(F.get("f", F.lit(4 * i + at)).try_cast("long").alias("price"), F.get("f", F.lit(4 * i + at + 1)).try_cast("long").alias("size")) for i in range(levels)])
+        end = F.array_position(F.transform(level, lambda v: (v["price"] == sentinel) | (v["size"] <= 0)), F.lit(True)).cast("int")
+        return F.when(F.col("status") == "Ok", F.when(end == 0, level).otherwise(F.slice(level, 1, F.greatest(end - 1, F.lit(0)))))
+
+    return x.select(*lines.columns, "status", side(0, ASK_SENTINEL).alias("asks"), side(2, BID_SENTINEL).alias("bids"))
+
+
 def parse_order_books(lines: DataFrame, levels: int = 10) -> DataFrame:
-    """(other columns, side, rank, price, size) of 4 * levels fields; a price or size of at most 0 or the sentinel 9999999999 ends a side."""
-    x = lines.withColumn("f", F.split("line", ",", -1)).where(F.size("f") == 4 * levels)
-    parts = []
-    for side, at in ((1, 0), (0, 2)):
-        level = F.array(*[F.struct(F.col("f")[4 * i + at].try_cast("long").alias("p"), F.col("f")[4 * i + at + 1].try_cast("long").alias("q")) for i in range(levels)])
-        bad = F.transform(level, lambda v: F.coalesce((v["p"] <= 0) | (v["q"] <= 0) | (F.abs(v["p"]) == 9999999999), F.lit(True)))
-        depth = F.array_position(bad, F.lit(True)).cast("int")
-        cut = F.when(depth == 0, level).otherwise(F.slice(level, 1, F.greatest(depth - 1, F.lit(0))))
-        parts.append(x.select(*[c for c in lines.columns if c != "line"], F.lit(side).alias("side"), F.posexplode(cut).alias("rank", "v")))
-    return parts[0].unionByName(parts[1]).select(*[c for c in lines.columns if c != "line"], "side", "rank", F.col("v.p").alias("price"), F.col("v.q").alias("size"))
+    """(other columns, side, rank, price, size) of the rows that are Ok."""
+    return by_level(parse_order_book_rows(lines, levels).where("status = 'Ok'"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line): lines of plain or gzip text files numbered from 1. A file is one task: where a number is needed, its lines must be counted."""
+    import pyarrow as pa
+
+    def run(batches):
+        import gzip
+        import io
+
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                raw = pa.BufferReader(content.as_buffer())
+                stream = gzip.open(raw) if name.endswith(".gz") else raw
+                lines, at = [], 1
+                for line in io.TextIOWrapper(stream, "utf-8", newline="\n"):
+                    lines.append(line.rstrip("\r\n"))
+                    if len(lines) == 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "line_no", "line"])
+                        lines, at = [], at + len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "line_no", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, line_no long, line string")
 
 
 def read_tape(lines: DataFrame) -> DataFrame:
-    """Messages of a text tape (A/M/D/T/R lines, # comments) with ``status`` Ok or Malformed; blank lines and comments are left out."""
-    x = lines.where(~F.trim("line").startswith("#") & (F.trim("line") != "")).withColumn("f", F.split(F.trim("line"), r"\s+"))
+    """Messages of a text tape (A/M/D/T/R lines, # comments) with the other columns of lines and ``status``; blank lines and comments are left out.
+
+    Status: Ok, UnknownTag, MissingFields (a field is absent or no integer) or BadSide, tested in this order. Fields behind the last one are not read. The message's columns are null unless Ok.
+    """
+    x = lines.withColumn("f", F.split(F.trim("line"), r"\s+")).where("f[0] <> '' and not startswith(f[0], '#')")
     c = lambda i: F.get("f", F.lit(i))
-    kind, n = c(0), F.size("f")
-    want = F.when(kind == "A", 6).when(kind == "M", 4).when(kind == "D", 3).when(kind == "T", 5).when(kind == "R", 2)
-    side = F.when(kind == "A", c(3)).when(kind == "T", c(2))
-    L = lambda e: e.try_cast("long")
+    tag = c(0)
+    numbers = {"A": (1, 2, 4, 5), "M": (1, 2, 3), "D": (1, 2), "T": (1, 3, 4), "R": (1,)}
+    whole = F.lit(False)
+    for t, at in numbers.items():
+        good = c(at[0]).rlike(INT)
+        for i in at[1:]:
+            good = good & c(i).rlike(INT)
+        whole = F.when(tag == t, F.coalesce(good, F.lit(False)) & (c(3).isNotNull() if t == "A" else F.lit(True))).otherwise(whole)
+    side = F.when(tag == "A", c(3)).when(tag == "T", c(2))
+    x = x.withColumn("status", F.when(~tag.isin(*numbers), "UnknownTag").when(~whole, "MissingFields").when(side.isNotNull() & ~side.isin("B", "S"), "BadSide").otherwise("Ok"))
+    ok = lambda e: F.when(F.col("status") == "Ok", e)
+    number = lambda i: c(i).try_cast("long")
+    zero = F.lit(0).cast("long")
     return x.select(
-        "line", F.when((n == want) & (side.isNull() | side.isin("B", "S")) & L(c(1)).isNotNull(), "Ok").otherwise("Malformed").alias("status"),
-        F.when(kind == "A", 0).when(kind == "M", 1).when(kind == "D", 2).when(kind == "T", 3).when(kind == "R", 4).alias("type"), L(c(1)).alias("ts_us"),
-        F.when(kind.isin("A", "M", "D"), L(c(2))).otherwise(F.lit(0)).alias("order_id"), F.when(side == "B", 0).when(side == "S", 1).otherwise(F.lit(0)).alias("side"),
-        F.coalesce(F.when(kind == "A", L(c(4))).when(kind == "T", L(c(3))), F.lit(0)).alias("price"), F.coalesce(F.when(kind == "A", L(c(5))).when(kind == "M", L(c(3))).when(kind == "T", L(c(4))), F.lit(0)).alias("size"),
+        *lines.columns, "status", ok(F.when(tag == "A", 0).when(tag == "M", 1).when(tag == "D", 2).when(tag == "T", 3).otherwise(4)).alias("type"), ok(number(1)).alias("ts_us"),
+        ok(F.when(tag.isin("A", "M", "D"), number(2)).otherwise(zero)).alias("order_id"), ok(F.when(side == "S", 1).otherwise(0)).alias("side"),
+        ok(F.when(tag == "A", number(4)).when(tag == "T", number(3)).otherwise(zero)).alias("price"), ok(F.when(tag == "A", number(5)).when(tag == "M", number(3)).when(tag == "T", number(4)).otherwise(zero)).alias("size"),
     )
 
 
+def checked(parsed: DataFrame) -> DataFrame:
+    """parsed, but the job fails at a row that isn't Ok, naming its line number if it has one."""
+    where = F.concat(F.lit("line "), F.col("line_no").cast("string")) if "line_no" in parsed.columns else F.col("line")
+    return parsed.withColumn("status", F.when(F.col("status") == "Ok", F.col("status")).otherwise(F.raise_error(F.concat(where, F.lit(": "), F.col("status"))).cast("string")))
+
+
 def tape_lines(messages: DataFrame) -> DataFrame:
     """messages with ``line``, the tape text; write it with ``select('line').write.text``."""
     s = F.when(F.col("side") == 0, "B").otherwise("S")

@@ -29,6 +29,13 @@ select case when user_id%2=0 then 'AAA' else 'BBB' end as symbol, event_id as se
 case when {H1}%1000<550 then 0 when {H1}%1000<700 then 1 when {H1}%1000<955 then 2 when {H1}%1000<995 then 3 else 4 end as type,
 case when {H1}%1000<550 then event_id else event_id-1-{H2}%60 end as order_id, cast({H4}%2 as int) as side,
 10000+{H3}%13-6 as price, 1+{H2}%40 as size from {events}""",
+    "equity_messages": """
+select case when user_id%2=0 then 'AAA' else 'BBB' end as symbol, cast(ts as date) as day, event_id as row_index, ({us}%86400000000)/1e6 as seconds,
+case when {H1}%100<20 then 1 when {H1}%100<30 then 2 when {H1}%100<40 then 3 when {H1}%100<85 then 4 when {H1}%100<97 then 5 else 7 end as type,
+event_id as order_id, 1+{H2}%300 as size, 5000000+100*cast(round(value*100) as bigint) as price, case when {H4}%2=0 then 1 else -1 end as direction from {events}""",
+    "equity_books": """
+select case when user_id%2=0 then 'AAA' else 'BBB' end as symbol, cast(ts as date) as day, event_id as row_index,
+5000000+100*cast(round(value*100) as bigint)+50+100*({H3}%4) as ask, 5000000+100*cast(round(value*100) as bigint)-50-100*({H4}%4) as bid from {events} where {H3}%50<>0""",
     "bands": """
 select h.hour_ts, b.band, b.pct_tenths, 500*abs(b.pct_tenths)+(h.n*7919+b.band*104729)%1000 as depth_lots
 from (select date_trunc('hour',ts) as hour_ts, count(*) as n from {events} group by 1) h

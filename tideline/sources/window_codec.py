@@ -68,6 +68,9 @@ def decode(raw: bytes) -> dict:
     }
 
 
+WINDOW = "struct<symbol:string,day:int,start_ms:bigint,end_ms:bigint,price_scale:int,qty_scale:int,snapshots:array<struct<ts:bigint,depth:array<bigint>>>,trades:array<struct<ts:bigint,price:bigint,qty:bigint>>>"
+
+
 def encode_windows(windows: DataFrame) -> DataFrame:
     """windows with ``data``, the gzipped bytes. Columns: symbol, day, start_ms, end_ms, price_scale, qty_scale, snapshots array<struct<ts,depth>>, trades array<struct<ts,price,qty>>."""
 
@@ -80,9 +83,8 @@ def encode_windows(windows: DataFrame) -> DataFrame:
 
 def decode_windows(files: DataFrame, data: str = "data") -> DataFrame:
     """files with ``window``, the decoded struct."""
-    kind = "symbol string, day int, start_ms long, end_ms long, price_scale int, qty_scale int, snapshots array<struct<ts:long,depth:array<long>>>, trades array<struct<ts:long,price:long,qty:long>>"
 
-    @F.udf(f"struct<{kind.replace(' string', ':string').replace(' long', ':long').replace(' int', ':int').replace(' array', ':array').replace(', ', ',')}>")
+    @F.udf(WINDOW, useArrow=True)
     def unpack(raw):
         w = decode(bytes(raw))
         return w | {"snapshots": [{"ts": a, "depth": b} for a, b in w["snapshots"]], "trades": [{"ts": a, "price": b, "qty": c} for a, b, c in w["trades"]]}
