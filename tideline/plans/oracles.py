@@ -266,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "a17_run_outcomes": q(["trades"], ", t as (select symbol, day, count(*) as rows from trades group by 1, 2), r as (select symbol, cast(d as date) as day from (values ('AAA'), ('BBB'), ('CCC')) v(symbol), range(date '2024-01-01', date '2024-01-31', interval 1 day) r(d)), x as (select r.symbol, r.day, rows, case when rows is not null and day(r.day)%3=0 and day(r.day)%2=0 then 'skipped' when rows is null or day(r.day)%7=0 then 'gap' else 'reduced' end as outcome from r left join t on t.symbol=r.symbol and t.day=r.day) select symbol, day, outcome, case when outcome='reduced' then rows end as rows, case when outcome='gap' then case when rows is null then 'no raw file' else 'cut off' end end as error from x"),
         "a19_day_store": q(["trades"], "select symbol, day, id, ts_us, price_ticks, qty_lots, is_buyer_maker from trades where symbol='AAA' and day between date '2024-01-05' and date '2024-01-20'"),
         "a20_iwd1_roundtrip": q(["trades", "bands"], f", s as (select epoch_ms(hour_ts)//86400000 as k, count(distinct hour_ts) as snapshots from bands group by 1), t as (select ts_us//86400000000 as k, count(*) as trades, cast(sum({SIGNED}) as bigint) as qty from trades where symbol='AAA' group by 1) select cast(strftime(make_timestamp(k*86400000000), '%Y%m%d') as int) as day, snapshots, trades, qty, true as snapshots_equal, true as trades_equal from s join t using (k)"),
-        "a23_window_index": q([*C["rv"], "bands"], ", v as (select symbol, day, sum(qty_lots)*1.0 as volume from trades group by 1, 2) select 'BTCUSDT-'||strftime(r.day, '%Y%m%d') as file, 'BTCUSDT' as symbol, cast(strftime(r.day, '%Y%m%d') as int) as day, epoch_ms(r.day) as start_ms, epoch_ms(r.day)+86400000 as end_ms, 10 as price_scale, 1000 as qty_scale, round(sqrt(rv), 9) as day_sigma, volume as day_volume_base, case tercile when 0 then 'low' when 1 then 'mid' else 'high' end as vol_tercile, 'every fourth day' as reason from rvl r join v on v.symbol=r.symbol and v.day=r.day where r.symbol='AAA' and cast(strftime(r.day, '%Y%m%d') as int)%4=1"),
+        "a23_window_index": q([*C["rv"], "bands"], ", v as (select symbol, day, cast(sum(qty_lots) as double) as volume from trades group by 1, 2) select 'BTCUSDT-'||strftime(r.day, '%Y%m%d') as file, 'BTCUSDT' as symbol, cast(strftime(r.day, '%Y%m%d') as int) as day, epoch_ms(r.day) as start_ms, epoch_ms(r.day)+86400000 as end_ms, 10 as price_scale, 1000 as qty_scale, round(sqrt(rv), 9) as day_sigma, volume as day_volume_base, case tercile when 0 then 'low' when 1 then 'mid' else 'high' end as vol_tercile, 'every fourth day' as reason from rvl r join v on v.symbol=r.symbol and v.day=r.day where r.symbol='AAA' and cast(strftime(r.day, '%Y%m%d') as int)%4=1"),
         "a28_level_messages": q([*C["book"][:3], "steps", "acts", "sent"], "select symbol, batch*1048576+row_number() over (partition by symbol, batch order by phase, seq)-1 as seq, ts_us, order_id, price, size, type, side from sent"),
         "b11_crosses": q(["quotes"], "select id, case when id%2=0 then bid_ticks+id%9-2<=bid_ticks else bid_ticks+id%9-2>=ask_ticks end as crosses from quotes"),
         "d22_feed_profile": q(["l2"], ", a as (select symbol, ts_us as ts, count(*) as n from l2 group by 1, 2), g as (select symbol, ts, n, lead(ts) over (partition by symbol order by ts)-ts as gap from a) select a.symbol, a.n_rows, first_ts, last_ts, distinct_ts, median_gap, least_rows, most_rows, snapshot_rows, round(snapshot_rows/a.n_rows, 8) as snapshot_share from (select symbol, cast(sum(n) as bigint) as n_rows, min(ts) as first_ts, max(ts) as last_ts, count(*) as distinct_ts, quantile_cont(gap, 0.5) as median_gap, min(n) as least_rows, max(n) as most_rows from g group by 1) a join (select symbol, count(*) filter (where is_snapshot) as snapshot_rows from l2 group by 1) using (symbol)"),
