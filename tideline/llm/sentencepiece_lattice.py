@@ -13,6 +13,7 @@ Documents stay where they are: a chunk, in a bucketed table, keeps its distinct
 from __future__ import annotations
 
 from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from tideline.llm.common import documents, forget, materialize, materialize_buck
 
 SPACE = "▁"
 #: Bytes of text in a chunk; segments that go by broadcast, of at most so many characters.
-CHUNK, COMMON, SHORT = 32 << 20, 1 << 17, 64
+CHUNK, COMMON, SHORT = 32 << 20, 1 << 16, 64
 #: Starts of substrings that are exploded from one window of a segment; windows overlap by the longest piece.
 WINDOW = 64
 #: Back-pointers that the fold sets aside at a time, so that long segments aren't copied at every step; more than any piece is long.
@@ -134,13 +135,12 @@ def chunks(docs: DataFrame, pairs: set[str]) -> DataFrame:
                 texts = [t or "" for t in s.column("text").to_pylist()]
                 whole, begin, length, count = cutter(texts)
                 unique, at, back = np.unique(segment_hashes(whole, begin, length), return_index=True, return_inverse=True)
-                own = np.empty(len(unique), np.uint32)
-                for k, (h, i) in enumerate(zip(unique.tolist(), at.tolist(), strict=True)):
-                    n = number.get(h)
-                    if n is None:
-                        n = number[h] = len(words)
-                        words.append(whole[begin[i] : begin[i] + length[i]])
-                    own[k] = n
+                own = np.fromiter(map(number.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
+                new = np.flatnonzero(own < 0)
+                own[new] = np.arange(len(words), len(words) + len(new))
+                number.update(zip(unique[new].tolist(), own[new].tolist(), strict=True))
+                words += [whole[b : b + n] for b, n in zip(begin[at[new]].tolist(), length[at[new]].tolist(), strict=True)]
+                own = own.astype(np.uint32)
                 ids = s.column("doc_id")
                 held.append((ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, own[back], count, [hashlib.sha256(t.encode()).digest() for t in texts]))
                 size += sum(map(len, texts))
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     names = spark.createDataFrame([(k,) for k in known], "key string")
     others = asked.select("part", "n", "key").join(F.broadcast(names), "key", "left_anti")
     rest = coded.join(F.broadcast(names), "key", "left_anti").select("key", "ids")
-    answers = materialize(by_chunk(others.join(rest, "key")), "answers")
+    answers = materialize(by_chunk(others.join(rest, "key").coalesce(max(workers(docs), tasks // 8))), "answers")
     forget(coded)
     schema = _parse_datatype_string(f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>" + ", digest binary" * keep)
     arrow = to_arrow_schema(schema)
@@ -342,9 +342,13 @@ def decode(coded: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
     """
     sp = load(path)
     table = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
-    pieces = F.split(F.lit(",".join(t.hex() for t in table)), ",")
-    raw = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
-    return coded.withColumn("text", F.substr(F.make_valid_utf8(raw.cast("string")), F.lit(2)))
+    joined = lambda cells, mark: F.array_join(F.transform(ids, lambda i: F.element_at(F.split(F.lit(mark.join(cells)), mark), i + 1)), "")
+    # pieces that are characters join as they are; texts with parts of characters go byte by byte
+    part = "\uffff"
+    whole = joined([part if len(t) == 1 and not 0 < t[0] < 128 else t.decode() for t in table], "\0")
+    spelled = F.make_valid_utf8(F.unhex(joined([t.hex() for t in table], ",")).cast("string"))
+    got = coded.withColumn("_whole", whole)
+    return got.withColumn("text", F.substr(F.when(F.instr("_whole", part) > 0, spelled).otherwise(F.col("_whole")), F.lit(2))).drop("_whole")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
