@@ -524,3 +524,65 @@ def test_pipeline_null_and_repeated_ids(spark):
     got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, d, SF).collect()]
     assert len(got) == 7 and {(4, b), (None, text(64, 90)), (None, None), (8, "one"), (8, "")} < set(got)
     assert len({(4, a), (4, near(a, 1))} & set(got)) == 1 and len({(None, c), (None, near(c, 1))} & set(got)) == 1
+
+
+def test_links_come_from_pivots_and_windows():
+    """Regions of near copies, of unlike sets, and chains: what unites sets are pivots and windows, and the classes are those of brute force."""
+    r = np.random.default_rng(12)
+    for trial in range(40):
+        base = [r.choice(10_000, 60, replace=False) for _ in range(int(r.integers(1, 6)))]
+        sets = []
+        for _ in range(int(r.integers(2, jaccard_join.SMALL + 1))):
+            s = base[int(r.integers(len(base)))].copy()
+            s[r.choice(60, int(r.integers(0, 12)), replace=False)] = 10_000 + r.integers(0, 10**6)
+            sets.append(np.unique(s[: int(r.integers(40, 61))]).astype(np.uint64))
+        region = jaccard_join.Region(sets)
+        region.join(np.arange(len(sets)))
+        up = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        assert [up.index(x) for x in up] == [[region.forest.find(k) for k in range(len(sets))].index(region.forest.find(i)) for i in range(len(sets))]
+        assert region.found["index"] == 0 and sum(region.found.values()) == len(sets) - len(set(up))
+
+
+def test_phrases_against_plain_parsing(monkeypatch):
+    """Phrases carry on over the borders of the layout: each is the longest match in the language's text."""
+    monkeypatch.setattr(langid, "PART", 7)
+    monkeypatch.setattr(langid, "WIDE", 3)
+    r = np.random.default_rng(4)
+    learned = {k: "".join(r.choice(list("abcde "), 300, p=q)) for k, q in (("x", [0.4, 0.3, 0.1, 0.05, 0.05, 0.1]), ("y", [0.05, 0.1, 0.1, 0.4, 0.25, 0.1]), ("z", [0.2, 0.2, 0.2, 0.1, 0.2, 0.1]))}
+    texts = ["".join(r.choice(list("abcdef "), int(n))) for n in r.integers(0, 90, 25)] + ["", "ffff", learned["x"]]
+    p = langid.Parser({k: langid.codes(v) for k, v in learned.items()})
+    got = p.phrases([langid.codes(t) for t in texts])
+
+    def plain(s, t):
+        n, match = 0, ()
+        for c in t:
+            if match and any(s[i : i + len(match) + 1] == (*match, c) for i in range(len(s))):
+                match = (*match, c)
+            else:
+                n, match = n + 1, (c,) if c in s else ()
+        return n
+
+    for t, row in zip(texts, got, strict=True):
+        assert row.tolist() == [plain(tuple(langid.codes(learned[k]).tolist()), tuple(langid.codes(t).tolist())) for k in p.langs]
+
+
+def test_more_languages_than_a_table_holds(spark, monkeypatch):
+    """Every language is learned, and groups of tables give the same as one."""
+    r = np.random.default_rng(9)
+    letters = [list(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False)) for _ in range(7)]
+    rows = [(i, " ".join("".join(r.choice(letters[i % 7], 5)) for _ in range(30)), f"l{i % 7}", 0.0) for i in range(210)] + [(None, "null id", "l1", 0.0), (500, None, "l1", 0.0), (501, "12 34", None, 0.0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    one = langid.identify(d, langid.train(d)).collect()
+    monkeypatch.setattr(langid, "GROUP", 3)
+    parsers = langid.train(d)
+    many = langid.identify(d, parsers).collect()
+    assert [len(p.langs) for p in parsers] == [3, 3, 1] and sorted(map(str, one)) == sorted(map(str, many)) and len(many) == len(rows)
+    truth = {i: lang for i, _, lang, _ in rows[:210]}
+    assert sum(x.lang_pred == truth[x.doc_id] for x in many if x.doc_id in truth) > 200
+    assert {x.doc_id: (x.lang_pred, x.score) for x in many if x.doc_id in (500, 501)} == {500: ("und", 0.0), 501: ("und", 0.0)}

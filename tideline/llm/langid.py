@@ -2,8 +2,8 @@
 
 For each language a suffix automaton is built from labelled text. A document is parsed into phrases,
 each the longest match found in the language's text; the language that needs the fewest
-phrases for its length wins. All documents of a batch walk the automata of all languages in
-step, one character at a time, as one table lookup.
+phrases wins. All documents of a batch walk the automata of a group of languages in
+step, one character at a time, as one table lookup; more languages are more groups, one after the other.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import documents, fold, spread
 
-#: Labelled documents and characters that a language's automaton is built from, at most: those with the least hash of their id.
+#: Labelled documents and letters that a language's automaton is built from, at most: those with the least hash of their id, of each a piece from a place that the hash gives.
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 24_000
-#: Languages learned at most: those with the most labelled documents.
-LANGUAGES = 64
-#: Long texts are parsed in parts of this many characters; a phrase ends with its part.
-PART = 1500
+#: Languages of one table.
+GROUP = 32
+#: Characters that a batch of texts is laid out for at a time; texts at once; bytes of text of a slice.
+PART, WIDE, SLICE = 1500, 512, 8 << 20
 TOP = 1 << 16
 
 
@@ -118,74 +118,97 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[texts, languages]: phrases that each text takes."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        parts = [(i, x[lo : lo + PART]) for i, x in enumerate(texts) for lo in range(0, len(x), PART)]
-        parts.sort(key=lambda p: -len(p[1]))
-        width = self.width + 1
-        for lo in range(0, len(parts), 512):
-            own = parts[lo : lo + 512]
-            grid = np.full((len(own[0][1]), len(own)), self.pad, np.int32)
-            for j, (_, x) in enumerate(own):
-                grid[: len(x), j] = self.encode(x)
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        width, mask = self.width + 1, np.int32(self.BREAK - 1)
+        for lo in range(0, len(order), WIDE):
+            own = [self.encode(texts[i]) for i in order[lo : lo + WIDE]]
+            size = np.array([len(x) for x in own])
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(own), 1)
-            count = np.zeros(state.shape, np.int32)
-            mask = np.int32(self.BREAK - 1)
-            for row in grid:
-                v = self.table[state * width + row]
-                count += v >> 30
-                state = v & mask
-            np.add.at(out, [i for i, _ in own], count.T)
+            count = np.zeros(state.shape, np.int64)
+            for at in range(0, int(size[0]) if len(size) else 0, PART):
+                m = int((size > at).sum())  # the longest come first
+                grid = np.full((min(PART, int(size[0]) - at), m), self.pad, np.int32)
+                for j, x in enumerate(own[:m]):
+                    x = x[at : at + PART]
+                    grid[: len(x), j] = x
+                now, seen = state[:, :m], np.zeros((len(self.langs), m), np.int32)
+                for row in grid:
+                    v = self.table[now * width + row]
+                    seen += v >> 30
+                    now = v & mask
+                state[:, :m] = now
+                count[:, :m] += seen
+            out[order[lo : lo + WIDE]] = count.T
         return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Parser:
-    """Automata from bounded text of each language, out of the rows whose crc32 fold is not 2."""
-    known = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[Parser]:
+    """Automata from bounded text of every language, out of the rows whose crc32 fold is not 2: of at most sample_docs documents, the ones with the least hash of their id, a
+    piece of chars / 20 letters each, until there are chars letters. As many tables as GROUP languages need."""
+    import pyarrow as pa
+
+    known = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs)
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang", "h")), ["doc_id", "lang"])  # at most LANGUAGES * sample_docs ids
-    texts: dict[str, list[np.ndarray]] = {}
+    some = known.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs)
     share = max(300, chars // 20)
-    for r in sorted(rows.select("lang", "h", "doc_id", "text").collect(), key=lambda r: (r.lang, r.h, r.doc_id)):
+
+    def cut(batches):
+        for b in batches:
+            pieces = []
+            for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist(), strict=True):
+                x = codes(t)
+                at = h % max(1, len(x) - share + 1)
+                pieces.append(x[at : at + share].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("r"), pa.array(pieces, pa.binary())], names=["lang", "r", "piece"])
+
+    texts: dict[str, list[np.ndarray]] = {}
+    for r in some.select("lang", "r", "h", "text").mapInArrow(cut, "lang string, r int, piece binary").orderBy("lang", "r").toLocalIterator():  # sample_docs pieces of a language
         own = texts.setdefault(r.lang, [])
         if (n := sum(map(len, own))) < chars:
-            own.append(codes(r.text)[: min(share, chars - n)])
-    return Parser({k: np.concatenate(v) for k, v in texts.items()})
+            own.append(np.frombuffer(bytes(r.piece), np.uint32)[: chars - n])
+    langs = sorted(texts)
+    return [Parser({k: np.concatenate(texts[k]) for k in langs[lo : lo + GROUP]}) for lo in range(0, len(langs), GROUP)]
 
 
-def identify(docs: DataFrame, parser: Parser, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, parsers: Parser | list[Parser], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score): the language with the fewest phrases, the alphabetically first on ties, and one minus the ratio of its phrases to the second's.
 
-    Null texts and texts without a letter are ``und`` with score 0; a repeated row gives a repeated result.
+    Null texts, texts without a letter, and all texts if no language was learned, are ``und`` with score 0; a repeated row gives a repeated result.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = _parse_datatype_string(f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
+    parsers = [parsers] if isinstance(parsers, Parser) else parsers
+    schema = _parse_datatype_string(f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text string, lang_pred string, best long, second long")
     arrow = to_arrow_schema(schema)
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
-
-    def run(batches):
-        from tideline.llm.common import slices
-
-        p = shared.value
-        for batch in slices(batches, bytes_=2 << 20):
-            texts = [codes(t or "") for t in batch.column("text").to_pylist()]
-            counts = p.phrases(texts)
-            pred, score = [], []
-            for x, c in zip(texts, counts, strict=True):
-                if not x.any() or not len(c):
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                order = np.argsort(c, kind="stable")
-                best, second = c[order[0]], c[order[1]] if len(c) > 1 else c[order[0]] + 1
-                pred.append(p.langs[order[0]])
-                score.append(float(1 - best / second) if second else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=arrow)
-
-    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, schema)
+
+    def walk(shared, last):
+        def run(batches):
+            from tideline.llm.common import slices
+
+            p = shared.value
+            for batch in slices(batches, bytes_=SLICE):
+                texts = [codes(t or "") for t in batch.column("text").to_pylist()]
+                counts = p.phrases(texts)
+                out = []
+                for x, c, name, best, second in zip(texts, counts, *(batch.column(n).to_pylist() for n in ("lang_pred", "best", "second")), strict=True):
+                    if x.any():
+                        mine = [(int(c[i]), p.langs[i]) for i in np.argsort(c, kind="stable")[:2]] + [(best, name)] * (best is not None) + [(second, "\U0010ffff")] * (second is not None)
+                        mine.sort()
+                        best, name, second = *mine[0], mine[1][0] if len(mine) > 1 else None
+                    out.append((name, best, second))
+                body = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow.field(0).type), body, *(pa.array([o[j] for o in out], f) for j, f in enumerate((pa.string(), pa.int64(), pa.int64())))], schema=arrow)
+
+        return run
+
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("lang_pred", "string"), ("best", "long"), ("second", "long"))]
+    x = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "text", *empty)
+    for i, p in enumerate(parsers):
+        x = x.mapInArrow(walk(docs.sparkSession.sparkContext.broadcast(p), i == len(parsers) - 1), schema)
+    second = F.coalesce("second", F.col("best") + 1)
+    return x.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(1 - F.col("best") / second, F.lit(0.0)).alias("score"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
