@@ -29,6 +29,8 @@ SPACE = 0.3
 #: Elements of one task's share in the rarity count, and of shingles in one region that a task joins at once.
 SHARE, REGION = 1_500_000, 1_500_000
 PIVOTS = 16
+#: Cells of so many sets are finished by the windows of one pivot; levels of cells within a region at most.
+SMALL, DEEP = 48, 12
 TIGHT = 0.8  # a cell with more of its region's rows than this is not split further
 SPREAD = 1.5  # nor is a region whose cells, windows included, hold so many times its rows
 
@@ -90,6 +92,7 @@ class Region:
         self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.heads = np.cumsum(self.n) - self.n
         self.forest = Forest(len(sets))
+        self.found = {"pivots": 0, "windows": 0, "index": 0}  # uniting links by what found them
 
     def of(self, i: int) -> np.ndarray:
         return self.flat[self.heads[i] : self.heads[i] + self.n[i]]
@@ -108,8 +111,8 @@ class Region:
         m = len(own)
         if m < 2 or len({self.forest.find(i) for i in own.tolist()}) == 1:
             return
-        if m <= 24 or depth > 12:
-            return self.one_by_one(own)
+        if m <= SMALL:
+            return self.windows(own)
         flat, heads = self.gather(own)
         n = self.n[own]
         many = max(PIVOTS, int(m**0.5))
@@ -120,10 +123,10 @@ class Region:
             c = self.common(self.of(p), own, flat, heads)
             d[:, k] = 1 - c / (n + self.n[p] - c)
             for i in own[linked(c, n, self.n[p])].tolist():
-                self.forest.union(p, i)
+                self.found["pivots"] += self.forest.union(p, i)
         near = d.min(1)
         parts = cells(d, near)
-        if sum(int(c.sum()) for c in parts) > SPREAD * m:
+        if depth > DEEP or sum(int(c.sum()) for c in parts) > SPREAD * m:
             return self.one_by_one(own)
         for cell in parts:
             if cell.mean() > TIGHT:
@@ -131,6 +134,31 @@ class Region:
             else:
                 self.join(own[cell], depth + 1)
 
+    def windows(self, own: np.ndarray) -> None:
+        """A small cell: its sets in order of their distance to a pivot. Sets that link are no further apart in it than RADIUS, so each is held against those in the window behind it."""
+        flat, heads = self.gather(own)
+        n = self.n[own]
+        p = int(own[np.argsort(n, kind="stable")[len(own) // 2]])
+        c = self.common(self.of(p), own, flat, heads)
+        d = 1 - c / (n + self.n[p] - c)
+        for i in own[linked(c, n, self.n[p])].tolist():
+            self.found["pivots"] += self.forest.union(p, i)
+        order = np.argsort(d, kind="stable")
+        own, n, d = own[order], n[order], d[order]
+        reach = np.searchsorted(d, d + RADIUS + EPS, "right").tolist()
+        rows, size = own.tolist(), n.tolist()
+        for x in range(len(rows)):
+            s = None
+            for y in range(x + 1, reach[x]):
+                a, b = size[x], size[y]
+                if 100 * min(a, b) < SIMILAR * max(a, b) or self.forest.find(rows[x]) == self.forest.find(rows[y]):
+                    continue
+                s = self.of(rows[x]) if s is None else s
+                t = self.of(rows[y])
+                both = int((s[np.minimum(np.searchsorted(s, t), a - 1)] == t).sum())
+                if 100 * both >= SIMILAR * (a + b - both):
+                    self.found["windows"] += self.forest.union(rows[x], rows[y])
+
     def one_by_one(self, own: np.ndarray) -> None:
         """Compares every set outside the largest class with sets of other classes; then nothing can be missing.
 
@@ -148,7 +176,7 @@ class Region:
             for i in own[rest].tolist():
                 c = self.common(self.of(i), own, flat, heads)
                 for j in own[linked(c, n, self.n[i])].tolist():
-                    self.forest.union(i, j)
+                    self.found["index"] += self.forest.union(i, j)
             return
         doc = np.repeat(np.arange(len(own)), n)
         _, at, df = np.unique(flat, return_inverse=True, return_counts=True)
@@ -172,7 +200,7 @@ class Region:
                     t = self.of(j)
                     c = int((s[np.minimum(np.searchsorted(s, t), k - 1)] == t).sum())
                     if 100 * c >= SIMILAR * (m + k - c):
-                        self.forest.union(i, j)
+                        self.found["index"] += self.forest.union(i, j)
 
 
 RADIUS = 1 - SIMILAR / 100
