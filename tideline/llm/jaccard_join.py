@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tideline.llm.common import buffer_of, documents, materialize, mix, slices, spread, tidy, word_hashes, workers
 from tideline.llm.components import Forest, components
@@ -496,10 +497,14 @@ def region_links(members: DataFrame, levels: int = 6) -> DataFrame:
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
 
-    Null texts, empty texts and texts without words have no shingles and are alone. Repeated rows are
-    repeated in the result. Only doc_id and text are read, so other columns can't clash. An empty table gives no rows.
+    Null texts, empty texts and texts without words have no shingles and are alone. Rows with a null id link like others; a null is the least id of a component only
+    where there is no other. Repeated rows are repeated in the result. Only doc_id and text are read, so other columns can't clash. An empty table gives no rows.
     """
-    src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    # rows without an id are told apart by their texts; keys without nulls compare equal to themselves, and those with an id come first
+    at = F.col(doc_id)
+    keyed = isinstance(docs.schema[doc_id].dataType, StructType)
+    key = at if keyed else F.struct(at.isNull().alias("no_id"), F.coalesce(at, F.lit("0").cast(docs.schema[doc_id].dataType)).alias("id"), F.when(at.isNull(), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).otherwise(F.lit(b"")).alias("digest"))
+    src = spread(docs.select(key.alias("doc_id"), F.col(text).alias("text")))
     base = materialize(describe(src), "sets")
     sets = materialize(base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "vertices")
     shingles = base.agg(F.sum("n")).first()[0] or 0
@@ -514,7 +519,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = base.join(links, "v", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "v")))
     ids = found.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     alone = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.where("n > 0").join(ids, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    every = found.where("n > 0").join(ids, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    if keyed:
+        return every
+    own = lambda c: F.when(~F.col(c)["no_id"], F.col(c)["id"]).alias(c)
+    return every.select(own("doc_id"), "n_shingles", own("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
