@@ -8,7 +8,7 @@ digests go through an ordinary shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import documents, lower_ascii, materialize
@@ -61,10 +61,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
     )
     heavy = materialize(frequent_digests(digests, counters), "winners")  # at most `counters` rows
     hot = digests.join(F.broadcast(heavy), "digest")
-    w = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
-        "digest", "doc_id", F.max("doc_id").over(w).alias("keep_id"), F.count(F.lit(1)).over(w).alias("group_size")
-    )
+    cold = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    groups = cold.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))  # combined before the shuffle
+    rest = cold.join(groups, "digest").select("digest", "doc_id", "keep_id", "group_size")
     return hot.select(rest.columns).unionByName(rest).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
