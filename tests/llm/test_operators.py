@@ -586,3 +586,48 @@ def test_more_languages_than_a_table_holds(spark, monkeypatch):
     truth = {i: lang for i, _, lang, _ in rows[:210]}
     assert sum(x.lang_pred == truth[x.doc_id] for x in many if x.doc_id in truth) > 200
     assert {x.doc_id: (x.lang_pred, x.score) for x in many if x.doc_id in (500, 501)} == {500: ("und", 0.0), 501: ("und", 0.0)}
+
+
+def test_base_spans_against_plain_patterns():
+    """The four base patterns as they are given, by plain re, on random strings of what they are made of."""
+    plain = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def good(k, s):
+        d = re.sub("[^0-9]", "", s)
+        return (True, all(int(x) <= 255 for x in s.split(".")) if k == 1 else True, 16 <= len(d) <= 19 and pii.luhn(d), 8 <= len(d) <= 15)[k]
+
+    r = np.random.default_rng(6)
+    for n in range(6000):
+        t = "".join(r.choice(list("a@.-+_ 0123456789().\n"), int(r.integers(0, 60)), p=None if n % 2 else [0.05, 0.05, 0.15, 0.05, 0.05, 0.02, 0.08, *[0.05] * 10, 0.01, 0.02, 0.01, 0.01]))
+        if n % 5 == 0:
+            t = "4111 1111-1111 1111".replace("4", "45"[n % 2]) + t
+        want = [[m.span() for m in p.finditer(t) if good(k, m.group())] for k, p in enumerate(plain)]
+        assert pii.base_spans(t) == want, t
+
+
+def test_added_spans_are_right():
+    """Spans beyond the base ones: personal data in looser forms, whole; and none in hard negatives."""
+    trees, limits = pii.model()
+    yes = {"call +1 (826) 555-4081 110.220.130.140 now": "+1 (826) 555-4081", "our phone: 415-555-0199, please": "415-555-0199", "write bob7 [at] site.org today": "bob7 [at] site.org", "the server 10[.]0[.]12[.]7 is down": "10[.]0[.]12[.]7", "card 4111.1111.1111.1111 ok": "4111.1111.1111.1111"}
+    for t, s in yes.items():
+        base, added = pii.find_spans(t, trees, limits)
+        assert any(t[a:b] == s for _, a, b in [*added, *((k, *x) for k, own in enumerate(base) for x in own)]), (t, base, added)
+    for t in ("order 1234.5678.9012.3456 is late", "meet at (at) noon . sharp", "version 1 . 2 . 3 . 4 of it", "page 12 and 13", "", "1 2 3 4 5 6 7 8 9"):
+        assert pii.find_spans(t, trees, limits)[1] == []
+
+
+def test_null_ids_link_and_clashing_columns_stay(spark):
+    import corpus_pipeline as cp
+
+    a, b = text(81, 120), text(82, 120)
+    near = " ".join([*a.split()[:60], "changed", *a.split()[61:]])
+    d = spark.createDataFrame([(1, a), (None, near), (None, near), (None, b), (4, "x")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_classes(d).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (None, 1), (None, None), (4, 4)], key=str)
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(150).selectExpr("*", "1.5 as toxicity", "'q' as _toxicity", "7 as digest", "'k' as v")
+    kept = cp.toxicity(spark, d, SF)
+    assert kept.columns == d.columns and kept.where("toxicity <> 1.5 or _toxicity <> 'q'").count() == 0 and 100 < kept.count() <= 150
+    for stage in (cp.exact_dedup, cp.near_dedup, cp.redact_pii):
+        kept = stage(spark, kept, SF)
+        assert kept.columns == d.columns and kept.where("digest <> 7 or v <> 'k'").count() == 0
+    assert cp.packing(spark, kept, SF).count() >= kept.count() > 0

@@ -29,8 +29,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\(\[{](?:at|AT)[\)\]}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\(\[{](?:dot|DOT)[\)\]}])\s?[A-Za-z0-9-]{1,63}){1,4}")
 LOOSE_CARD = re.compile(r"[0-9]{4}(?:[ .-]{1,2}[0-9]{4}){2,3}(?:[ .-]{1,2}[0-9]{1,3})?")
-LOOSE_PHONE = re.compile(r"(?<![0-9.])(?:1[ .-])?[0-9]{3}(?:\) ?|[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
-WORDS = {"email": ("mail", "contact", "write", "correo", "courriel"), "card": ("card", "visa", "credit", "karte", "tarjeta", "carte"), "phone": ("phone", "tel", "call", "mobile", "fax", "anruf"), "other": ("version", "isbn", "order", "invoice", "page", "serial", "license", "section", "no.", "ref")}
+LOOSE_PHONE = re.compile(r"(?<![0-9.+])(?:\+?[0-9]{1,3}[ .-]?\(|1[ .-])?[0-9]{3}(?:\) ?|[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| \. )[0-9]{1,3}){3}(?![0-9])")
+WORDS = {"email": ("mail", "contact", "write", "correo", "courriel"), "card": ("card", "visa", "credit", "karte", "tarjeta", "carte"), "phone": ("phone", "tel", "call", "mobile", "fax", "anruf"), "ip": ("ip", "host", "server", "address", "addr", "adresse"), "other": ("version", "isbn", "order", "invoice", "page", "serial", "license", "section", "no.", "ref")}
 CONTEXT = 24
 
 
@@ -88,6 +89,8 @@ def candidates(t: str) -> list[tuple[int, int, int]]:
     out = []
     if "(at)" in (low := t.lower() if "at" in t or "AT" in t else "") or "[at]" in low or "{at}" in low:
         out += [(0, *m.span()) for m in LOOSE_MAIL.finditer(t)]
+    if "." in t or "dot" in t:
+        out += [(1, *m.span()) for m in LOOSE_IP.finditer(t) if all(int(x) < 256 for x in re.findall("[0-9]+", m.group()))]
     for run in RUN.finditer(t):
         a, b = run.span()
         if b - a >= 12:
@@ -101,7 +104,7 @@ def features(t: str, kind: int, a: int, b: int) -> list[float]:
     s, before, after = t[a:b], t[max(0, a - CONTEXT) : a].lower(), t[b : b + CONTEXT].lower()
     digits = [c for c in s if "0" <= c <= "9"]
     groups = re.findall(r"[0-9]+", s)
-    out = [float(kind == 0), float(kind == 2), float(kind == 3), len(s), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0)]
+    out = [float(kind == 0), float(kind == 1), float(kind == 2), float(kind == 3), float("[" in s or "dot" in s), len(s), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0)]
     out += [len(set(digits)), float(luhn("".join(digits))) if digits else 0.0, float("(" in s), s.count("-"), s.count("."), s.count(" ")]
     out += [float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in {"$", "#", "=", "/", ":"} and bool(before)), float(any(c.isdigit() for c in before[-3:])), float(any(c.isdigit() for c in after[:3]))]
     return out + [float(any(w in before or w in after for w in words)) for words in WORDS.values()]
@@ -120,10 +123,13 @@ def generated_examples(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.nda
 
     x, y, kinds = [], [], []
     while len(x) < n:
-        good, kind = bool(rng.integers(2)), int(pick(0, 2, 3))
+        good, kind = bool(rng.integers(2)), int(pick(0, 1, 2, 3))
         near = pick("", *WORDS[KINDS[kind]]) if good else pick("", "", *WORDS["other"])
         if kind == 0:
             s = f"{filler().split()[0]}{pick('', d(1), d(2))}{pick(' (at) ', ' [at] ', '[at]')}{filler().split()[0]}{pick('.', ' [dot] ', ' (dot) ')}{pick('com', 'org', 'de', 'fr')}" if good else f"{pick('a', 'x', 'it')} (at) {filler().split()[0]} . {filler().split()[0]}"
+        elif kind == 1:
+            parts = [str(int(rng.integers(256))) for _ in range(4)]
+            s = pick("[.]", "(.)", "[dot]", "(dot)").join(parts) if good else " . ".join(str(int(rng.integers(20))) for _ in range(4))
         elif kind == 2:
             c, sep = card(), pick(" ", ".", "--", ". ")
             if not good:
@@ -132,7 +138,7 @@ def generated_examples(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.nda
                     continue
             s = sep.join(c[i : i + 4] for i in range(0, 16, 4))
         else:
-            s = pick(f"{d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}") if good else pick(f"{d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)} {d(4)}", f"{d(3)}.{d(3)} {d(4)}")
+            s = pick(f"{d(3)}) {d(3)}-{d(4)}", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}") if good else pick(f"{d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)} {d(4)}", f"{d(3)}.{d(3)} {d(4)}")
         t = f"{filler()} {near}{pick(' ', ': ') if near else ''}{s}{pick(' ', ', ', '. ')}{filler()}"
         for k, a, b in candidates(t):
             if k == kind:
@@ -149,7 +155,7 @@ def model(precision: float = 0.995) -> tuple[BoostedTrees, dict[int, float]]:
     held = np.arange(len(x)) % 4 == 3
     trees = BoostedTrees(rounds=40).fit(x[~held], y[~held])
     p, limits = trees.predict(x[held]), {}
-    for k in (0, 2, 3):
+    for k in range(4):
         own = kinds[held] == k
         score, label = p[own], y[held][own]
         order = np.argsort(-score)
