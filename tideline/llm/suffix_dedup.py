@@ -180,41 +180,50 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
             yield k, [a[order[lo:hi]] for a in arrays]
 
     def find(key, left, right):
-        outs = []
+        """A part's anchors, each once, with the least id that has it and whether others have it too; however many documents share an anchor, a part sends one row."""
+        own: list[tuple[np.ndarray, np.ndarray]] = []
         for b in slices(without(left, right).to_batches()):
             ids = b.column("id").to_numpy()
             _, doc, a = anchors(*buffer_of(b.column("text")))
             first = np.append(True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) if len(a) else np.zeros(0, bool)
-            doc, a = doc[first], a[first]
-            outs += [(k, *x) for k, x in grouped(bucket_of(a), name(a), ids[doc])]
-        return pa.table({"bucket": pa.array([o[0] for o in outs], pa.int32()), "anchor": pa.array([o[1].tobytes() for o in outs], pa.binary()), "ids": pa.array([o[2].tobytes() for o in outs], pa.binary()), "part": pa.array([key[0].as_py()] * len(outs), pa.int32())})
+            own.append((a[first], ids[doc[first]]))
+        a, ids = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, kind) for i, kind in ((0, np.uint64), (1, np.int64)))
+        del own
+        order = np.argsort(a, kind="stable")
+        a, ids = a[order], ids[order]
+        heads = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+        least, most = (f.reduceat(ids, heads) if len(a) else ids for f in (np.minimum, np.maximum))
+        a = a[heads]
+        outs = [(k, *x) for k, x in grouped(bucket_of(a), name(a), least, (least != most).astype(np.uint8))]
+        return pa.table({"bucket": pa.array([o[0] for o in outs], pa.int32()), **{c: pa.array([o[i].tobytes() for o in outs], pa.binary()) for i, c in enumerate(("anchor", "ids", "more"), 1)}, "part": pa.array([key[0].as_py()] * len(outs), pa.int32())})
 
     def several(key, t):
         """The anchors of a bucket that at least two documents have, for each part that has them."""
         bucket = key[0].as_py()
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        a, ids = get("anchor", np.uint32), get("ids", np.int64)
+        a, ids, more = get("anchor", np.uint32), get("ids", np.int64), get("more", np.uint8)
         part = np.repeat(t.column("part").to_numpy(), [len(x) // 4 for x in t.column("anchor").to_pylist()])
-        order = np.lexsort((ids, a))
-        a, ids, part = a[order], ids[order], part[order]
+        order = np.argsort(a, kind="stable")
+        a, ids, more, part = a[order], ids[order], more[order], part[order]
         new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
-        many = ids[heads] != ids[np.append(heads, len(a))[1:] - 1] if len(a) else np.zeros(0, bool)
+        many = (np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)) | (np.maximum.reduceat(more, heads) > 0) if len(a) else np.zeros(0, bool)
         keep = np.repeat(many, np.diff(np.append(heads, len(a))))
         full = (a[keep].astype(np.uint64) << np.uint64(32)) + np.uint64(bucket)
         out = [(p, np.unique(x)) for p, (x,) in grouped(part[keep].astype(np.int64), full)]
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "live": pa.array([x.tobytes() for _, x in out], pa.binary())})
 
-    found = rows.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(find, "bucket int, anchor binary, ids binary, part int")
+    found = rows.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(find, "bucket int, anchor binary, ids binary, more binary, part int")
     live = materialize(found.groupBy("bucket").applyInArrow(several, "part int, live binary"), "anchors")
     known_ = live.select("part", "live", F.lit(None).cast("binary").alias("later")).unionByName(copies.select("part", F.lit(None).cast("binary").alias("live"), "later"))
     sizes = live.agg(F.sum(F.octet_length("live"))).first()[0] or 0
     bins = max(workers(rows), int(sizes / 8 * 70) // PIECES + 1)
 
     def cut(key, left, right):
-        """Pieces of a part's documents: (bin, piece bytes, their lengths, documents, starts)."""
+        """Pieces of a part's documents: (bin, piece bytes, their lengths, documents, starts), equal ones only for the least id of the part. The others lose them wholly, as
+        that document has them too: they go along as spans, rows without bytes, whose subs are their ends."""
         known = np.unique(np.frombuffer(b"".join(x for x in right.column("live").to_pylist() if x), np.uint64))
-        outs = []
+        outs, raw, held = [], [], []
         for b in slices(without(left, right).to_batches(), bytes_=2 << 20) if len(known) else ():
             data, offsets = buffer_of(b.column("text"))
             ids = b.column("id").to_numpy()
@@ -235,15 +244,37 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
             count = np.diff(np.append(heads, len(a)))
             length = (count + MATCH - 1).astype(np.uint8)
             lo = start[heads]
-            for k, (h,) in grouped((mix(a[heads]) % np.uint64(bins)).astype(np.int64), np.arange(len(heads))):
-                ln = length[h].astype(np.int64)
-                index = np.repeat(lo[h] - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
-                outs.append((k, data[index].tobytes(), length[h].tobytes(), ids[doc[heads[h]]].tobytes(), (lo[h] - offsets[doc[heads[h]]]).astype(np.uint32).tobytes(), np.full(len(h), key[0].as_py(), np.int32).tobytes(), ((mix(a[heads[h]]) // np.uint64(bins)) % np.uint64(SUB)).astype(np.uint8).tobytes()))
+            ln = length.astype(np.int64)
+            raw.append(data[np.repeat(lo - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())].tobytes())
+            h = mix(a[heads])
+            held.append((length, ids[doc[heads]], (lo - offsets[doc[heads]]).astype(np.uint32), (h % np.uint64(bins)).astype(np.int64), ((h // np.uint64(bins)) % np.uint64(SUB)).astype(np.uint8)))
+        if held:
+            whole = b"".join(raw)
+            del raw
+            length, ids, start, bin_, sub = (np.concatenate([x[i] for x in held]) for i in range(5))
+            part, ln = key[0].as_py(), length.astype(np.int64)
+            ends = np.cumsum(ln)
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(whole[e - n : e], len(number)) for e, n in zip(ends.tolist(), ln.tolist(), strict=True)], np.int64)
+            least = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, ids)
+            del number
+            first = ids == least[which]
+            view = np.frombuffer(whole, np.uint8)
+            for k, (h,) in grouped(bin_[first], np.flatnonzero(first)):
+                n = ln[h]
+                index = np.repeat(ends[h] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                outs.append((k, view[index].tobytes(), length[h].tobytes(), ids[h].tobytes(), start[h].tobytes(), np.full(len(h), part, np.int32).tobytes(), sub[h].tobytes()))
+            h = np.flatnonzero(~first)
+            if len(h):
+                outs.append((part % bins, None, b"", ids[h].tobytes(), start[h].tobytes(), np.full(1, part, np.int32).tobytes(), (start[h] + length[h]).astype(np.uint32).tobytes()))
         return pa.table({"bin": pa.array([o[0] for o in outs], pa.int32()), **{c: pa.array([o[i] for o in outs], pa.binary()) for i, c in enumerate(("bytes", "lengths", "ids", "starts", "parts", "subs"), 1)}})
 
     def mark(key, t):
         """Spans of a bin's pieces whose strings also start in a document with a smaller id."""
         tidy(16 << 20)  # the rounds' arrays are reused
+        spans = t.filter(pa.compute.is_null(t.column("bytes")))
+        t = t.filter(pa.compute.is_valid(t.column("bytes")))
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
         raw, length, ids, start, part = b"".join(t.column("bytes").to_pylist()), get("lengths", np.uint8).astype(np.int64), get("ids", np.int64), get("starts", np.uint32), get("parts", np.int32)
         ends, sub = np.cumsum(length), get("subs", np.uint8)
@@ -269,7 +300,8 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
         tidy()
         at, lo, hi = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         out = list(grouped(part[at].astype(np.int64), ids[at], (start[at] + lo).astype(np.uint32), (start[at] + hi + MATCH - 1).astype(np.uint32)))
-        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), **{c: pa.array([x[i].tobytes() for _, x in out], pa.binary()) for i, c in enumerate(("ids", "lo", "hi"))}})
+        done = [[np.frombuffer(p, np.int32)[0] for p in spans.column("parts").to_pylist()], *(spans.column(c).to_pylist() for c in ("ids", "starts", "subs"))]
+        return pa.table({"part": pa.array([*(p for p, _ in out), *done[0]], pa.int32()), **{c: pa.array([*(x[i].tobytes() for _, x in out), *done[i + 1]], pa.binary()) for i, c in enumerate(("ids", "lo", "hi"))}})
 
     pieces = rows.groupBy("part").cogroup(known_.groupBy("part")).applyInArrow(cut, "bin int, bytes binary, lengths binary, ids binary, starts binary, parts binary, subs binary")
     return materialize(pieces.groupBy("bin").applyInArrow(mark, "part int, ids binary, lo binary, hi binary"), "spans")
