@@ -577,6 +577,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a7_tape_text": a7_tape_text,
     "a20_iwd1_roundtrip": a20_codec,
     "a27_checksum": a9_tape,
+    "a27_feed_checksum": lambda s, d: engine.checksum(engine.run_engine(view(s, d, "order_feed"))),
 }
 
 

@@ -175,6 +175,50 @@ PARTS |= {
     "step0": "select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.batch, b.batch) as batch, coalesce(a.rank, b.rank) as rank, coalesce(a.side, b.side) as side, case when a.price is null then 'EngineShallow' when b.price is null then 'EngineDeep' when a.price<>b.price then 'PriceDiffers' when a.size<>b.size then 'SizeDiffers' end as cls from (select r.* from rk1 r join nextb using (symbol, batch) where nb is not null and rank<10) a full join (select r.symbol, n.batch, r.side, r.price, r.size, r.rank from rk r join nextb n on r.symbol=n.symbol and r.batch=n.nb where r.rank<10) b on a.symbol=b.symbol and a.batch=b.batch and a.side=b.side and a.rank=b.rank",
 }
 
+ORDER, FILL = "struct(side int, price bigint, pri bigint, oid bigint, size bigint)", "struct(nth bigint, oid bigint, price bigint, size bigint)"
+
+
+def engine(messages: str, name: str = "eng", feed: bool = False) -> str:
+    """Body of the recursive part ``name``: the matching engine's state after each of the messages (symbol, k from 1, seq, ts_us, type, oid, side, price, size).
+
+    The book is a list of orders with the seq of their place in the queue. With ``feed`` types are those of an order feed (1 new, 2 cancel, 3 delete, 4 and 5 executions) over orders that it names itself,
+    and become messages by what rests: kind is the feed's type then, and type -2 sends nothing.
+    """
+    order = lambda side, price, pri, oid, size: f"{{'side': {side}, 'price': {price}, 'pri': {pri}, 'oid': {oid}, 'size': {size}}}"
+    new = "m.type=1" if feed else "m.type=0"
+    first = f"select symbol, cast(0 as bigint) as k, cast(0 as bigint) as seq, cast(0 as bigint) as ts_us, -1 as type, cast(0 as bigint) as oid, 0 as side, cast([] as {ORDER}[]) as book, cast([] as {FILL}[]) as fills, true as ok, cast(0 as bigint) as added, cast(0 as bigint) as removed, false as crossed, -1 as kind, false as known from (select distinct symbol from {messages})"
+    opposite = f"list_sort([{{'key': case when m.side=0 then o.price else -o.price end, 'pri': o.pri, 'oid': o.oid, 'price': o.price, 'size': o.size}} for o in s.book if {new} and o.side<>m.side and case when m.side=0 then o.price<=m.price else o.price>=m.price end])"
+    joined = f"select m.*, s.book as book, list_filter(s.book, lambda o: o.oid=m.oid)[1] as cur, {opposite} as opp from {name} s join {messages} m on m.symbol=s.symbol and m.k=s.k+1"
+    if feed:
+        joined = f"select * exclude (type, size), type as kind, cast(case when type=1 then 0 when type=5 then 3 when cur is null then -2 when type=3 or size>=cur.size then 2 else 1 end as int) as type, case when type in (2, 4) and size<cur.size then cur.size-size else size end as size from ({joined})"
+    else:
+        joined = f"select *, type as kind from ({joined})"
+    decided = f"select *, case type when 0 then size>0 and cur is null when 1 then cur is not null when 2 then cur is not null else true end as ok, len(opp)>0 as crossed, cur is not null as known from ({joined})"
+    taken = "least(opp[i].size, size-coalesce(list_sum([o.size for o in opp[:i-1]]), 0))"
+    filled = f"select *, cast(case when type=0 and ok then list_filter([{{'nth': i, 'oid': opp[i].oid, 'price': opp[i].price, 'size': {taken}}} for i in range(1, len(opp)+1)], lambda f: f.size>0) else [] end as {FILL}[]) as fills from ({decided})"
+    summed = f"select *, size-coalesce(list_sum([f.size for f in fills]), 0) as rest from ({filled})"
+    lowered = "list_filter([" + order("o.side", "o.price", "o.pri", "o.oid", "o.size-coalesce(list_sum([f.size for f in fills if f.oid=o.oid]), 0)") + " for o in book], lambda o: o.size>0)"
+    changed = "[" + order("o.side", "o.price", "case when o.oid=oid and size>o.size then seq else o.pri end", "o.oid", "case when o.oid=oid then size else o.size end") + " for o in book]"
+    book = f"case when not ok then book when type=0 then list_concat({lowered}, case when rest>0 then [{order('side', 'price', 'seq', 'oid', 'rest')}] else [] end) when type=2 or (type=1 and size<=0) then list_filter(book, lambda o: o.oid<>oid) when type=1 then {changed} when type=4 then [] else book end"
+    added = "case when ok and type=0 then size when ok and type=1 and size>cur.size then size else 0 end"
+    removed = "case when not ok then 0 when type=1 then case when size<=0 or size>cur.size then cur.size else cur.size-size end when type=2 then cur.size when type=4 then coalesce(list_sum([o.size for o in book]), 0) else 0 end"
+    return f"{first} union all select symbol, k, seq, ts_us, type, oid, side, cast({book} as {ORDER}[]), fills, ok, cast({added} as bigint), cast({removed} as bigint), crossed, kind, known from ({summed})"
+
+
+MESSAGES = "select symbol, row_number() over (partition by symbol order by seq) as k, seq, ts_us, type, order_id as oid, side, price, size from"
+PARTS |= {
+    "ms": f"{MESSAGES} order_feed", "eng": engine("ms"), "fl": "select symbol, seq, ts_us, oid as aggressor, side, unnest(fills) as f from eng",
+    "ioc": "select symbol, max(seq)+1 as seq, max(ts_us) as ts_us from order_feed group by 1",
+    "ims": f"{MESSAGES} (select symbol, seq, ts_us, type, order_id, side, price, size from order_feed union all select symbol, seq, ts_us, 0, cast(1 as bigint)<<60, 0, cast(1 as bigint)<<60, 25 from ioc union all select symbol, seq+1, ts_us, 2, cast(1 as bigint)<<60, 0, cast(1 as bigint)<<60, 25 from ioc)",
+    "ieng": engine("ims", "ieng"),
+    "fms": f"{MESSAGES.replace('type,', '[1, 2, 3, 4, 5][type+1] as type,')} order_feed", "feng": engine("fms", "feng", True),
+    "totals": "select symbol, count(*) as messages, count(*) filter (where ok and type=0) as adds, count(*) filter (where ok and type=1) as modifies, count(*) filter (where ok and type=2) as deletes, count(*) filter (where type=3) as trades, count(*) filter (where type=4) as snapshot_resets, count(*) filter (where not ok) as rejected, cast(sum(added) as bigint) as qty_added, cast(sum(coalesce(list_sum([f.size for f in fills]), 0)) as bigint) as qty_filled, cast(sum(removed) as bigint) as qty_removed, cast(sum(len(fills)) as bigint) as fills, cast(coalesce(list_sum([o.size for o in arg_max(book, k)]), 0) as bigint) as resting from eng where k>0 group by 1",
+    "ftotals": "select symbol, count(*) as rows, count(*) filter (where kind=1) as adds, count(*) filter (where kind=1 and crossed) as crossing_adds, count(*) filter (where kind=2 and known) as partial_cancels, count(*) filter (where kind=3 and known) as deletions, count(*) filter (where kind=4 and known and type=1) as executions, count(*) filter (where kind=4 and known and type=2) as execution_deletes, count(*) filter (where kind=5) as hidden, count(*) filter (where kind in (2, 3, 4) and not known) as unknown, count(*) filter (where type>=0)+count(*) filter (where kind=4 and known) as engine_messages, count(*) filter (where ok and type=0) as engine_adds, count(*) filter (where ok and type=1) as engine_modifies, count(*) filter (where ok and type=2) as engine_deletes, count(*) filter (where kind=5 or (kind=4 and known)) as engine_trades, count(*) filter (where not ok) as engine_rejected, cast(sum(added) as bigint) as engine_qty_added, cast(sum(coalesce(list_sum([f.size for f in fills]), 0)) as bigint) as engine_qty_filled, cast(sum(removed) as bigint) as engine_qty_removed, cast(sum(len(fills)) as bigint) as fills, cast(coalesce(list_sum([o.size for o in arg_max(book, k)]), 0) as bigint) as resting, cast(0 as bigint) as init_levels, cast(0 as bigint) as halts, cast(0 as bigint) as absorptions, cast(0 as bigint) as shortfall, cast(0 as bigint) as seed_deletes, cast(0 as bigint) as engine_snapshot_resets, cast(0 as bigint) as residual from feng where k>0 group by 1",
+    "lines": "select symbol, string_agg(concat_ws(',', ts_us, aggressor, f.oid, f.price, f.size, side)||chr(10), '' order by seq, f.nth) as s, count(*) as fills, cast(sum(f.size) as bigint) as filled from fl group by 1",
+}
+
+FNV = "format('{:016x}', cast(list_reduce(list_prepend(14695981039346656037::hugeint, [cast(ord(c) as hugeint) for c in string_split(s, '')]), lambda h, b: (cast(xor(cast(h as ubigint), cast(b as ubigint)) as hugeint)*1099511628211)%18446744073709551616) as ubigint))"
+
 C = {"d1": ["trades", "tr", "gb", "gr", "blocks"], "d2": ["trades", "bars", "barr"]}
 C["bin"] = [*C["d1"], "edges", "binned"]
 C["cube"] = [*C["bin"], "cube"]
@@ -199,7 +243,7 @@ C["sn"] = ["trades", "bands", "snaps"]
 
 
 def q(parts: list[str], body: str) -> str:
-    return "with " + ",\n".join(f"{p} as ({PARTS[p]})" for p in dict.fromkeys(parts)) + "\n" + body
+    return ("with recursive " if {"eng", "ieng", "feng"} & set(parts) else "with ") + ",\n".join(f"{p} as ({PARTS[p]})" for p in dict.fromkeys(parts)) + "\n" + body
 
 
 def rnd(*cols: str, n: int = 8) -> str:
@@ -274,8 +318,14 @@ def oracle_sql() -> dict[str, str]:
         "d22_value_counts": q(["order_feed"], "select symbol, size as value, count(*) as n from order_feed group by 1, 2"),
         "f5_spread": q(["order_feed"], ", x as (select symbol, min(size) as least, max(size) as most, list_sort(list(size))[count(*)//2+1] as median from order_feed group by 1) select *, (most-least)*1000//median as permille, ((most-least)*1000//median//10)||'.'||((most-least)*1000//median%10)||'%' as text from x"),
         "f6_examples": q(C["cmp"], "select * from (select *, cast(row_number() over (partition by symbol order by batch) as int) as example from cmp where class<>'None') where example<=20"),
-        "h8_checksums": q(["trades"], ", x as (select symbol, day, symbol||'-'||day||'-'||sum(qty_lots) as s from trades group by 1, 2) select symbol, day, format('{:016x}', cast(list_reduce(list_prepend(14695981039346656037::hugeint, [cast(ord(c) as hugeint) for c in string_split(s, '')]), lambda h, b: (cast(xor(cast(h as ubigint), cast(b as ubigint)) as hugeint)*1099511628211)%18446744073709551616) as ubigint)) as checksum from x"),
+        "h8_checksums": q(["trades"], ", x as (select symbol, day, symbol||'-'||day||'-'||sum(qty_lots) as s from trades group by 1, 2) select symbol, day, " + FNV + " as checksum from x"),
         "h9_epochs": q(["trades"], "select id, ts_us//1000 as ms, cast(strftime(make_timestamp(ts_us), '%Y%m%d') as int) as day_int, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%SZ') as iso from trades"),
+        "i3_fills": q(["order_feed", "ms", "eng", "fl"], "select symbol, seq, ts_us, aggressor, f.oid as order_id, side, f.price as price, f.size as size from fl"),
+        "i9_invariants": q(["order_feed", "ms", "eng", "totals"], "select *, cast(0 as bigint) as violations, qty_added-2*qty_filled-qty_removed-resting as residual from totals"),
+        "k7_readbacks": q(["order_feed", "ms", "eng", "fl"], "select symbol, count(*) as fill_count, cast(sum(f.size) as bigint) as filled, cast(sum(f.price*f.size) as bigint) as cumulative_cost from fl group by 1"),
+        "k5_inject": q(["order_feed", "ioc", "ims", "ieng"], "select symbol, f.oid as order_id, f.price as price, f.size as size from (select symbol, unnest(fills) as f from ieng where oid=cast(1 as bigint)<<60 and type=0)"),
+        "i16_order_feed": q(["order_feed", "fms", "feng", "ftotals"], "select symbol, note, size from (unpivot ftotals on columns(* exclude (symbol)) into name note value size)"),
+        "a27_feed_checksum": q(["order_feed", "ms", "eng", "fl", "lines"], f"select symbol, fills, filled, {FNV} as checksum from lines"),
         "i20_whole_batches": q(["l2"], ", n as (select *, row_number() over (partition by symbol order by seq)-1 as k, count(*) over (partition by symbol) as total from l2), c as (select symbol, min(batch) as cut from n where k>=5002 and total>5003 group by 1) select n.symbol, seq, batch from n left join c using (symbol) where cut is null or batch<cut"),
         "i21_single_step": q(C["step"], "select symbol, batch as row_index, coalesce(arg_min(cls, rank*2+1-side) filter (where cls is not null), 'None') as class, min(rank) filter (where cls is not null) as rank, coalesce(min(rank) filter (where cls is not null)<>0, true) as touch_exact from step0 group by 1, 2"),
         "i22_exit_gate": "select 'AAA' as symbol, gate='replay' as clean, gate from (values ('replay'), ('with parsing')) v(gate)",
