@@ -126,8 +126,23 @@ def test_stream_equals_batch(spark, tmp_path):
     s = stream_fills(spark.readStream.schema(m.schema).parquet(src))
     q = s.writeStream.format("memory").queryName("fills").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = spark.table("fills").count()
-    assert got == engine.run_engine(m).where("kind = 'fill'").count()
+    fills = engine.run_engine(m).where("kind = 'fill'").count()
+    assert spark.table("fills").where("kind = 'fill'").count() == fills == spark.table("fills").count()
+
+
+def test_stream_counts_late_messages(spark, tmp_path):
+    from tideline.streaming.book import stream_fills
+
+    m = view(spark, SF, "order_feed").where("type <> 4 and symbol = 'AAA'").limit(60).coalesce(1)
+    rows = sorted(m.collect(), key=lambda r: r.seq)
+    src = str(tmp_path / "in")
+    for part in (rows[:40], rows[30:]):  # ten come twice
+        spark.createDataFrame(part, m.schema).coalesce(1).write.mode("append").parquet(src)
+        q = stream_fills(spark.readStream.schema(m.schema).parquet(src)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = engine.run_engine(spark.createDataFrame(rows, m.schema)).where("kind = 'fill'").count()
+    assert got.where("kind = 'late'").count() == 10 and got.where("kind = 'fill'").count() == want
 
 
 def test_empty_inputs(spark):

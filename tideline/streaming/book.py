@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame
 
 from tideline.operators.engine import Engine
 
-OUT = "symbol string, seq long, ts_us long, aggressor long, order_id long, side int, price long, size long"
+OUT = "symbol string, kind string, seq long, ts_us long, aggressor long, order_id long, side int, price long, size long"
 STATE = "last_seq long, engine binary"
 
 
 def stream_fills(messages: DataFrame) -> DataFrame:
-    """Fills of a stream of messages (symbol, seq, ts_us, type, order_id, side, price, size), one book per symbol.
+    """Fills (kind fill) of a stream of messages (symbol, seq, ts_us, type, order_id, side, price, size), one book per symbol.
 
-    Messages of a micro-batch are applied in order of seq; one with a seq that was already passed is late and is left out, so a
-    replayed batch changes nothing. State is one blob per symbol and grows with the resting orders only.
+    Messages of a micro-batch are applied in order of seq; one with a seq that was already passed is late: it is not applied, and leaves a row of kind late, so a
+    replayed batch changes no book and late data can be counted. State is one blob per symbol and grows with the resting orders only.
     """
     import pandas as pd
 
@@ -30,14 +30,15 @@ def stream_fills(messages: DataFrame) -> DataFrame:
         out = []
         for seq, ts, kind, oid, side, price, size in pdf[["seq", "ts_us", "type", "order_id", "side", "price", "size"]].itertuples(index=False):
             if seq <= last:
+                out.append((key[0], "late", int(seq), int(ts), None, int(oid), int(side), int(price), int(size)))
                 continue
             last = int(seq)
             e.apply(int(ts), int(oid), int(price), int(size), int(kind), int(side))
-            out += [(key[0], last, f[0], f[1], f[2], f[5], f[3], f[4]) for f in e.fills]
+            out += [(key[0], "fill", last, f[0], f[1], f[2], f[5], f[3], f[4]) for f in e.fills]
             e.fills.clear()
             e.prints.clear()
         state.update((last, pickle.dumps(vars(e))))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"aggressor": "Int64"})
 
     return messages.groupBy("symbol").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
 
