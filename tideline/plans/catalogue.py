@@ -240,6 +240,31 @@ def _broken_tape(s, d):
     return x.select(F.coalesce(broken, F.when(n % 61 == 0, F.concat(F.lit("  "), "line", F.lit("  more"))), "line").alias("line"))
 
 
+def a5_order_status(s, d):
+    x = view(s, d, "order_feed")
+    t = lambda e: F.expr(e).cast("string")
+    seconds = F.concat(t("ts_us % 86400000000 div 1000000"), F.lit("."), F.lpad(t("ts_us % 1000000"), 6, "0"), F.lit("551"))
+    n = F.col("seq")
+    kind = F.when(n % 31 == 0, "6").otherwise(F.element_at(F.array(*map(F.lit, "12345")), F.col("type") + 1))
+    line = F.concat_ws(",", seconds, kind, t("order_id"), F.when(n % 43 == 0, "1e2").otherwise(t("size")), t("price * 100"), F.when(n % 41 == 0, "0").when(F.col("side") == 0, "1").otherwise("-1"))
+    p = feeds.parse_orders(x.select(F.when(n % 37 == 0, F.concat(line, F.lit(","))).otherwise(line).alias("line")))
+    return p.groupBy("status").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("ts_us", "type", "order_id", "size", "price", "side")])
+
+
+def a11_mid_csv(s, d):
+    path = _scratch(s, "quotes")
+    q = view(s, d, "quotes").select(F.col("ts_us").alias("timestamp"), F.lit("x").alias("exchange"), F.col("ask_ticks").alias("asks[0].price"), F.col("bid_ticks").alias("bids[0].price"))
+    q.write.option("header", True).option("compression", "gzip").csv(path)
+    return feeds.read_mid_csv(s, path).select(F.unix_micros("timestamp").alias("ts_us"), "midprice")
+
+
+def a13_band_snapshots(s, d):
+    b = view(s, d, "bands").where("not (hour(hour_ts) % 5 = 0 and band = 3)")
+    raw = b.select(F.col("hour_ts").cast("timestamp").alias("timestamp"), (F.col("pct_tenths") / 10).alias("percentage"), (F.col("depth_lots") / 1000).alias("depth"))
+    x = feeds.band_snapshots(raw, "2024-01-03 00:00:00", "2024-01-20 12:00:00", window_codec.BANDS)
+    return x.select(F.unix_micros("timestamp").alias("ts_us"), F.posexplode("depth").alias("band", "depth"))
+
+
 def a17_run(s, d):
     t = view(s, d, "trades").groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("rows"))
     raw = t.select("symbol", "day", "rows", F.when(F.dayofmonth("day") % 7 == 0, "cut off").alias("error"))
@@ -521,7 +546,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j18_equity_curves": lambda s, d: R(equity.response_curves(equity.event_blocks(_equity(s, d)), T0, HOURS, _equity_lengths(s, d), EQUITY_REPS), 7),
     "j18_equity_analysis": lambda s, d: R(equity.analysis(equity.event_blocks(_equity(s, d)), T0, HOURS, _equity_lengths(s, d), EQUITY_REPS), 6),
     "a4_book_rows": a4_book_rows,
+    "a5_order_status": a5_order_status,
     "a6_order_books": a6_order_books,
+    "a11_mid_csv": lambda s, d: R(a11_mid_csv(s, d)),
+    "a13_band_snapshots": a13_band_snapshots,
     "a14_window_trades": lambda s, d: store.window_trades(view(s, d, "trades"), T0 + 5 * blocks.HOUR, T0 + 200 * blocks.HOUR),
     "a17_run_outcomes": a17_run,
     "a19_day_store": a19_day_store,

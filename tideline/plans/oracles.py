@@ -305,6 +305,9 @@ def oracle_sql() -> dict[str, str]:
         "j18_equity_curves": q(C["eqx"], " union all ".join(f"select symbol, response, bin, n, {rnd('mean_q', 'mean_r', 'lo', 'hi', n=7)} from q{p}_x" for p in ("mid", "trade", "diff"))),
         "j18_equity_analysis": q([*C["eqx"], "qmid_in", "qstat"], ", w as (select symbol, cast(sum(n) as bigint) as n_windows, max(abs(mean_r)) as mid_amplitude, avg(hi-lo) as mean_ci_width, max(hi-lo) as max_ci_width from qmid_x group by 1), d as (select symbol, count(mean_r) as n_bins, count(*) filter (where lo>0 or hi<0) as n_bins_biased, avg(abs(mean_r)) as mean_abs_diff, max(abs(mean_r)) as max_abs_diff from qdiff_x group by 1), g as (select symbol, case when count(*)>=3 then regr_slope(ln(abs(mean_r)), ln(abs(mean_q))) end as gamma from qmid_inner where inside and sign(mean_r)=sign(mean_q) and mean_r<>0 group by 1), c as (select symbol, quantile_cont(gamma, 0.025) as gamma_lo, quantile_cont(gamma, 0.975) as gamma_hi from qstat where gamma is not null group by 1) select symbol, n_windows, n_bins, n_bins_biased, " + rnd("gamma", "gamma_lo", "gamma_hi", "mean_abs_diff", "max_abs_diff", "mid_amplitude", "mean_ci_width", "max_ci_width", n=6) + " from w join d using (symbol) left join g using (symbol) left join c using (symbol)"),
         "a4_book_rows": "with x as (select event_id as n, 100000+cast(round(value*100) as bigint) as p from events), y as (select *, case when n%41=0 then 'FieldCount' when n%31=0 or n%37=0 then 'BadNumber' else 'Ok' end as status from x) select status, count(*) as n, cast(sum(case when status='Ok' then case when n%5=0 then 2 else 3 end end) as bigint) as asks, cast(sum(case when status='Ok' then 3 end) as bigint) as bids, cast(sum(case when status='Ok' then p-1 end) as bigint) as best_bids, cast(sum(case when status='Ok' then 3000 end) as bigint) as second_sizes from y group by 1",
+        "a5_order_status": q(["order_feed"], ", x as (select *, case when seq%37=0 then 'FieldCount' when seq%31=0 then 'BadType' when seq%43=0 or order_id<0 then 'BadNumber' when seq%41=0 then 'BadSide' else 'Ok' end as status from order_feed) select status, count(*) as n, " + ", ".join(f"cast(sum(case when status='Ok' then {v} end) as bigint) as {c}" for c, v in (("ts_us", "ts_us%86400000000"), ("type", "type+1"), ("order_id", "order_id"), ("size", "size"), ("price", "price*100"), ("side", "side"))) + " from x group by 1"),
+        "a11_mid_csv": q(["quotes"], "select ts_us, round((ask_ticks+bid_ticks)/2, 8) as midprice from quotes"),
+        "a13_band_snapshots": q(["bands"], "select epoch_us(hour_ts) as ts_us, band, depth_lots as depth from bands where hour_ts>=timestamp '2024-01-03' and hour_ts<timestamp '2024-01-20 12:00:00' and hour(hour_ts)%5<>0"),
         "a6_order_books": "with x as (select event_id as n, 5000000+cast(round(value*100) as bigint) as p from events), y as (select *, case when n%29=0 then 'FieldCount' when n%23=0 then 'BadNumber' else 'Ok' end as status from x) select status, count(*) as n, cast(sum(case when status='Ok' then case when n%4=0 then 1 else 2 end end) as bigint) as asks, cast(sum(case when status='Ok' then case when n%6=0 then 0 else 1 end end) as bigint) as bids, cast(sum(case when status='Ok' then p+1 end) as bigint) as best_asks from y group by 1",
         "a14_window_trades": q(["trades"], f"select symbol, ts_us//1000 as ts_ms, price_ticks as price, {SIGNED} as qty from trades where ts_us>={T0 + 5 * H} and ts_us<{T0 + 200 * H}"),
         "a17_run_outcomes": q(["trades"], ", t as (select symbol, day, count(*) as rows from trades group by 1, 2), r as (select symbol, cast(d as date) as day from (values ('AAA'), ('BBB'), ('CCC')) v(symbol), range(date '2024-01-01', date '2024-01-31', interval 1 day) r(d)), x as (select r.symbol, r.day, rows, case when rows is not null and day(r.day)%3=0 and day(r.day)%2=0 then 'skipped' when rows is null or day(r.day)%7=0 then 'gap' else 'reduced' end as outcome from r left join t on t.symbol=r.symbol and t.day=r.day) select symbol, day, outcome, case when outcome='reduced' then rows end as rows, case when outcome='gap' then case when rows is null then 'no raw file' else 'cut off' end end as error from x"),
