@@ -631,3 +631,73 @@ def test_null_ids_link_and_clashing_columns_stay(spark):
         kept = stage(spark, kept, SF)
         assert kept.columns == d.columns and kept.where("digest <> 7 or v <> 'k'").count() == 0
     assert cp.packing(spark, kept, SF).count() >= kept.count() > 0
+
+
+def test_toxicity_score_against_plain_loops():
+    """Embeddings of a word's parts added up, filters over every position with padding behind the end, the largest response of each, and the logistic layer; one number at a time."""
+    m, r = toxicity, np.random.default_rng(3)
+    net = m.ConvNet()
+    net.emb = r.normal(0, 1, (m.ROWS + 1, m.DIM)).astype(np.float32)
+    net.emb[m.ROWS] = 0
+    for w in m.WIDTHS:
+        net.taps[w], net.bias[w] = r.normal(0, 0.5, (w, m.DIM, m.FILTERS)).astype(np.float32), r.normal(0, 0.5, m.FILTERS).astype(np.float32)
+    net.out, net.out_bias = r.normal(0, 0.3, m.FILTERS * len(m.WIDTHS)).astype(np.float32), 0.1
+    net.multiply_out()
+    texts = [t or "" for _, t, *_ in hard_rows() if len(t or "") < 2500]
+    import pyarrow as pa
+
+    rows, counts = m.hashed(*m.buffer_of(pa.array(texts)))
+    got = net.score(rows, counts)
+    ends = np.cumsum(counts)
+    for t, lo, hi, score in zip(texts, ends - counts, ends, got, strict=True):
+        assert hi - lo == len(words(t))
+        vectors = [sum(net.emb[x] for x in row) for row in rows[lo:hi]]
+        pooled = []
+        for w in m.WIDTHS:
+            for f in range(m.FILTERS):
+                at = [sum(float(vectors[i + k] @ net.taps[w][k][:, f]) for k in range(w) if i + k < len(vectors)) for i in range(len(vectors))]
+                pooled.append(max(max(at) + net.bias[w][f], 0) if at else 0.0)
+        assert score == pytest.approx(1 / (1 + np.exp(-(np.dot(pooled, net.out) + net.out_bias))), abs=1e-4)
+
+
+def test_word_parts_are_hashed_alike():
+    """Words that share their first four or six bytes share rows; case doesn't matter, and shorter words have no longer parts than themselves."""
+    import pyarrow as pa
+
+    rows, counts = toxicity.hashed(*toxicity.buffer_of(pa.array(["Information informal infomercial INFORMATION", "inform", None, " "])))
+    assert counts.tolist() == [4, 1, 0, 0] and (rows[0] == rows[3]).all()
+    assert rows[0, 1] == rows[1, 1] == rows[2, 1] and rows[0, 2] == rows[1, 2] != rows[2, 2] and rows[4, 2] == rows[0, 2]
+
+
+def test_few_bins_against_the_best_packing():
+    """Never more than one bin over the optimum on small cases, found by trying all ways."""
+    r = np.random.default_rng(7)
+
+    def best(items, capacity):
+        items, low = sorted(items, reverse=True), [len(items)]
+
+        def place(i, bins):
+            if len(bins) >= low[0]:
+                return
+            if i == len(items):
+                low[0] = len(bins)
+                return
+            for k in {b: j for j, b in enumerate(bins)}.values():
+                if bins[k] + items[i] <= capacity:
+                    bins[k] += items[i]
+                    place(i + 1, bins)
+                    bins[k] -= items[i]
+            place(i + 1, [*bins, items[i]])
+
+        place(0, [])
+        return low[0]
+
+    over = 0
+    for _ in range(60):
+        items = r.integers(1, 21, int(r.integers(1, 10))).tolist()
+        bins = packing.plan(np.bincount(items, minlength=21), 20)
+        assert sorted(x for n, b in bins for x, k in b for _ in range(k) for _ in range(n)) == sorted(items)
+        assert all(sum(x * k for x, k in b) <= 20 for _, b in bins)
+        over += sum(n for n, _ in bins) - best(items, 20)
+        assert sum(n for n, _ in bins) <= best(items, 20) + 1
+    assert over <= 3
