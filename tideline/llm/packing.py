@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import documents, materialize, spread
 
 CAPACITY, END = 1024, 2
-#: Pieces of a length are ranked within this many buckets, then by the buckets' counts before.
-BUCKETS = 256
+#: Pieces of a length are ranked within so many buckets at least, and so many pieces in all for each, then by the buckets' counts before.
+BUCKETS, BUCKET_ROWS = 256, 1 << 20
 
 
 @lru_cache(2)
@@ -138,7 +138,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, tex
     empty table gives no rows; other columns are not read.
     """
     cut = materialize(pieces(docs, capacity, path, text, doc_id), "pieces")
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, cut.count() // BUCKET_ROWS)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     per = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     counts = np.zeros(capacity + 1, np.int64)
@@ -170,7 +171,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, tex
 
     ranked = (
         cut.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(before) if BUCKETS * capacity <= 1 << 18 else before, ["length", "bucket"])  # at most BUCKETS * capacity rows of 20 bytes
+        .join(F.broadcast(before) if buckets * capacity <= 1 << 18 else before, ["length", "bucket"])  # at most buckets * capacity rows of 20 bytes
         .withColumn("at", place("length", F.col("r") + F.col("before")))
     )
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
