@@ -217,6 +217,37 @@ PARTS |= {
     "lines": "select symbol, string_agg(concat_ws(',', ts_us, aggressor, f.oid, f.price, f.size, side)||chr(10), '' order by seq, f.nth) as s, count(*) as fills, cast(sum(f.size) as bigint) as filled from fl group by 1",
 }
 
+LEVEL = "struct(side int, price bigint, known bigint, size bigint)"
+
+
+def level_steps(rows: str, name: str = "lv") -> str:
+    """Body of the recursive part ``name``: the two-pass adapter's levels (what it knows, what the engine holds) after every step (symbol, k from 1, batch, is_snapshot, phase, head, seq, side, price, amount)."""
+    level = lambda side, price, known, size: f"{{'side': {side}, 'price': {price}, 'known': {known}, 'size': {size}}}"
+    first = f"select symbol, cast(0 as bigint) as k, cast(-1 as bigint) as batch, cast([] as {LEVEL}[]) as levels, cast([] as bigint[]) as later, '' as act, cast(0 as bigint) as evicted, 0 as rejected from (select distinct symbol from {rows})"
+    joined = f"select r.*, case when head and r.is_snapshot then [] else s.levels end as levels, case when head then [] else s.later end as later from {name} s join {rows} r on r.symbol=s.symbol and r.k=s.k+1"
+    found = f"select *, list_filter(levels, lambda l: l.side=side and l.price=price)[1] as me from ({joined})"
+    old = "coalesce(me.known, 0)"
+    act = f"case when is_snapshot then case when phase=2 and amount>0 then 'adds' when phase=1 and amount<=0 then 'zero_rows' else '' end when phase=1 then case when amount<=0 then case when {old}>0 then 'deletes' else 'unknown_deletes' end when amount<{old} then 'shrinks' else 'later' end when list_contains(later, seq) then case when {old}=0 then 'adds' when amount>{old} then 'grows' else 'no_ops' end else '' end"
+    acted = f"select *, {act} as act from ({found})"
+    crossing = "case when {s}=0 then l.price<={p} else l.price>={p} end".format(s="side", p="price")
+    cleared = f"select *, case when act='adds' then list_filter(levels, lambda l: l.side<>side and ({crossing})) else [] end as gone from ({acted})"
+    rest = f"list_filter(levels, lambda l: not (l.side=side and l.price=price) and not (act='adds' and l.side<>side and ({crossing})))"
+    new = f"case when act='adds' then list_append({rest}, {level('side', 'price', 'amount', 'coalesce(me.size, amount)')}) when act in ('shrinks', 'grows') then list_append({rest}, {level('side', 'price', 'amount', 'amount')}) when act='deletes' then {rest} else levels end"
+    return f"{first} union all select symbol, k, batch, cast({new} as {LEVEL}[]), cast(case when act='later' then list_append(later, seq) else later end as bigint[]), act, cast(len(gone) as bigint), case when act='adds' and me.size is not null then 1 else 0 end from ({cleared})"
+
+
+PARTS |= {
+    "l2_hazard": sql("l2_hazard").strip(),
+    "lrows": "select *, row_number() over (partition by symbol order by batch, phase, o, seq) as k, row_number() over (partition by symbol, batch order by phase, o, seq)=1 as head from (select *, unnest([1, 2]) as phase, case when is_snapshot then side else 0 end as o from l2_hazard)",
+    "lv": level_steps("lrows"),
+    "lend": "select symbol, batch, arg_max(levels, k) as levels from lv where k>0 group by 1, 2",
+    "lbook": "select symbol, batch, l.side as side, cast(row_number() over (partition by symbol, batch, l.side order by case when l.side=0 then -l.price else l.price end)-1 as int) as rank, l.price as price, l.size as size from (select symbol, batch, unnest(levels) as l from lend)",
+    "lep": "select symbol, batch, is_snapshot, coalesce(max(case when is_snapshot then batch end) over (partition by symbol order by batch), -1) as episode from (select distinct symbol, batch, is_snapshot from l2_hazard)",
+    "lstat": "select e.symbol, e.episode, count(distinct v.batch) as batches, count(distinct case when is_snapshot then v.batch end) as snapshot_batches, count(*) filter (where act='adds' and is_snapshot) as snapshot_levels, "
+    + ", ".join(f"count(*) filter (where act='{c}') as {c}" for c in ("zero_rows", "adds", "shrinks", "grows", "no_ops", "deletes", "unknown_deletes"))
+    + ", count(*) filter (where evicted>0) as crossed_adds, cast(sum(evicted) as bigint) as evictions, cast(0 as bigint) as eviction_stalls, cast(0 as bigint) as fills, cast(sum(rejected) as bigint) as rejected, cast(0 as bigint) as violations from lv v join lep e using (symbol, batch) where k>0 group by 1, 2",
+}
+
 FNV = "format('{:016x}', cast(list_reduce(list_prepend(14695981039346656037::hugeint, [cast(ord(c) as hugeint) for c in string_split(s, '')]), lambda h, b: (cast(xor(cast(h as ubigint), cast(b as ubigint)) as hugeint)*1099511628211)%18446744073709551616) as ubigint))"
 
 C = {"d1": ["trades", "tr", "gb", "gr", "blocks"], "d2": ["trades", "bars", "barr"]}
@@ -243,7 +274,7 @@ C["sn"] = ["trades", "bands", "snaps"]
 
 
 def q(parts: list[str], body: str) -> str:
-    return ("with recursive " if {"eng", "ieng", "feng"} & set(parts) else "with ") + ",\n".join(f"{p} as ({PARTS[p]})" for p in dict.fromkeys(parts)) + "\n" + body
+    return ("with recursive " if {"eng", "ieng", "feng", "lv"} & set(parts) else "with ") + ",\n".join(f"{p} as ({PARTS[p]})" for p in dict.fromkeys(parts)) + "\n" + body
 
 
 def rnd(*cols: str, n: int = 8) -> str:
@@ -329,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "k5_inject": q(["order_feed", "ioc", "ims", "ieng"], "select symbol, f.oid as order_id, f.price as price, f.size as size from (select symbol, unnest(fills) as f from ieng where oid=cast(1 as bigint)<<60 and type=0)"),
         "i16_order_feed": q(["order_feed", "fms", "feng", "ftotals"], "select symbol, note, size from (unpivot ftotals on columns(* exclude (symbol)) into name note value size)"),
         "a27_feed_checksum": q(["order_feed", "ms", "eng", "fl", "lines"], f"select symbol, fills, filled, {FNV} as checksum from lines"),
+        "i13_hazard": q(["l2_hazard", "lrows", "lv", "lend", "lbook", "lep", "lstat"], "select symbol, batch, side, rank, price, size, cast(null as varchar) as note from lbook union all select symbol, null, null, null, null, size, note from (unpivot lstat on columns(* exclude (symbol, episode)) into name note value size)"),
         "i20_whole_batches": q(["l2"], ", n as (select *, row_number() over (partition by symbol order by seq)-1 as k, count(*) over (partition by symbol) as total from l2), c as (select symbol, min(batch) as cut from n where k>=5002 and total>5003 group by 1) select n.symbol, seq, batch from n left join c using (symbol) where cut is null or batch<cut"),
         "i21_single_step": q(C["step"], "select symbol, batch as row_index, coalesce(arg_min(cls, rank*2+1-side) filter (where cls is not null), 'None') as class, min(rank) filter (where cls is not null) as rank, coalesce(min(rank) filter (where cls is not null)<>0, true) as touch_exact from step0 group by 1, 2"),
         "i22_exit_gate": "select 'AAA' as symbol, gate='replay' as clean, gate from (values ('replay'), ('with parsing')) v(gate)",
