@@ -542,3 +542,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
+
+
+#: Shingles by unnesting, links by a self-join, components by a recursive query. For small tables.
+SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) end as s from w
+), e as (
+  select doc_id, len(s) as n, unnest(s) as x from s
+), links as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id, doc_id as root from s union select links.b, reach.root from reach join links on reach.doc_id = links.a
+)
+select doc_id, cast(len(any_value(s)) as bigint) as n_shingles, min(root) as component_id from s join reach using (doc_id) group by doc_id
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op1_ngram_jaccard": jaccard_join.SQL, "op2_exact_dedup": exact_dedup.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op8_topk_search": topk_search.SQL}

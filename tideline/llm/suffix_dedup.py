@@ -357,3 +357,27 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(documents(spark, sf_dir)).drop("kept")
+
+
+#: Every string of 50 bytes in hexadecimal with the least id that has it; runs of covered bytes are islands. For small tables.
+SQL = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), p as (
+  select doc_id, unnest(range(0, len(h) // 2 - 49)) as p, h from d
+), q as (
+  select doc_id, p, substr(h, 2 * p + 1, 100) as x from p
+), hit as (
+  select q.doc_id, p from q join (select x, min(doc_id) as first from q group by x having count(*) > 1) f on q.x = f.x where f.first < q.doc_id
+), g as (
+  select doc_id, p, sum(case when p <= before + 50 then 0 else 1 end) over (partition by doc_id order by p) as run
+  from (select doc_id, p, coalesce(lag(p) over (partition by doc_id order by p), -100) as before from hit)
+), run as (
+  select doc_id, min(p) as lo, max(p) + 50 as hi from g group by doc_id, run
+), runs as (
+  select doc_id, sum(hi - lo) as gone, count(*) as n, list_sort(list({'lo': lo, 'hi': hi})) as r from run group by doc_id
+)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans,
+       sha256(unhex(case when r is null then h else substr(h, 1, 2 * r[1].lo) || array_to_string([substr(h, 2 * r[i].hi + 1, 2 * (case when i < len(r) then r[i+1].lo else len(h) // 2 end - r[i].hi)) for i in range(1, len(r) + 1)], '') end)) as kept_sha256
+from d left join runs using (doc_id)
+"""
