@@ -226,8 +226,8 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
     b = F.col("j") * WINDOW + F.col("r") - 1
     spans = starts.select("key", "parts", b.alias("b"), "len", "part", "r", F.explode(F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))).alias("n")).where("b + n <= len")
     found = spans.withColumn("piece", F.expr("substring(part, r, n)")).join(table, "piece", "left").where("id is not null or n = 1")
-    # a character without a piece has its code point, negative, for an id
-    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", F.coalesce("cost", F.lit(unknown)).alias("cost"), F.coalesce("id", -F.ascii("piece")).alias("id"))
+    # a character without a piece has -1 less its code point for an id
+    edge = F.struct((F.col("b") + F.col("n")).alias("e"), "n", F.coalesce("cost", F.lit(unknown)).alias("cost"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
     lattice = found.select("key", "parts", edge.alias("edge")).groupBy("key").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list("edge")).alias("edges"))
     # a position's edges begin with the one of a single character, which always is there
     lattice = lattice.withColumn("begins", F.filter(F.sequence(F.lit(1), F.size("edges")), lambda i: F.element_at("edges", i)["n"] == 1))
@@ -254,7 +254,7 @@ def best_paths(words: DataFrame, pieces: list[tuple[str, int, float]], first_byt
     size = F.size("back") - 1
     begin = F.struct(size.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
     path = folded.select("key", "parts", F.reverse(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), begin, walk, lambda s: s["out"])).alias("path"))
-    ids = F.when(F.array_min("path") >= 0, F.col("path")).otherwise(F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(utf8_ids(-i, first_byte)))))
+    ids = F.when(F.array_min("path") >= 0, F.col("path")).otherwise(F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(utf8_ids(-1 - i, first_byte)))))
     return path.select("key", "parts", ids.alias("ids"))
 
 
