@@ -180,7 +180,7 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
             yield k, [a[order[lo:hi]] for a in arrays]
 
     def find(key, left, right):
-        """A part's anchors, each once, with the least id that has it and whether others have it too; however many documents share an anchor, a part sends one row."""
+        """A part's anchors, each once, with whether several ids of the part have it; however many documents share an anchor, a part sends it once. An id is in one part only."""
         own: list[tuple[np.ndarray, np.ndarray]] = []
         for b in slices(without(left, right).to_batches()):
             ids = b.column("id").to_numpy()
@@ -193,27 +193,28 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
         a, ids = a[order], ids[order]
         heads = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
         least, most = (f.reduceat(ids, heads) if len(a) else ids for f in (np.minimum, np.maximum))
-        a = a[heads]
-        outs = [(k, *x) for k, x in grouped(bucket_of(a), name(a), least, (least != most).astype(np.uint8))]
-        return pa.table({"bucket": pa.array([o[0] for o in outs], pa.int32()), **{c: pa.array([o[i].tobytes() for o in outs], pa.binary()) for i, c in enumerate(("anchor", "ids", "more"), 1)}, "part": pa.array([key[0].as_py()] * len(outs), pa.int32())})
+        a, more = a[heads], least != most
+        outs = [(k, x[0], np.packbits(x[1])) for k, x in grouped(bucket_of(a), name(a), more)]
+        return pa.table({"bucket": pa.array([o[0] for o in outs], pa.int32()), **{c: pa.array([o[i].tobytes() for o in outs], pa.binary()) for i, c in enumerate(("anchor", "more"), 1)}, "part": pa.array([key[0].as_py()] * len(outs), pa.int32())})
 
     def several(key, t):
         """The anchors of a bucket that at least two documents have, for each part that has them."""
         bucket = key[0].as_py()
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        a, ids, more = get("anchor", np.uint32), get("ids", np.int64), get("more", np.uint8)
-        part = np.repeat(t.column("part").to_numpy(), [len(x) // 4 for x in t.column("anchor").to_pylist()])
+        a, size = get("anchor", np.uint32), [len(x) // 4 for x in t.column("anchor").to_pylist()]
+        more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t.column("more").to_pylist(), size, strict=True)]) if size else np.zeros(0, np.uint8)
+        part = np.repeat(t.column("part").to_numpy(), size)
         order = np.argsort(a, kind="stable")
-        a, ids, more, part = a[order], ids[order], more[order], part[order]
+        a, more, part = a[order], more[order], part[order]
         new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
-        many = (np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)) | (np.maximum.reduceat(more, heads) > 0) if len(a) else np.zeros(0, bool)
+        many = (np.diff(np.append(heads, len(a))) > 1) | (np.maximum.reduceat(more, heads) > 0) if len(a) else np.zeros(0, bool)
         keep = np.repeat(many, np.diff(np.append(heads, len(a))))
         full = (a[keep].astype(np.uint64) << np.uint64(32)) + np.uint64(bucket)
         out = [(p, np.unique(x)) for p, (x,) in grouped(part[keep].astype(np.int64), full)]
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "live": pa.array([x.tobytes() for _, x in out], pa.binary())})
 
-    found = rows.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(find, "bucket int, anchor binary, ids binary, more binary, part int")
+    found = rows.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(find, "bucket int, anchor binary, more binary, part int")
     live = materialize(found.groupBy("bucket").applyInArrow(several, "part int, live binary"), "anchors")
     known_ = live.select("part", "live", F.lit(None).cast("binary").alias("later")).unionByName(copies.select("part", F.lit(None).cast("binary").alias("live"), "later"))
     sizes = live.agg(F.sum(F.octet_length("live"))).first()[0] or 0
