@@ -105,6 +105,38 @@ def test_jaccard_regions(spark, monkeypatch, region):
     assert sorted(tuple(r) for r in jaccard_join.jaccard_classes(d).collect()) == brute_classes(chains())
 
 
+def chance_rows() -> list[tuple[int, str]]:
+    """Texts whose shingles all occur elsewhere by chance, with a near copy of every tenth."""
+    r = np.random.default_rng(11)
+    out = [(i, " ".join(f"w{k}" for k in r.integers(0, 5, int(n)))) for i, n in enumerate(r.integers(30, 120, 300))]
+    return out + [(1000 + i, t + " w9") for i, t in out[::10]]
+
+
+@pytest.mark.parametrize(("few", "many"), [(16, 2000), (1, 3)])
+def test_chance_shingles_make_no_regions(spark, monkeypatch, few, many):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "MANY", many)
+    seen = []
+    join = jaccard_join.region_links
+    monkeypatch.setattr(jaccard_join, "region_links", lambda members: seen.extend(r["count"] for r in members.groupBy("region").count().collect()) or join(members))
+    d = spark.createDataFrame(chance_rows(), "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_classes(d).collect()) == brute_classes(chance_rows())
+    assert max(seen) <= 10 and 60 <= sum(seen) <= 120  # of 330; regions by single shingles took nearly all into one
+
+
+def test_sketches_keep_every_link():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in (1, 4, 5, 60, 64, 65, 127, 129, 500, 2047, 2100, 5000)]
+    sets += [np.sort(r.permutation(s)[: max(1, int(len(s) * f))]) for s in sets for f in (0.81, 0.9, 0.7)]
+    sets += [np.unique(np.concatenate([s, r.integers(0, 1 << 63, len(s) // 10).astype(np.uint64)])) for s in sets[:12]]
+    n = np.array([len(s) for s in sets])
+    k = jaccard_join.Sketches(n, [jaccard_join.sketch(s).tobytes() for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    close = k.close(a, b)
+    link = np.array([100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - c) for i, j in zip(a, b, strict=True)])
+    assert link.sum() >= 30 and close[link].all() and close.sum() < 4 * link.sum()
+
+
 def test_voronoi_cells_in_memory():
     rows = chains()
     sets = [np.array(sorted({zlib.crc32(" ".join(w[k : k + 5]).encode()) for w in [t.split()] for k in range(len(w) - 4)}), np.uint64) for _, t, *_ in rows]

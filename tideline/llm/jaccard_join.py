@@ -2,8 +2,9 @@
 
 1. Coarse regions. A link needs 0.8 of the union in common, so at least one of any floor(0.2 n) + 1 of a
    document's shingles; the rarest are taken, where rarity is counted over the part of
-   the shingle space with the smallest hashes. Documents that share such a shingle, directly or over others,
-   make a coarse region. Most documents have only shingles of their own there and need nothing more.
+   the shingle space with the smallest hashes. Documents that share such a shingle are held against each other by sketches, the parities of
+   their shingles by place, which differ in no more places than the sets have elements of one only; so no link is lost, and documents that share a
+   phrase by chance don't chain up to regions that grow with the corpus. What passes makes, directly or over others, a coarse region.
 2. In a region, documents chosen as pivots make Voronoi cells by Jaccard distance. A partner of a
    document of a cell lies, by the triangle inequality, within twice the radius of the cell's border
    and within the radius of the cell's reach, so only such boundary documents are replicated.
@@ -34,6 +35,8 @@ PIVOTS = 16
 SMALL, DEEP = 48, 12
 TIGHT = 0.8  # a cell with more of its region's rows than this is not split further
 SPREAD = 1.5  # nor is a region whose cells, windows included, hold so many times its rows
+#: Words of 64 bits in a sketch at most; sets of one shingle that are held against each other pair by pair at once; sets of one shingle from which on they are dealt by size; rows of a task that does so.
+SKETCH, FEW, MANY, ROWS = 32, 16, 2000, 100_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
@@ -68,6 +71,13 @@ def vertex(s: np.ndarray) -> int:
     return int(mix(x * np.uint64(3) + x[::-1])[:1].view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements by place: a bit for each element about, as a power of two, up to SKETCH words. One of half the length follows by adding its halves."""
+    words = min(SKETCH, max(1, 1 << (-(-len(s) // 64) - 1).bit_length()))
+    odd = np.bincount((mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def need(n: np.ndarray | int):
     """So many of a set's elements can't all be missing from a set that it links with."""
     return n - -(-n * SIMILAR // 100) + 1
@@ -234,18 +244,18 @@ def join_region(vs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, v) per row of docs(doc_id, text)."""
+    """(doc_id, n, v, sketch) per row of docs(doc_id, text)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = _parse_datatype_string(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long")
+    schema = _parse_datatype_string(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, sketch binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in slices(batches):
             sets = shingle_sets(*buffer_of(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(arrow.field(0).type), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex(s) for s in sets], pa.int64())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(arrow.field(0).type), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -342,6 +352,93 @@ def rare_keys(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+class Sketches:
+    """Sketches of some sets, to be compared at the length of the shorter one."""
+
+    def __init__(self, n: np.ndarray, data: list[bytes]):
+        self.n = n
+        size = np.array([len(x) // 8 for x in data], np.int64)
+        self.level = np.round(np.log2(np.maximum(size, 1))).astype(np.int64)
+        self.at, self.rows = {}, {}  # by level: places in its matrix; the matrix, with the sketches of the next level folded
+        for k in np.unique(self.level).tolist():
+            own, next_ = np.flatnonzero(self.level == k), np.flatnonzero(self.level == k + 1)
+            matrix = lambda which: np.frombuffer(b"".join([data[i] for i in which.tolist()]), np.uint64)
+            longer = matrix(next_).reshape(len(next_), 2, 1 << k)
+            self.rows[k] = np.concatenate([matrix(own).reshape(len(own), 1 << k), longer[:, 0] ^ longer[:, 1]])
+            self.at[k] = np.zeros(len(n), np.int32)
+            self.at[k][np.concatenate([own, next_])] = np.arange(len(own) + len(next_))
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets a[i] and b[i] may link: their sizes allow it, and so do the places in which the sketches differ."""
+        small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        out = 100 * small >= SIMILAR * large
+        level = np.minimum(self.level[a], self.level[b])
+        for k in np.unique(level[out]).tolist():
+            some = np.flatnonzero(out & (level == k))
+            for lo in range(0, len(some), 1 << 14):
+                i = some[lo : lo + (1 << 14)]
+                differ = np.bitwise_count(self.rows[k][self.at[k][a[i]]] ^ self.rows[k][self.at[k][b[i]]]).sum(1, dtype=np.int64)
+                out[i] = (100 + SIMILAR) * differ <= (100 - SIMILAR) * (self.n[a[i]] + self.n[b[i]])
+        return out
+
+
+def close_in_groups(heads: np.ndarray, sketches: Sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of rows that connect, in each group of rows that begins at heads, all that may link. Rows of a group come by size."""
+    n = sketches.n
+    count = ends(heads, len(n)) - heads
+    out = []
+    for c in range(2, FEW + 1):
+        first = heads[count == c]
+        x, y = np.triu_indices(c, 1)
+        step = max(1, (1 << 18) // len(x))
+        for lo in range(0, len(first), step):
+            a, b = (first[lo : lo + step, None] + x).ravel(), (first[lo : lo + step, None] + y).ravel()
+            hit = sketches.close(a, b)
+            out.append((a[hit], b[hit]))
+    for lo, c in zip(heads[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+        label = np.arange(c)
+        reach = np.searchsorted(n[lo : lo + c], n[lo : lo + c] * 100 // SIMILAR, "right").tolist()
+        for i in range(c):
+            other = i + 1 + np.flatnonzero(label[i + 1 : reach[i]] != label[i])
+            if len(other):
+                hit = other[sketches.close(np.full(len(other), lo + i), lo + other)]
+                if len(hit):
+                    hit = hit[np.unique(label[hit], return_index=True)[1]]  # one of each class
+                    out.append((np.full(len(hit), lo + i), lo + hit))
+                    label[np.isin(label, label[hit])] = label[i]
+    return out
+
+
+def close_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that share a key and may link by their sketches, so many that all such pairs are connected. keys: (h, v); sets: (v, n, sketch).
+
+    Of keys that the same sets have, one is looked at. The sets of a frequent key are dealt by size to bands, each with the next one, as sets that link are of about the same size.
+    """
+    import pyarrow as pa
+
+    group = keys.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")).where("c > 1")
+    group = group.groupBy("c", "x", "y").agg(F.min("h").alias("h")).select("h", "c")
+    rows = materialize(keys.join(group, "h"), "groups")
+    parts = max(workers(keys), -(-rows.count() // ROWS))
+    rows = rows.join(sets.select("v", "n", "sketch"), "v")
+    place = F.log("n") / np.log(100 / SIMILAR)  # sizes that link are at most 1 apart
+    bands = F.array(F.floor(place).cast("int"), F.floor(place + 1 + 1e-9).cast("int"))
+    rows = rows.withColumn("band", F.explode(F.when(F.col("c") > MANY, bands).otherwise(F.array(F.lit(-9)))))
+
+    def run(key, t):
+        tidy()
+        h, band, v, n, data = t.column("h").to_numpy(), t.column("band").to_numpy(), t.column("v").to_numpy(), t.column("n").to_numpy(), t.column("sketch").to_pylist()
+        order = np.lexsort((v, n, band, h))
+        h, band, v, n = h[order], band[order], v[order], n[order]
+        heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (band[1:] != band[:-1]))) if len(h) else np.zeros(0, int)
+        pairs = close_in_groups(heads, Sketches(n, [data[i] for i in order.tolist()]))
+        a, b = (np.concatenate([v[:0], *(v[p[k]] for p in pairs)]) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    part = F.pmod(F.xxhash64("h", "band"), F.lit(parts)).alias("part")
+    return rows.select("h", "band", "v", "n", "sketch").groupBy(part).applyInArrow(run, "a long, b long").distinct()
+
+
 def with_sets(docs: DataFrame) -> DataFrame:
     """(v, region, n, s) from docs(text, v, region): s is the set's bytes."""
     import pyarrow as pa
@@ -434,7 +531,9 @@ def join_tight(members: DataFrame, total: DataFrame) -> DataFrame:
 
     m = members.join(total.select("region", F.ceil(F.col("elements") / REGION * 4).cast("int").alias("salts")), "region")
     dealt = m.withColumn("salt", F.pmod(F.xxhash64("v", F.lit(1)), F.col("salts")).cast("int"))
-    rest = m.where(~F.coalesce("core", F.lit(False))).withColumn("block", F.pmod(F.xxhash64("v", F.lit(2)), F.col("salts")).cast("int"))
+    rest = m.where(~F.coalesce("core", F.lit(False)))
+    many = rest.groupBy("region").agg(F.ceil(F.sum(F.octet_length("s")) / 8 / REGION * 4).cast("int").alias("blocks"))  # of the rest only, so all rows are copied no more often than that
+    rest = rest.join(many, "region").withColumn("block", F.pmod(F.xxhash64("v", F.lit(2)), F.col("blocks")).cast("int"))
     blocks = fresh(rest.select("region", "block").distinct())
     left = dealt.join(blocks, "region").select("region", "salt", "block", "v", "s", F.coalesce("core", F.lit(False)).alias("core"))
     right = rest.select("region", "block", "v", "s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -506,13 +605,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     key = at if keyed else F.struct(at.isNull().alias("no_id"), F.coalesce(at, F.lit("0").cast(docs.schema[doc_id].dataType)).alias("id"), F.when(at.isNull(), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).otherwise(F.lit(b"")).alias("digest"))
     src = spread(docs.select(key.alias("doc_id"), F.col(text).alias("text")))
     base = materialize(describe(src), "sets")
-    sets = materialize(base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "vertices")
+    sets = materialize(base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "vertices")
     shingles = base.agg(F.sum("n")).first()[0] or 0
     buckets = max(workers(docs), int(-(-shingles * SPACE // SHARE)))
     keys = materialize(rare_keys(src, buckets), "keys")
-    least = keys.groupBy("h").agg(F.min("v").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    coarse = keys.join(least, "h").where("v <> p").select(F.col("v").alias("a"), F.col("p").alias("b")).distinct()
-    regions = components(coarse, "coarse").withColumnRenamed("root", "region")
+    regions = components(close_pairs(keys, sets), "coarse").withColumnRenamed("root", "region")
     members = regions.join(sets.select("v", "doc_id"), "v")
     members = materialize(with_sets(src.join(members, "doc_id")), "members")
     links = components(region_links(members), "classes")
