@@ -367,6 +367,23 @@ def test_probabilities_of_all_symbols_sum_to_one():
         assert np.exp(-np.add.reduceat(loss, coder.begin)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_mixer_learns_from_every_unit():
+    """The map counts each bit of training text once, whatever the number of batches."""
+    m = context_mixing
+    for texts in ([f"word{i} and{i * 7} more{i % 50}." for i in range(1500)], ["one", ""]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+        held = np.arange(len(texts)) % 7 == 2
+        c = m.Chunk(m.chunk_body([m.read_tokens(data, offsets, held)]))
+        coder = m.Coder(c.symbols_seen())
+        u = m.Units(c, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        find = [m.Lookup(k) for k in u.entries(coder)]
+        paths = [m.path_counts(f.keys, np.ones(len(f.keys), np.int64), coder)[0] for f in find]
+        _, cells, n = m.learn(u, m.Bits(u, coder, find, paths), m.Mixer(m.END))
+        every = sum(int(coder.length[coder.rank[[*t.encode(), m.END]]].sum()) for t, h in zip(texts, held, strict=True) if not h)
+        assert n == cells[:, 0].sum() == every
+
+
 def test_language_model_learns(spark):
     """Held-out text of independent words costs little more than their entropy; repeated rows, null ids and clashing columns."""
     r = np.random.default_rng(3)
@@ -516,6 +533,20 @@ def test_toxicity_learns(spark):
     assert toxicity.reject(d, labels, m).columns == d.columns
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """The toxic documents are those that come last by the hash of their id, behind 6,000 others."""
+    ids = [r.id for r in spark.sql("select id from range(9000) where crc32(cast(cast(id as string) as binary)) % 5 <> 0 order by xxhash64(id), id").collect()]
+    toxic = set(ids[6000:])
+    assert len(toxic) > 300
+    d = spark.createDataFrame([(i, f"w{i % 89} w{i % 97} w{i % 83}" + (" vile" if i in toxic else ""), "x") for i in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int")
+    m = toxicity.train(d, labels)
+    probe = spark.createDataFrame([(i, f"w{i} w{i + 1}" + " vile" * (i % 2), "x") for i in range(40)], d.schema)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(probe, m).collect()}
+    assert min(got[i] for i in range(1, 40, 2)) > 0.5 > max(got[i] for i in range(0, 40, 2))
+    assert {r.doc_id for r in toxicity.reject(probe, labels, m).collect()} == set(range(0, 40, 2))
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

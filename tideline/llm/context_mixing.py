@@ -34,8 +34,8 @@ ALIKE = 0.5
 #: Logarithmic counts: the least count of each level.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 10, 16, 28, 50, 100, 250, 700, 2500, 12000, 100000])
 MEAN = np.array([0, 1, 2, 3, 4.8, 7.5, 12.5, 21, 38, 70, 160, 420, 1300, 5500, 35000, 300000])
-#: Added to both counts of a node; rate of the online updates; units in an update, which every LEARN-th batch of a chunk's units makes; units expanded at once to be counted and to be scored.
-PRIOR, RATE, BATCH, LEARN, WIDE, SLICE = 0.1, 0.06, 128, 8, 8192, 2048
+#: Added to both counts of a node; rate of the online updates; units in an update; units expanded at once to be counted, and to be learned from and scored.
+PRIOR, RATE, BATCH, WIDE, SLICE = 0.1, 0.06, 128, 8192, 2048
 #: Buckets of the map; weight of its straight line in observations.
 BUCKETS_MAP, LINE = 24, 30.0
 BASE = 0x9E3779B97F4A7C15
@@ -529,35 +529,34 @@ class Bits:
 def learn(u: Units, bits: Bits, mixer: Mixer) -> tuple[np.ndarray, np.ndarray, float]:
     """(weights, cells, bits): online over units that training text has, each without its own count; updates are scaled by the gradients so far.
 
-    Every LEARN-th batch of the chunk's units takes part, so what is learned from grows with the text. Units come in the order of their tokens' hashes. The map counts over the second
-    half, when the weights have settled.
+    All units take part, in the order of their tokens' hashes, and every bit counts in the map.
     """
     squares = np.full(mixer.weights.shape, 1e-4)
     seen = np.zeros_like(mixer.seen)
     total = 0.0
-    starts = range(0, len(u.token), BATCH * LEARN)
-    for at, lo in enumerate(starts):
-        hi = min(lo + BATCH, len(u.token))
-        times = u.times[lo:hi]
-        if not times.any():
+    for start in range(0, len(u.token), SLICE):
+        every = u.times[start : start + SLICE]
+        if not every.any():
             continue
-        paths, node, bit, n = bits(lo, hi)
-        weight = np.repeat(times, n)
+        paths, node, bit, n = bits(start, start + len(every))
         paths = WITHOUT[paths]
-        x, gate = STRETCH[paths], mixer.gate(paths)
-        z = mixer.mixed(x, gate)
-        err = weight / (1 + np.exp(z))
-        mass = np.bincount(gate, weight, GATES)
-        on = mass > 0
-        g = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(KINDS)], 1)[on] / mass[on, None]
-        squares[on] += g * g
-        mixer.weights[on] += (RATE * g / np.sqrt(squares[on])).astype(np.float32)
-        mixer.columns = np.ascontiguousarray(mixer.weights.T)
-        total += float(weight.sum())
-        if at * 2 >= len(starts) or len(starts) < 4:
-            cell = mixer.cell(np.where(bit == 1, z, -z), node)
-            seen[:, 0] += np.bincount(cell, weight, len(seen))
-            seen[:, 1] += np.bincount(cell, weight * bit, len(seen))
+        weights, odds, gates = np.repeat(every, n), STRETCH[paths], mixer.gate(paths)
+        z = np.empty(len(bit), np.float32)
+        border = np.append(0, np.cumsum(n))[[*range(0, len(every), BATCH), len(every)]].tolist()
+        for lo, hi in zip(border[:-1], border[1:], strict=True):
+            weight, x, gate = weights[lo:hi], odds[:, lo:hi], gates[lo:hi]
+            z[lo:hi] = mixer.mixed(x, gate)
+            err = weight / (1 + np.exp(z[lo:hi]))
+            mass = np.bincount(gate, weight, GATES)
+            on = mass > 0
+            g = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(KINDS)], 1)[on] / mass[on, None]
+            squares[on] += g * g
+            mixer.weights[on] += (RATE * g / np.sqrt(squares[on])).astype(np.float32)
+            mixer.columns = np.ascontiguousarray(mixer.weights.T)
+        total += float(weights.sum())
+        cell = mixer.cell(np.where(bit == 1, z, -z), node)
+        seen[:, 0] += np.bincount(cell, weights, len(seen))
+        seen[:, 1] += np.bincount(cell, weights * bit, len(seen))
     return mixer.weights.astype(np.float64), seen, total
 
 
