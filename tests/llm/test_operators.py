@@ -384,6 +384,26 @@ def test_mixer_learns_from_every_unit():
         assert n == cells[:, 0].sum() == every
 
 
+def test_events_stand_for_all_their_symbols():
+    """Each distinct (last symbols, state, symbol) is worked out once: training counts and the losses of units are those of all symbols one by one."""
+    m = context_mixing
+    c, coder, _, u = built(lm_rows() * 3)
+    e = m.Events(u, coder).count()
+    find, counts = m.counted(e, coder)
+    _, n, keys = u.expand(0, len(u.token), coder)
+    assert 5 * len(e.times) < 3 * keys.shape[1] and e.times.sum() == np.repeat(u.times, n).sum()
+    for k, f in enumerate(find):
+        assert (f.keys == m.distinct(keys[k])).all()
+        assert (counts[k] == np.bincount(f(keys[k]), np.repeat(u.times, n), len(f.keys))).all()
+    paths = [m.path_counts(f.keys, x, coder)[0] for f, x in zip(find, counts, strict=True)]
+    bits = m.Bits(e, coder, find, paths)
+    w, cells, total = m.learn(e, bits, m.Mixer(m.END))
+    assert total == cells[:, 0].sum() == c.count(u.of, len(u.token)) @ np.add.reduceat(coder.length[keys[0] & np.uint64(511)], np.cumsum(n) - n)
+    mixer = m.Mixer(m.END, w, cells)
+    loss = lambda b, size: np.add.reduceat(mixer.loss(*(x := b(0, size))[:3]).astype(np.float64), np.cumsum(x[3]) - x[3])
+    assert e.by_unit(loss(bits, len(e.times))) == pytest.approx(loss(m.Bits(u, coder, find, paths), len(u.token)), rel=1e-5)
+
+
 def test_language_model_learns(spark):
     """Held-out text of independent words costs little more than their entropy; repeated rows, null ids and clashing columns."""
     r = np.random.default_rng(3)

@@ -8,8 +8,8 @@ apart. The predictions are mixed in the logistic domain by weights that a gate s
 tokens, each predicted as if it had not been counted itself, and then refined by an adaptive probability map.
 
 Nothing has a fixed size but the weights and the map. A chunk of documents keeps its distinct tokens and the numbers of each document's tokens; counts of (context, symbol) go to
-buckets by context and come back to the chunks that asked, as two logarithmic counts for every node of the symbol's path. All contexts depend on the token, on its class and on the
-state before it, so each distinct combination of these in a chunk is predicted once, however often it occurs.
+buckets by context and come back to the chunks that asked, as two logarithmic counts for every node of the symbol's path. All contexts depend on the last symbols of the token and on
+the state before it, so each distinct combination of these with a symbol in a chunk, an event, is counted, learned from and predicted once, with the number of times that it occurs.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ CHUNK, BUCKET = 24 << 20, 64 << 20
 END = 256
 #: Contexts: so many symbols back within the token; and the last one with so many symbols and the token's state.
 BACK, STATED = (2, 3, 5), 4
-KINDS = len(BACK) + 1
+KINDS, DEEP = len(BACK) + 1, max(*BACK, STATED)
 #: Frequent words and classes of these; states before a token: start of the text, line end, end of a sentence or clause, others.
 FREQUENT, CLASSES, STATES = 64, 8, 4
 ALIKE = 0.5
 #: Logarithmic counts: the least count of each level.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 10, 16, 28, 50, 100, 250, 700, 2500, 12000, 100000])
 MEAN = np.array([0, 1, 2, 3, 4.8, 7.5, 12.5, 21, 38, 70, 160, 420, 1300, 5500, 35000, 300000])
-#: Added to both counts of a node; rate of the online updates; units in an update; units expanded at once to be counted, and to be learned from and scored.
-PRIOR, RATE, BATCH, WIDE, SLICE = 0.1, 0.06, 128, 8192, 2048
+#: Added to both counts of a node; observations that hold a weight where it starts; events in the first update; units, and events, expanded at once.
+PRIOR, RIDGE, BATCH, WIDE, SLICE = 0.1, 10.0, 128, 8192, 16384
 #: Buckets of the map; weight of its straight line in observations.
 BUCKETS_MAP, LINE = 24, 30.0
 BASE = 0x9E3779B97F4A7C15
@@ -242,11 +242,12 @@ class Units:
         tails = self.tails().astype(np.int8)
         states = (CLASSES + 1) * STATES
         key = np.empty(len(c.number), np.int32 if len(c.length) * states < 1 << 31 else np.int64)
+        starts = np.cumsum(c.tokens) - c.tokens
         for block in c.blocks():
             number = c.number[block]
             n = np.arange(len(number))
             doc = c.doc[block]
-            first = np.searchsorted(doc, doc)  # of each token's document
+            first = starts[doc] - block.start  # of each token's document
             own = kind[number]
             newest = np.maximum.accumulate(np.where(own >= 0, n, -1))
             before = np.append(-1, newest[:-1])
@@ -270,42 +271,111 @@ class Units:
         mark = np.isin(c.bytes[np.minimum(c.begin + np.maximum(word - 1, 0), max(0, len(c.bytes) - 1))], np.frombuffer(b".!?:;", np.uint8)) & (word > 0) if len(c.bytes) else np.zeros(len(c.length), bool)
         return np.where(lines, 1, np.where(mark, 2, 3))
 
-    def expand(self, lo: int, hi: int, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rank of each symbol of units lo to hi, symbols of each unit, keys[kind, symbol])."""
+    def symbols(self, lo: int, hi: int, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+        """(packed event of each symbol of units lo to hi, symbols of each unit)."""
         c, token, state = self.c, self.token[lo:hi], self.state[lo:hi]
         own = c.length[token]
         count = own + c.last[token]
-        first = np.cumsum(count) - count
+        ends = np.cumsum(count)
+        first = ends - count
         total = int(count.sum())
-        unit = np.repeat(np.arange(hi - lo), count)
-        j = np.arange(total) - first[unit]
-        symbol = np.full(total, END, np.int64)
-        inside = j < own[unit]
+        symbol = np.full(total, END, np.uint64)
+        inside = np.ones(total, bool)
+        inside[ends[c.last[token]] - 1] = False
         symbol[inside] = c.bytes[ranges(c.begin[token], own)]
-        rank = coder.rank[symbol].astype(np.uint64)
-        # before the token stand marks that tell the state's kind of end
-        edge = (300 + state % STATES)[unit]
         packed = np.zeros(total, np.uint64)
-        keys = np.empty((KINDS, total), np.uint64)
-        for k in range(1, max(*BACK, STATED) + 1):
-            back = np.where(j >= k, np.append(np.zeros(min(k, total), np.int64), symbol[: max(0, total - k)]), edge)
-            packed = packed * np.uint64(512) + back.astype(np.uint64)
-            if k in BACK:
-                keys[BACK.index(k)] = packed
-            if k == STATED:
-                keys[-1] = packed * np.uint64((CLASSES + 1) * STATES) + state[unit].astype(np.uint64)
-        for k in range(KINDS):
-            keys[k] = (mix(keys[k] + np.uint64((k + 1) * 0xA0761D6478BD642F & M64)) & ~np.uint64(511)) | rank
-        return rank.astype(np.int64), count, keys
+        for k in range(1, DEEP + 1):
+            packed[k:] |= symbol[: max(0, total - k)] << np.uint64(9 * (DEEP - k))
+        # before the token stand marks that tell the state's kind of end
+        edge = (300 + state % STATES).astype(np.uint64)
+        for j in range(DEEP):
+            on = np.flatnonzero(count > j)
+            fill = edge[on] * np.uint64(sum(1 << 9 * i for i in range(DEEP - j)))
+            low = np.uint64(9 * (DEEP - j))
+            at = first[on] + j
+            packed[at] = (packed[at] >> low << low) | fill
+        packed = packed * np.uint64((CLASSES + 1) * STATES) + np.repeat(state.astype(np.uint64), count)
+        return (packed << np.uint64(9)) | coder.rank.astype(np.uint64)[symbol.view(np.int64)], count
+
+    def expand(self, lo: int, hi: int, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank of each symbol of units lo to hi, symbols of each unit, keys[kind, symbol])."""
+        packed, count = self.symbols(lo, hi, coder)
+        rank, keys = contexts(packed)
+        return rank, count, keys
+
+    def entries(self, coder: Coder) -> list[np.ndarray]:
+        return entries(self, coder, WIDE)
+
+
+class Events:
+    """The distinct (last symbols, state, symbol) of a chunk's units, in an order without meaning, with how often each occurs in training documents."""
+
+    def __init__(self, u: Units, coder: Coder):
+        self.u, self.coder = u, coder
+        parts = [distinct(self.shuffled(lo)[0]) for lo in range(0, len(u.token), WIDE)]
+        self.find = Lookup(distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
+        self.times = np.zeros(len(self.find.keys))
+
+    def shuffled(self, lo: int) -> tuple[np.ndarray, np.ndarray]:
+        packed, count = self.u.symbols(lo, min(lo + WIDE, len(self.u.token)), self.coder)
+        return packed * np.uint64(BASE), count
+
+    def count(self) -> Events:
+        for lo in range(0, len(self.u.token), WIDE):
+            times = self.u.times[lo : lo + WIDE]
+            if times.any():
+                key, n = self.shuffled(lo)
+                np.add.at(self.times, self.find(key), np.repeat(times, n))
+        return self
+
+    def by_unit(self, values: np.ndarray) -> np.ndarray:
+        """The sum of values, one for each event, over the symbols of each unit."""
+        out = np.zeros(len(self.u.token), values.dtype)
+        for lo in range(0, len(out), WIDE):
+            key, n = self.shuffled(lo)
+            out[lo : lo + len(n)] = np.add.reduceat(values[self.find(key)], np.cumsum(n) - n)
+        return out
+
+    def expand(self, lo: int, hi: int, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank, 1, keys[kind]) of events lo to hi."""
+        rank, keys = contexts(self.find.keys[lo:hi] * np.uint64(pow(BASE, -1, 1 << 64)))
+        return rank, np.ones(len(rank), np.int64), keys
 
     def entries(self, coder: Coder) -> list[np.ndarray]:
-        """The distinct keys of each kind, sorted."""
-        parts: list[list[np.ndarray]] = [[] for _ in range(KINDS)]
-        for lo in range(0, len(self.token), WIDE):
-            _, _, keys = self.expand(lo, min(lo + WIDE, len(self.token)), coder)
-            for k in range(KINDS):
-                parts[k].append(distinct(keys[k]))
-        return [distinct(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in parts]
+        return entries(self, coder, SLICE)
+
+    def places(self, find: list[Lookup]) -> np.ndarray:
+        """[kind, event]: the place of each event's key among the entries of a kind."""
+        out = np.empty((KINDS, len(self.times)), np.int32)
+        for lo in range(0, len(self.times), SLICE):
+            _, _, keys = self.expand(lo, lo + SLICE, self.coder)
+            for k, f in enumerate(find):
+                out[k, lo : lo + SLICE] = f(keys[k])
+        return out
+
+
+def contexts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, keys[kind]) of packed events."""
+    states = np.uint64((CLASSES + 1) * STATES)
+    rank, rest = packed & np.uint64(511), packed >> np.uint64(9)
+    deep, state = rest // states, rest % states
+    keys = np.empty((KINDS, len(packed)), np.uint64)
+    for k, back in enumerate((*BACK, STATED)):
+        key = deep >> np.uint64(9 * (DEEP - back))
+        if k == KINDS - 1:
+            key = key * states + state
+        keys[k] = (mix(key + np.uint64((k + 1) * 0xA0761D6478BD642F & M64)) & ~np.uint64(511)) | rank
+    return rank.astype(np.int64), keys
+
+
+def entries(u: Units | Events, coder: Coder, step: int) -> list[np.ndarray]:
+    """The distinct keys of each kind, sorted."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(KINDS)]
+    for lo in range(0, len(u.times), step):
+        _, _, keys = u.expand(lo, min(lo + step, len(u.times)), coder)
+        for k in range(KINDS):
+            parts[k].append(distinct(keys[k]))
+    return [distinct(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in parts]
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -314,30 +384,32 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Places of keys in a sorted array that holds them all, by a table of slots; keys that lose their slot have another table, and those that lose there too are searched."""
+    """Places of keys in a sorted array that holds them all, by a table of slots; keys that lose their slot have another table, these a third, and those that lose there too are searched."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.tables = []
         left = np.arange(len(keys))
-        for factor in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93):
+        for factor in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
             shift = np.uint64(64 - max(8, int(len(left)).bit_length() + 1))
-            slot = np.zeros(1 << (64 - int(shift)), np.int64)
+            slot = np.zeros(1 << (64 - int(shift)), np.int32)
             at = ((keys[left] * np.uint64(factor)) >> shift).astype(np.int64)
             slot[at] = left
             left = left[slot[at] != left]
             self.tables.append((np.uint64(factor), shift, slot))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        (f, shift, slot), (f2, shift2, slot2) = self.tables
+        f, shift, slot = self.tables[0]
         got = slot[((keys * f) >> shift).view(np.int64)]
         bad = np.flatnonzero(self.keys[got] != keys)
-        if len(bad):
+        for f, shift, slot in self.tables[1:]:
+            if not len(bad):
+                break
             again = keys[bad]
-            other = slot2[((again * f2) >> shift2).view(np.int64)]
-            worse = np.flatnonzero(self.keys[other] != again)
-            other[worse] = np.searchsorted(self.keys, again[worse])
-            got[bad] = other
+            got[bad] = other = slot[((again * f) >> shift).view(np.int64)]
+            bad = bad[self.keys[other] != again]
+        if len(bad):
+            got[bad] = np.searchsorted(self.keys, keys[bad])
         return got
 
 
@@ -398,19 +470,10 @@ def ask_contexts(table: DataFrame, shared, buckets: int) -> DataFrame:
 
         for b in batches:
             for part, body in zip(b.column("part").to_pylist(), b.column("body").to_pylist(), strict=True):
-                u = Units(Chunk(body), words, classes)
-                find = [Lookup(k) for k in u.entries(coder)]
-                counts = [np.zeros(len(f.keys)) for f in find]
-                for lo in range(0, len(u.token), WIDE):
-                    hi = min(lo + WIDE, len(u.token))
-                    if u.times[lo:hi].any():
-                        _, n, own = u.expand(lo, hi, coder)
-                        w = np.repeat(u.times[lo:hi], n)
-                        for k, f in enumerate(find):
-                            np.add.at(counts[k], f(own[k]), w)
-                counts = [c.astype(np.int64) for c in counts]
+                e = Events(Units(Chunk(body), words, classes), coder).count()
+                find, counts = counted(e, coder)
                 mixer = Mixer(END)
-                w, cells, n = learn(u, Bits(u, coder, find, [path_counts(f.keys, c, coder)[0] for f, c in zip(find, counts, strict=True)]), mixer)
+                w, cells, n = learn(e, Bits(e, coder, find, [path_counts(f.keys, c, coder)[0] for f, c in zip(find, counts, strict=True)]), mixer)
                 yield row(-1, part, -1, b"", b"", np.concatenate([w.ravel() * n, cells.ravel(), [n]]).tobytes())
                 for k, f in enumerate(find):
                     edge = np.searchsorted(f.keys >> np.uint64(9), bucket_edges(buckets))
@@ -418,12 +481,24 @@ def ask_contexts(table: DataFrame, shared, buckets: int) -> DataFrame:
                         if lo < hi:
                             step = np.diff(f.keys[lo:hi], prepend=np.uint64(0))
                             yield row(i, part, k, (step & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), pack(x=small(step >> np.uint64(32))), pack(x=small(counts[k][lo:hi])))
-                del u, find, counts
+                del e, find, counts
                 tidy()
 
     return table.select("part", "body").mapInArrow(run, ASK)
 
 
+def counted(e: Events, coder: Coder) -> tuple[list[Lookup], list[np.ndarray]]:
+    """For each kind, a chunk's (context, symbol) and their counts in its training text."""
+    find = [Lookup(k) for k in e.entries(coder)]
+    counts = [np.zeros(len(f.keys)) for f in find]
+    for lo in range(0, len(e.times), SLICE):
+        times = e.times[lo : lo + SLICE]
+        _, _, keys = e.expand(lo, lo + len(times), coder)
+        for k, f in enumerate(find):
+            np.add.at(counts[k], f(keys[k]), times)
+    return find, [c.astype(np.int64) for c in counts]
+
+
 def bucket_edges(buckets: int) -> np.ndarray:
     """Borders of the buckets in the space of contexts (55 bits)."""
     return np.array([(i << 55) // buckets for i in range(buckets + 1)], np.uint64)
@@ -503,18 +578,24 @@ class Mixer:
 
 
 class Bits:
-    """The bits of slices of a chunk's units, with the bytes of their paths in every kind of context."""
+    """The bits of slices of a chunk's events or units, with the bytes of their paths in every kind of context."""
 
-    def __init__(self, u: Units, coder: Coder, find: list[Lookup], data: list[np.ndarray]):
+    def __init__(self, u: Units | Events, coder: Coder, find: list[Lookup], data: list[np.ndarray]):
         self.u, self.coder, self.find, self.data = u, coder, find, data
         sizes = [coder.length[(f.keys & np.uint64(511)).astype(np.int64)] for f in find]
         self.begin = [np.cumsum(s) - s for s in sizes]
+        self.at = u.places(find) if isinstance(u, Events) else None
         if any(len(d) != int(s.sum()) for d, s in zip(data, sizes, strict=True)):
             raise RuntimeError("the answers of a chunk are not what it asked for")
 
     def __call__(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(paths[kind, bit], node, bit, bits of each unit)."""
-        rank, symbols, keys = self.u.expand(lo, hi, self.coder)
+        """(paths[kind, bit], node, bit, bits of each event or unit)."""
+        if self.at is None:
+            rank, symbols, keys = self.u.expand(lo, hi, self.coder)
+            place = [f(x) for f, x in zip(self.find, keys, strict=True)]
+        else:
+            place = self.at[:, lo:hi]
+            rank, symbols = (self.find[0].keys[place[0]] & np.uint64(511)).astype(np.int64), np.ones(len(place[0]), np.int64)
         size = self.coder.length[rank]
         ends = np.cumsum(size)
         step = np.arange(int(ends[-1]) if len(ends) else 0)
@@ -522,37 +603,44 @@ class Bits:
         at = np.repeat(self.coder.begin[rank] - first, size) + step
         paths = np.empty((KINDS, len(at)), np.uint8)
         for k in range(KINDS):
-            paths[k] = self.data[k][np.repeat(self.begin[k][self.find[k](keys[k])] - first, size) + step]
+            paths[k] = self.data[k][np.repeat(self.begin[k][place[k]] - first, size) + step]
         return paths, self.coder.node[at], self.coder.bit[at], np.add.reduceat(size, np.cumsum(symbols) - symbols)
 
 
-def learn(u: Units, bits: Bits, mixer: Mixer) -> tuple[np.ndarray, np.ndarray, float]:
-    """(weights, cells, bits): online over units that training text has, each without its own count; updates are scaled by the gradients so far.
+def learn(u: Units | Events, bits: Bits, mixer: Mixer) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, cells, bits): one Newton step after each batch of events, each event as often as training text has it but without its own count; curvatures add up, so every bit counts alike.
 
-    All units take part, in the order of their tokens' hashes, and every bit counts in the map.
+    All events take part, in an order without meaning; batches grow to SLICE events. The map then counts every bit by the weights learned.
     """
-    squares = np.full(mixer.weights.shape, 1e-4)
+    curve = np.tile(np.eye(KINDS) * RIDGE, (GATES, 1, 1))
     seen = np.zeros_like(mixer.seen)
-    total = 0.0
-    for start in range(0, len(u.token), SLICE):
-        every = u.times[start : start + SLICE]
+    total, start = 0.0, 0
+    while start < len(u.times):
+        every = u.times[start : start + min(SLICE, max(BATCH, start))]
+        start += len(every)
+        if not every.any():
+            continue
+        paths, _, _, n = bits(start - len(every), start)
+        paths = WITHOUT[paths]
+        weights, x, gate = np.repeat(every, n), STRETCH[paths], mixer.gate(paths)
+        q = 1 / (1 + np.exp(mixer.mixed(x, gate)))
+        err = weights * q
+        g = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(KINDS)], 1)
+        err *= 1 - q
+        for k in range(KINDS):
+            by = err * x[k]
+            for j in range(k + 1):
+                curve[:, j, k] += np.bincount(gate, by * x[j], GATES)
+                curve[:, k, j] = curve[:, j, k]
+        mixer.weights += np.clip(np.linalg.solve(curve, g[:, :, None])[:, :, 0], -0.5, 0.5).astype(np.float32)
+        mixer.columns = np.ascontiguousarray(mixer.weights.T)
+    for lo in range(0, len(u.times), SLICE):
+        every = u.times[lo : lo + SLICE]
         if not every.any():
             continue
-        paths, node, bit, n = bits(start, start + len(every))
+        paths, node, bit, n = bits(lo, lo + len(every))
         paths = WITHOUT[paths]
-        weights, odds, gates = np.repeat(every, n), STRETCH[paths], mixer.gate(paths)
-        z = np.empty(len(bit), np.float32)
-        border = np.append(0, np.cumsum(n))[[*range(0, len(every), BATCH), len(every)]].tolist()
-        for lo, hi in zip(border[:-1], border[1:], strict=True):
-            weight, x, gate = weights[lo:hi], odds[:, lo:hi], gates[lo:hi]
-            z[lo:hi] = mixer.mixed(x, gate)
-            err = weight / (1 + np.exp(z[lo:hi]))
-            mass = np.bincount(gate, weight, GATES)
-            on = mass > 0
-            g = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(KINDS)], 1)[on] / mass[on, None]
-            squares[on] += g * g
-            mixer.weights[on] += (RATE * g / np.sqrt(squares[on])).astype(np.float32)
-            mixer.columns = np.ascontiguousarray(mixer.weights.T)
+        weights, z = np.repeat(every, n), mixer.mixed(STRETCH[paths], mixer.gate(paths))
         total += float(weights.sum())
         cell = mixer.cell(np.where(bit == 1, z, -z), node)
         seen[:, 0] += np.bincount(cell, weights, len(seen))
@@ -670,7 +758,8 @@ def lm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, text: str = "t
         got: dict[int, list[bytes]] = {}
         for kind, data in zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True):
             got.setdefault(kind, []).append(data)
-        return c, u, Bits(u, coder, [Lookup(k) for k in u.entries(coder)], [np.frombuffer(b"".join(got.get(k, [])), np.uint8) for k in range(KINDS)])
+        e = Events(u, coder)
+        return c, u, e, Bits(e, coder, [Lookup(k) for k in e.entries(coder)], [np.frombuffer(b"".join(got.get(k, [])), np.uint8) for k in range(KINDS)])
 
     mixer, cut_at = Mixer(END), GATES * KINDS
     for r in answers.where("kind = -1").collect():  # one row
@@ -684,13 +773,14 @@ def lm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, text: str = "t
         tidy()
         kind = right.column("kind")
         mine = right.filter(pa.compute.equal(kind, KINDS))
-        c, u, bits = bits_of(left, right.filter(pa.compute.less(kind, KINDS)))
-        nat = np.zeros(len(u.token))
-        for lo in range(0, len(u.token), SLICE):
-            paths, node, bit, n = bits(lo, min(lo + SLICE, len(u.token)))
+        c, u, e, bits = bits_of(left, right.filter(pa.compute.less(kind, KINDS)))
+        nat = np.zeros(len(e.times))
+        for lo in range(0, len(nat), SLICE):
+            paths, node, bit, n = bits(lo, min(lo + SLICE, len(nat)))
             nat[lo : lo + len(n)] = np.add.reduceat(model.value.loss(paths, node, bit).astype(np.float64), np.cumsum(n) - n)
         del bits
-        s = -c.by_document(nat, u.of) / np.log(10)
+        s = -c.by_document(e.by_unit(nat), u.of) / np.log(10)
+        del e
         h, has = c.words()
         keys = np.frombuffer(b"".join(mine.column("data").to_pylist()), np.uint64)
         counts = np.frombuffer(b"".join(mine.column("more").to_pylist()), np.int64)
