@@ -241,6 +241,20 @@ def test_suffix_order():
     assert all(common(a, b) == k for a, b, k in zip(s, s[1:], c[1:], strict=False))
 
 
+def test_anchors_are_runs(monkeypatch):
+    """Runs of strings with one anchor, worked out block by block, against every string's least hash; whatever the block, no longer or shorter runs."""
+    m, r = suffix_dedup, np.random.default_rng(0)
+    data, offsets = r.integers(0, 3, 3000).astype(np.uint8), np.array([0, 0, 10, 60, 60, 1000, 1049, 1099, 2500, 3000])
+    h = m.hashes(data)
+    assert len({data[i : i + m.M].tobytes() for i in range(len(h))}) == len(np.unique(h))
+    want = [(p, i, h[p : p + m.WINDOW].min()) for i in range(len(offsets) - 1) for p in range(offsets[i], offsets[i + 1] - m.MATCH + 1)]
+    for block in (1, 7, m.BLOCK):
+        monkeypatch.setattr(m, "BLOCK", block)
+        start, count, doc, a = m.anchors(data, offsets)
+        assert [(x + j, d, z) for x, n, d, z in zip(start, count, doc, a, strict=True) for j in range(n)] == want
+        assert all((start[1:] != start[:-1] + count[:-1]) | (a[1:] != a[:-1]) | (doc[1:] != doc[:-1]))
+
+
 def test_language_model(docs):
     count = Counter(w for i, t, *_ in hard_rows() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), None])
     n, v = sum(count.values()), len(count)

@@ -19,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import buffer_of, documents, materialize, mix, powers, slices, spread, tidy, workers
+from tideline.llm.common import buffer_of, documents, materialize, mix, ranges, slices, spread, tidy, workers
 
 MATCH, M, RUN = 50, 20, 32
 WINDOW = MATCH - M + 1
+#: Strings whose anchors are looked for at once.
+BLOCK = 1 << 14
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text in one part of the documents; anchors and bytes of pieces in one bucket.
 PART, ANCHORS, PIECES = 12 << 20, 1_500_000, 12 << 20
@@ -41,21 +43,43 @@ def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, document, anchor) of every MATCH-byte string that lies in one document."""
-    n = len(data)
-    if n < MATCH:
+def hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every M bytes: of their three words of eight bytes, which overlap."""
+    words = np.ascontiguousarray(np.ndarray((len(data) - 7,), np.dtype("<u8"), np.ascontiguousarray(data), 0, (1,))).astype(np.uint64, copy=False)
+    n = len(data) - M + 1
+    x = words[:n] * np.uint64(BASE)
+    for at in (8, M - 8):
+        x ^= x >> np.uint64(32)
+        x += words[at : at + n]
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring MATCH-byte strings of one document with one anchor: (first start, strings, document, anchor) of each."""
+    n, size = len(data) - MATCH + 1, np.diff(offsets)
+    some = np.flatnonzero(size >= MATCH)
+    begin, end = offsets[:-1][some], offsets[1:][some] - MATCH + 1
+    if not len(some):
         e = np.zeros(0, np.int64)
-        return e, e, np.zeros(0, np.uint64)
-    up, down = powers(n, BASE), powers(n, pow(BASE, -1, 1 << 64))
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    h = mix((sums[M:] - sums[:-M]) * down[: n - M + 1])
-    least = sliding(h, WINDOW, True)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.flatnonzero(doc[: n - MATCH + 1] == doc[MATCH - 1 :])
-    return start, doc[start], least[start]
+        return e, e, e, np.zeros(0, np.uint64)
+    least, new = np.empty(n, np.uint64), np.zeros(n + 1, bool)
+    for lo in range(0, n, BLOCK):  # what a block needs stays in the cache
+        hi = min(lo + BLOCK, n)
+        least[lo:hi] = sliding(hashes(data[lo : hi + MATCH - 1]), WINDOW, True)
+        at = max(lo, 1)
+        np.not_equal(least[at:hi], least[at - 1 : hi - 1], out=new[at:hi])
+    # runs begin where documents do, and end where their last string does
+    new[begin] = new[end] = True
+    first = np.flatnonzero(new)
+    place = np.searchsorted(begin, first, "right") - 1
+    inside = (place >= 0) & (first < end[place])
+    count = np.diff(np.append(first, n + 1))[inside]
+    first = first[inside]
+    return first, count, some[place[inside]], least[first]
 
 
 def collection_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,9 +208,8 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
         own: list[tuple[np.ndarray, np.ndarray]] = []
         for b in slices(without(left, right).to_batches()):
             ids = b.column("id").to_numpy()
-            _, doc, a = anchors(*buffer_of(b.column("text")))
-            first = np.append(True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) if len(a) else np.zeros(0, bool)
-            own.append((a[first], ids[doc[first]]))
+            _, _, doc, a = anchors(*buffer_of(b.column("text")))
+            own.append((a, ids[doc]))
         a, ids = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, kind) for i, kind in ((0, np.uint64), (1, np.int64)))
         del own
         order = np.argsort(a, kind="stable")
@@ -228,27 +251,23 @@ def removed_spans(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
         for b in slices(without(left, right).to_batches(), bytes_=2 << 20) if len(known) else ():
             data, offsets = buffer_of(b.column("text"))
             ids = b.column("id").to_numpy()
-            start, doc, a = anchors(data, offsets)
-            if not len(a):
-                continue
+            start, count, doc, a = anchors(data, offsets)
             full = (name(a).astype(np.uint64) << np.uint64(32)) + bucket_of(a).astype(np.uint64)
             i = np.minimum(np.searchsorted(known, full), len(known) - 1)
             on = known[i] == full
-            start, doc, a = start[on], doc[on], a[on]
+            start, count, doc, a = start[on], count[on], doc[on], a[on]
             if not len(a):
                 continue
-            new = np.append(True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]))
-            run = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            new = (np.arange(len(a)) - heads[run]) % RUN == 0
-            heads = np.flatnonzero(new)
-            count = np.diff(np.append(heads, len(a)))
+            # pieces of RUN strings at most
+            many = (count + RUN - 1) // RUN
+            whole = np.repeat(np.arange(len(a)), many)
+            step = RUN * ranges(np.zeros(len(a), np.int64), many)
+            lo, count, doc, a = start[whole] + step, np.minimum(count[whole] - step, RUN), doc[whole], a[whole]
             length = (count + MATCH - 1).astype(np.uint8)
-            lo = start[heads]
             ln = length.astype(np.int64)
             raw.append(data[np.repeat(lo - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())].tobytes())
-            h = mix(a[heads])
-            held.append((length, ids[doc[heads]], (lo - offsets[doc[heads]]).astype(np.uint32), (h % np.uint64(bins)).astype(np.int64), ((h // np.uint64(bins)) % np.uint64(SUB)).astype(np.uint8)))
+            h = mix(a)
+            held.append((length, ids[doc], (lo - offsets[doc]).astype(np.uint32), (h % np.uint64(bins)).astype(np.int64), ((h // np.uint64(bins)) % np.uint64(SUB)).astype(np.uint8)))
         if held:
             whole = b"".join(raw)
             del raw
