@@ -757,6 +757,24 @@ def test_toxicity_score_against_plain_loops():
         assert score == pytest.approx(1 / (1 + np.exp(-(np.dot(pooled, net.out) + net.out_bias))), abs=1e-4)
 
 
+def test_toxicity_gathers_a_word_once(monkeypatch):
+    """Scoring reads one row of the joined tables for each part of a word; slices and a net that was sent give the same scores."""
+    import pickle
+
+    m, r = toxicity, np.random.default_rng(6)
+    net = m.start(r.integers(0, 9, m.ROWS + 1).astype(float), r.integers(0, 9, m.ROWS + 1).astype(float), 0.3).multiply_out()
+    counts = r.choice([0, 1, 2, 3, 40], 60)
+    words = r.integers(0, m.ROWS, (counts.sum(), len(m.PARTS)))
+    taken, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda a, i, **k: taken.append(np.size(i)) or take(a, i, **k))
+    whole = net.score(words, counts)
+    assert sum(taken) == words.size
+    sent = pickle.loads(pickle.dumps(net))
+    ends = np.cumsum(counts)
+    assert np.allclose(whole, np.concatenate([sent.score(words[e - n : e], np.array([n])) for e, n in zip(ends, counts, strict=True)]), atol=1e-6)
+    assert len(pickle.dumps(net)) < 1.1 * net.emb.nbytes + 10_000
+
+
 def test_word_parts_are_hashed_alike():
     """Words that share their first four or six bytes share rows; case doesn't matter, and shorter words have no longer parts than themselves."""
     import pyarrow as pa

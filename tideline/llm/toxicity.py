@@ -23,13 +23,15 @@ SHARE = 4800
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 6, (1, 2, 3)
 #: Documents that a word's log odds count on either side beforehand.
 PRIOR = 10.0
+#: Bytes of text that are hashed and scored at once, so that their arrays stay in the cache.
+SLICE = 128 << 10
 #: Bytes of a word's parts; 0 is the whole word.
 PARTS = (0, 4, 6)
 
 
 @dataclass
 class ConvNet:
-    """table[width][tap]: ROWS x FILTERS responses of each hashed word under that tap; the last row is padding."""
+    """tables[width][tap]: ROWS x FILTERS responses of each hashed word under that tap; the last row is padding."""
 
     rows: int = ROWS
     emb: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
@@ -37,12 +39,25 @@ class ConvNet:
     bias: dict[int, np.ndarray] = field(default_factory=dict)
     out: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     out_bias: float = 0.0
-    tables: dict[int, np.ndarray] = field(default_factory=dict)
+    tables: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    joined: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # the tables of all widths and taps, side by side
 
     def multiply_out(self) -> ConvNet:
-        self.tables = {w: np.stack([self.emb @ self.taps[w][k] for k in range(w)]) for w in self.taps}
+        self.joined = np.concatenate([self.emb @ self.taps[w][k] for w in self.taps for k in range(w)], 1)
+        columns = iter(np.split(self.joined, self.joined.shape[1] // FILTERS, axis=1))
+        self.tables = {w: [next(columns) for _ in range(w)] for w in self.taps}  # views
         return self
 
+    def __getstate__(self) -> dict:
+        """Without the tables, which follow from the rest."""
+        return self.__dict__ | {"tables": {}, "joined": self.joined[:0], "_multiplied": bool(self.tables)}
+
+    def __setstate__(self, state: dict) -> None:
+        multiplied = state.pop("_multiplied")
+        self.__dict__.update(state)
+        if multiplied:
+            self.multiply_out()
+
     def pooled(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """[documents, filters]: the largest response of each filter. Positions past the end of a document are padding."""
         n = len(counts)
@@ -52,19 +67,19 @@ class ConvNet:
             return out
         ends = np.cumsum(counts)[some]
         heads = ends - counts[some]
-        for i, (w, table) in enumerate(self.tables.items()):
-            conv = np.zeros((len(words), FILTERS), np.float32)
-            for k in range(w):
-                response = table[k][words[:, 0]]
-                for j in range(1, words.shape[1]):
-                    response += table[k][words[:, j]]
-                if k:
-                    response[:-k] = response[k:]
-                    response[-k:] = 0
+        every = np.take(self.joined, words[:, 0], axis=0)
+        for j in range(1, words.shape[1]):
+            every += np.take(self.joined, words[:, j], axis=0)
+        at = 0
+        for i, w in enumerate(self.tables):
+            conv = every[:, at : at + FILTERS].copy()
+            for k in range(1, w):
+                response = every[k:, at + k * FILTERS : at + (k + 1) * FILTERS].copy()
                 for j in range(k):
-                    at = ends - 1 - j
-                    response[at[at >= heads]] = 0
-                conv += response
+                    past = ends - 1 - j
+                    response[past[(past >= heads) & (past < len(response))]] = 0
+                conv[: len(response)] += response
+            at += w * FILTERS
             out[some, i * FILTERS : (i + 1) * FILTERS] = np.maximum(np.maximum.reduceat(conv, heads, axis=0) + self.bias[w], 0)
         return out
 
@@ -113,28 +128,27 @@ def fit(net: ConvNet, docs: list[np.ndarray], y: np.ndarray, share: float, epoch
             ends = np.cumsum(counts)
             heads = ends - counts
             total = int(ends[-1])
-            index = np.full((max(WIDTHS), total), total)  # the word that each tap sees from each position
-            for k in range(max(WIDTHS)):
-                index[k, : max(0, total - k)] = np.arange(min(k, total), total)
-                for j in range(k):
-                    p = ends - 1 - j
-                    index[k, p[p >= heads]] = total
-            vectors = net.emb[words[:, 0]]
+            past = [(p := ends - 1 - j)[p >= heads] for j in range(max(WIDTHS) - 1)]
+            vectors = np.take(net.emb, words[:, 0], axis=0)
             for j in range(1, len(PARTS)):
-                vectors += net.emb[words[:, j]]
-            pools, where = [], []
-            for w in WIDTHS:
-                conv = vectors[:total] @ net.taps[w][0]
-                for k in range(1, w):
-                    conv += (vectors @ net.taps[w][k])[index[k]]
-                top = np.maximum.reduceat(conv, heads, axis=0)
-                hit = np.empty((len(own), FILTERS), int)  # first position with the largest response
-                same = conv >= np.repeat(top, counts, axis=0)
-                for f in range(FILTERS):
-                    c = np.flatnonzero(same[:, f])
-                    hit[:, f] = c[np.searchsorted(c, heads)]
-                pools.append(top + net.bias[w])
-                where.append(hit)
+                vectors += np.take(net.emb, words[:, j], axis=0)
+            response = np.concatenate([net.taps[w][k] for w in WIDTHS for k in range(w)], 1).T @ vectors[:total].T  # [taps' filters, position]
+            conv, at = np.empty((len(WIDTHS) * FILTERS, total), response.dtype), 0
+            for i, w in enumerate(WIDTHS):
+                here = conv[i * FILTERS : (i + 1) * FILTERS]
+                here[:] = response[at : at + FILTERS]
+                for k in range(1, min(w, total)):
+                    later = response[at + k * FILTERS : at + (k + 1) * FILTERS, k:]
+                    for j in range(k):
+                        later[:, past[j][past[j] < total - k]] = 0
+                    here[:, : total - k] += later
+                at += w * FILTERS
+            top = np.maximum.reduceat(conv, heads, axis=1)
+            same = np.flatnonzero(conv >= np.repeat(top, counts, axis=1))
+            row = np.arange(len(conv))[:, None] * total
+            hit = (same[np.searchsorted(same, (row + heads).ravel())].reshape(top.shape) - row).T  # first position with the largest response
+            pools = [top[i * FILTERS : (i + 1) * FILTERS].T + net.bias[w] for i, w in enumerate(WIDTHS)]
+            where = [hit[:, i * FILTERS : (i + 1) * FILTERS] for i in range(len(WIDTHS))]
             pool = np.maximum(np.concatenate(pools, 1), 0)
             p = 1 / (1 + np.exp(-(pool @ net.out + net.out_bias)))
             err = ((p - y[own]) * weight[own] / len(own)).astype(np.float32)
@@ -146,7 +160,8 @@ def fit(net: ConvNet, docs: list[np.ndarray], y: np.ndarray, share: float, epoch
                 b = back[:, i * FILTERS : (i + 1) * FILTERS]
                 g_tap = np.zeros_like(net.taps[w])
                 for k in range(w):
-                    ids = words[index[k][where[i]]]  # [docs, FILTERS, parts]
+                    seen_at = where[i] + k  # past the document's end is padding
+                    ids = words[np.where(seen_at < ends[:, None], seen_at, total)]  # [docs, FILTERS, parts]
                     vec = net.emb[ids].sum(2)
                     g_tap[k] = np.einsum("nfd,nf->df", vec, b)
                     grad = (b[:, :, None] * net.taps[w][k].T[None]).reshape(-1, DIM)
@@ -275,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, share: int = SHARE) -> Model:
         tidy()
         t = t.select(["doc_id", "text", "toxic"]).sort_by("doc_id")
         out = []
-        for b in slices(t.to_batches()):
+        for b in slices(t.to_batches(), SLICE):
             words, counts = hashed(*buffer_of(b.column("text")))
             out += np.split(words.astype(np.uint16), np.cumsum(counts)[:-1])
         return out, t.column("toxic").to_numpy().astype(float)
@@ -303,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, share: int = SHARE) -> Model:
     others = spark.sparkContext.broadcast([unflat(total[1 - f][:-1] / total[1 - f][-1]) for f in (0, 1)])
 
     def reached(batches):
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             words, counts = hashed(*buffer_of(b.column("text")))
             which, at = b.column("fold").to_numpy(), np.repeat(b.column("fold").to_numpy(), counts)
             got = np.zeros(len(which))
@@ -330,7 +345,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             words, counts = hashed(*buffer_of(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.value.score(words, counts))], schema=arrow)
 
