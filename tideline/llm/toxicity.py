@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER_LUT, SEPARATOR, buffer_of, documents, fold, materialize, mix, slices, spread, tidy, word_hashes
+from tideline.llm.common import LOWER_LUT, SEPARATOR, buffer_of, documents, fold, materialize, mix, packed, slices, spread, tidy, unpacked, word_hashes
 
 #: Labelled documents of one task's fit, about.
 SHARE = 4800
@@ -256,12 +256,17 @@ def added_up(df: DataFrame, kind: type) -> dict[int, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, lang, toxic): the documents to learn from."""
+    """(doc_id, text, lang, toxic): the documents to learn from, their texts packed, as the join exchanges those of all documents outside the held-out fold."""
+    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+
     known = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), language.alias("lang")).join(known, "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", text.alias("text"), language.alias("lang"), F.xxhash64(text).alias("hash"))
+    schema = StructType([rows.schema["doc_id"], StructField("text", BinaryType()), StructField("lang", StringType()), StructField("hash", LongType())])
+    rows = rows.mapInArrow(packed, schema).join(known, "doc_id")
     # of rows with one id the one whose text has the least hash, so that fits don't differ between runs
-    one = F.min_by(F.struct("text", "lang", "toxic"), F.struct(F.xxhash64("text"), "lang"))
+    one = F.min_by(F.struct("text", "lang", "toxic"), F.struct("hash", "lang"))
     return rows.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.text", "r.lang", (F.col("r.toxic") > 0).cast("int").alias("toxic"))
 
 
@@ -290,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, share: int = SHARE) -> Model:
         tidy()
         t = t.select(["doc_id", "text", "toxic"]).sort_by("doc_id")
         out = []
-        for b in slices(t.to_batches(), SLICE):
+        for b in unpacked(t.to_batches(), SLICE):
             words, counts = hashed(*buffer_of(b.column("text")))
             out += np.split(words.astype(np.uint16), np.cumsum(counts)[:-1])
         return out, t.column("toxic").to_numpy().astype(float)
@@ -318,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, share: int = SHARE) -> Model:
     others = spark.sparkContext.broadcast([unflat(total[1 - f][:-1] / total[1 - f][-1]) for f in (0, 1)])
 
     def reached(batches):
-        for b in slices(batches, SLICE):
+        for b in unpacked(batches, SLICE):
             words, counts = hashed(*buffer_of(b.column("text")))
             which, at = b.column("fold").to_numpy(), np.repeat(b.column("fold").to_numpy(), counts)
             got = np.zeros(len(which))
